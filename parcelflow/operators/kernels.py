@@ -1,0 +1,65 @@
+"""Sequential kernels over one pair's rows, for applyInPandas: what order or a stencil decides."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+
+# Limits of duplicate proposals.
+IOU, CONTAINMENT, CENTRE, SIZE, SEMANTIC = 0.42, 0.72, 0.35, 0.45, 0.2
+
+
+def label(pdf: pd.DataFrame) -> pd.DataFrame:
+    """8-connected components of one plane's set pixels, numbered by their first pixel in raster order."""
+    h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+    lab = np.full((h + 2, w + 2), h * w, dtype=np.int64)
+    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+    lab[y + 1, x + 1] = y * w + x
+    mask = lab < h * w
+    while True:  # labels fall to the least of their neighbours'
+        low = reduce(np.minimum, [np.roll(lab, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        new = np.where(mask, low, h * w)
+        if (new == lab).all():
+            break
+        lab = new
+    got = lab[y + 1, x + 1]
+    return pd.DataFrame({"pair_id": pdf["pair_id"], "y": y, "x": x, "d": pdf["d"], "component": np.unique(got, return_inverse=True)[1] + 1})
+
+
+def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Greedy: each box, by confidence, joins the first kept one that it duplicates."""
+    pdf = pdf.sort_values(["confidence_e3", "proposal_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    x, y, w, h = (pdf[c].to_numpy(float) for c in ("left", "top", "width", "height"))
+    words = [set(t.split(" ")) for t in pdf["words"]]
+    kept: list[int] = []
+    into = np.zeros(len(pdf), dtype=np.int64)
+    for i in range(len(pdf)):
+        into[i] = i
+        for k in kept:
+            over = max(0.0, min(x[i] + w[i], x[k] + w[k]) - max(x[i], x[k])) * max(0.0, min(y[i] + h[i], y[k] + h[k]) - max(y[i], y[k]))
+            a, b = w[i] * h[i], w[k] * h[k]
+            iou, held = round(over / max(1.0, a + b - over), 4), round(over / max(1.0, min(a, b)), 4)
+            scale = max(1.0, (np.hypot(w[i], h[i]) + np.hypot(w[k], h[k])) / 2)
+            far = round(float(np.hypot(x[i] + w[i] / 2 - x[k] - w[k] / 2, y[i] + h[i] / 2 - y[k] - h[k] / 2)) / scale, 4)
+            alike = round(len(words[i] & words[k]) / max(1, len(words[i] | words[k])), 4)
+            if alike >= SEMANTIC and (iou >= IOU or (held >= CONTAINMENT and far <= CENTRE and round(min(a, b) / max(1.0, max(a, b)), 4) >= SIZE)):
+                into[i] = k
+                break
+        else:
+            kept.append(i)
+    return pd.DataFrame({"pair_id": pdf["pair_id"], "proposal_id": pdf["proposal_id"], "retained_id": pdf["proposal_id"].to_numpy()[into]})
+
+
+def match(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Truths in order take the free prediction that covers most of them; the first of equals."""
+    taken: set[int] = set()
+    out = []
+    for truth, rows in pdf.sort_values(["truth_id", "found_id"], kind="stable").groupby("truth_id", sort=True):
+        free = rows[~rows["found_id"].isin(taken)]
+        hit = int(free["found_id"].to_numpy()[np.argmax(free["share"].to_numpy())]) if len(free) else None
+        if hit is not None:
+            taken.add(hit)
+        out.append((int(pdf["pair_id"].iloc[0]), int(truth), hit))
+    return pd.DataFrame(out, columns=["pair_id", "truth_id", "found_id"]).astype({"found_id": "Int64"})

@@ -1,28 +1,6 @@
 """All registered queries over the driver's tables, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from parcelflow.plans import decisions, evaluation, geometry, proposals, raster, relational  # noqa: F401  they register
+from parcelflow.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-from importlib import import_module
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; sql: DuckDB SQL over the same tables, None for what SQL can't express."""
-
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-for _module in ("relational", "geometry", "proposals", "decisions", "raster", "evaluation"):
-    import_module(f"parcelflow.plans.{_module}")
+__all__ = ["QUERIES", "SQL"]

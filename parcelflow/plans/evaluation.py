@@ -1 +1,68 @@
-"""Placeholder."""
+"""Evaluation of detected changes against reviewed truth: confusion, recall by bucket, one-to-one matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parcelflow.functions import boxes as B
+from parcelflow.operators.kernels import match
+from parcelflow.plans.registry import query
+from parcelflow.plans.raster import WITH, pixels
+from parcelflow.sources import tables as T
+from parcelflow.sources.shipping import ship
+
+
+@query("pixel_confusion", WITH + """,
+c AS (SELECT pair_id, count(*) FILTER (a > 140 AND b > 140) AS tp, count(*) FILTER (NOT a > 140 AND b > 140) AS fp, count(*) FILTER (a > 140 AND NOT b > 140) AS fn FROM px GROUP BY 1)
+SELECT pair_id, tp, fp, fn, round(tp::DOUBLE / greatest(1, tp + fp), 3) AS precision, round(tp::DOUBLE / greatest(1, tp + fn), 3) AS recall, round(2.0::DOUBLE * tp / greatest(1, 2 * tp + fp + fn), 3) AS f1, round(tp::DOUBLE / greatest(1, tp + fp + fn), 3) AS iou FROM c""")
+def pixel_confusion(spark: SparkSession, d: str) -> DataFrame:
+    truth, found = F.col("a") > 140, F.col("b") > 140
+    rows = pixels(spark, d).groupBy("pair_id").agg(F.count_if(truth & found).alias("tp"), F.count_if(~truth & found).alias("fp"), F.count_if(truth & ~found).alias("fn"))
+    return rows.withColumns(confusion(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def confusion(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
+    """Ratios to three digits; an empty denominator counts as 1."""
+    part = lambda x, n: F.round(x / F.greatest(F.lit(1), n), 3)
+    return {"precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "f1": part(2.0 * tp, 2 * tp + fp + fn), "iou": part(tp, tp + fp + fn)}
+
+
+_WITH = f"WITH {T.SQL}, t AS (SELECT *, width * height * 0.01::DOUBLE AS m2, confidence_e3 >= 60 AS matched FROM proposals)"
+
+
+def _bucket(m2: Column) -> Column:
+    return F.when(m2.isNull(), "unknown_scale").when(m2 < 20, "under_20_m2").when(m2 <= 50, "20_to_50_m2").when(m2 <= 200, "50_to_200_m2").otherwise("over_200_m2")
+
+
+@query("size_recall", _WITH + """
+SELECT CASE WHEN m2 < 20 THEN 'under_20_m2' WHEN m2 <= 50 THEN '20_to_50_m2' WHEN m2 <= 200 THEN '50_to_200_m2' ELSE 'over_200_m2' END AS bucket, count(*) AS n, round(avg(matched::INT), 4) AS recall FROM t GROUP BY 1""")
+def size_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.proposals(spark, d).withColumn("m2", F.col("width") * F.col("height") * 0.01)
+    return rows.groupBy(_bucket(F.col("m2")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("confidence_e3") >= 60).cast("int")), 4).alias("recall"))
+
+
+@query("class_recall", _WITH + " SELECT change_type, count(*) AS n, round(avg(matched::INT), 4) AS recall FROM t GROUP BY 1")
+def class_recall(spark: SparkSession, d: str) -> DataFrame:
+    return T.proposals(spark, d).groupBy("change_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("confidence_e3") >= 60).cast("int")), 4).alias("recall"))
+
+
+@query("object_matching")
+def object_matching(spark: SparkSession, d: str) -> DataFrame:
+    """One-to-one matching of truths (flag R) and predictions: overlaps by an equi-join, then a pass over each pair."""
+    ship(spark)
+    p = T.proposals(spark, d)
+    side = lambda rows, s, i: rows.select("pair_id", F.col("proposal_id").alias(i), *(F.col(c).alias(f"{s}_{c}") for c in ("left", "top", "width", "height")))
+    rows = side(p.where("flag = 'R'"), "a", "truth_id").join(side(p.where("flag <> 'R'"), "b", "found_id"), "pair_id")
+    share = B.overlap("a_", "b_") / B.area("a_")
+    return rows.select("pair_id", "truth_id", "found_id", share.alias("share")).where("share >= 0.01").groupBy("pair_id").applyInPandas(match, "pair_id long, truth_id long, found_id long")
+
+
+@query("missed_objects", f"WITH {T.SQL}" + """
+SELECT a.pair_id, a.proposal_id AS truth_id FROM proposals a WHERE a.flag = 'R' AND NOT EXISTS (SELECT 1 FROM proposals b WHERE b.pair_id = a.pair_id AND b.flag <> 'R'
+  AND greatest(0, least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left")) * greatest(0, least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top)) > 0)""")
+def missed_objects(spark: SparkSession, d: str) -> DataFrame:
+    p = T.proposals(spark, d)
+    side = lambda rows, s: rows.select("pair_id", "proposal_id", *(F.col(c).alias(f"{s}_{c}") for c in ("left", "top", "width", "height")))
+    a, b = side(p.where("flag = 'R'"), "a"), side(p.where("flag <> 'R'"), "b").withColumnRenamed("pair_id", "other").drop("proposal_id")
+    return a.join(b, (F.col("pair_id") == F.col("other")) & (B.overlap("a_", "b_") > 0), "left_anti").select("pair_id", F.col("proposal_id").alias("truth_id"))

@@ -1 +1,132 @@
-"""Placeholder."""
+"""Fusion of externally supplied proposals: dedup, scheduling under quotas, budgets, audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parcelflow.operators.kernels import merge
+from parcelflow.plans.registry import query
+from parcelflow.sources import tables as T
+from parcelflow.sources.shipping import ship
+
+WITH = f"WITH {T.SQL}\n"
+# Reserves of the schedule, categories by priority.
+RESERVE_SCOUTED, RESERVE_SMALL, RESERVE_REMOVAL, CAPACITY = 2, 1, 1, 4
+CATEGORIES = ("frontier_only", "unmatched_small_object", "possible_removal", "frontier_supported_deterministic_review", "deterministic_review", "strong_deterministic_accepted")
+REMOVAL = "remov|disappear|demol|absent|replaced|cleared|loss"
+
+
+def tokens(text: Column) -> Column:
+    """Distinct lower-case runs of letters and digits of more than two characters."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
+
+
+@query("token_similarity", """
+WITH t AS (SELECT p_partkey AS k, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS w FROM part)
+SELECT a.k AS k, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS similarity FROM t a JOIN t b ON b.k = a.k + 1""")
+def token_similarity(spark: SparkSession, d: str) -> DataFrame:
+    t = T.read(spark, d, "part").select(F.col("p_partkey").alias("k"), tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
+    n = t.select((F.col("k") - 1).alias("k"), F.col("w").alias("v"))
+    both = F.size(F.array_union("w", "v"))
+    return t.join(n, "k").select("k", F.round(F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect("w", "v")) / both), 6).alias("similarity"))
+
+
+@query("text_scalars", """
+SELECT p_partkey AS k, regexp_replace(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[:120] AS reason_code,
+  lower(regexp_replace(p_type, '[|_]', ' ', 'g')) AS human, array_to_string(regexp_split_to_array(trim(regexp_replace(p_name || '  ' || p_type || ' a b c', '\\s+', ' ', 'g')), ' ')[1:5], ' ') AS label,
+  CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type ELSE 'uncertain' END AS decision, printf('BL-%03d', p_partkey) AS code FROM part""")
+def text_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Reason codes, readable reasons, labels of five words, decisions, padded codes."""
+    code = F.regexp_replace(F.regexp_replace(F.lower(F.concat("p_type", F.lit(" / "), "p_brand")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    label = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.concat("p_name", F.lit("  "), "p_type", F.lit(" a b c")), r"\s+", " ")), " "), 1, 5), " ")
+    return T.read(spark, d, "part").select(
+        F.col("p_partkey").alias("k"), F.substring(code, 1, 120).alias("reason_code"), F.lower(F.translate("p_type", "|_", "  ")).alias("human"), label.alias("label"),
+        F.when(F.col("p_type").isin("ECONOMY", "PROMO"), F.col("p_type")).otherwise("uncertain").alias("decision"), F.format_string("BL-%03d", "p_partkey").alias("code"),
+    )
+
+
+_PRIORITY = f"""CASE WHEN source IN ('frontier_global', 'frontier_tile') THEN 1 WHEN small_object THEN 2 WHEN regexp_matches(change_type, '{REMOVAL}', 'i') THEN 3
+  WHEN flag = 'N' AND source = 'deterministic_and_frontier' THEN 4 WHEN flag = 'N' THEN 5 ELSE 6 END"""
+
+
+def priority() -> Column:
+    """1..6; flag N stands for a candidate that needs review."""
+    review = F.col("flag") == "N"
+    return (
+        F.when(F.col("source").isin("frontier_global", "frontier_tile"), 1).when(F.col("small_object"), 2).when(F.col("change_type").rlike(f"(?i){REMOVAL}"), 3)
+        .when(review & (F.col("source") == "deterministic_and_frontier"), 4).when(review, 5).otherwise(6)
+    )
+
+
+@query("verification_category", WITH + f"SELECT priority, count(*) AS n FROM (SELECT {_PRIORITY} AS priority FROM proposals) GROUP BY 1")
+def verification_category(spark: SparkSession, d: str) -> DataFrame:
+    return T.proposals(spark, d).groupBy(priority().alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_R = """row_number() OVER (PARTITION BY pair_id ORDER BY {0}, priority, area, confidence_e3 DESC, proposal_id)"""
+
+
+@query("verification_schedule", WITH + f""",
+a AS (SELECT *, {_PRIORITY} AS priority, width * height AS area, source IN ('frontier_global', 'frontier_tile') AS f, regexp_matches(change_type, '{REMOVAL}', 'i') AS rem FROM proposals),
+b AS (SELECT *, f AND {_R.format('f DESC')} <= 2 AS p1 FROM a),
+c AS (SELECT *, small_object AND NOT p1 AND {_R.format('(small_object AND NOT p1) DESC')} <= 1 AS p2 FROM b),
+e AS (SELECT *, rem AND NOT p1 AND NOT p2 AND {_R.format('(rem AND NOT p1 AND NOT p2) DESC')} <= 1 AS p3 FROM c)
+SELECT pair_id, proposal_id, priority, q AS position, q <= 4 AS scheduled FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN p1 THEN 0 WHEN p2 THEN 1 WHEN p3 THEN 2 ELSE 3 END, priority, area, confidence_e3 DESC, proposal_id) AS q FROM e)""")
+def verification_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Reserved places for scouted, small and removed ones, then by rank, up to the capacity.
+
+    Each reserve ranks only what the ones before have left; the last rank is the place in the queue.
+    """
+    rank = ["priority", "area", F.desc("confidence_e3"), "proposal_id"]
+    rows = T.proposals(spark, d).withColumn("priority", priority()).withColumn("area", F.col("width") * F.col("height")).withColumn("reserve", F.lit(3))
+    scouted, small, removal = F.col("source").isin("frontier_global", "frontier_tile"), F.col("small_object"), F.col("change_type").rlike(f"(?i){REMOVAL}")
+    for k, (fits, n) in enumerate(((scouted, RESERVE_SCOUTED), (small, RESERVE_SMALL), (removal, RESERVE_REMOVAL))):
+        open_ = fits & (F.col("reserve") == 3)
+        at = F.row_number().over(Window.partitionBy("pair_id").orderBy(open_.desc(), *rank))
+        rows = rows.withColumn("_at", at).withColumn("reserve", F.when(open_ & (F.col("_at") <= n), k).otherwise(F.col("reserve")))
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("reserve", *rank))
+    return rows.withColumn("position", place).select("pair_id", "proposal_id", "priority", "position", (F.col("position") <= CAPACITY).alias("scheduled"))
+
+
+@query("proposal_dedup")
+def proposal_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Order decides who is kept, so it is a pass over each pair's boxes; pairs are independent."""
+    ship(spark)
+    rows = T.proposals(spark, d).select("pair_id", "proposal_id", "left", "top", "width", "height", "confidence_e3", F.array_join(tokens(F.col("change_type")), " ").alias("words"))
+    return rows.groupBy("pair_id").applyInPandas(merge, "pair_id long, proposal_id long, retained_id long")
+
+
+@query("tile_budget", """
+WITH RECURSIVE l AS (SELECT l_orderkey AS pair_id, l_quantity::BIGINT AS mp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem WHERE l_orderkey % 4 = 0),
+f AS (SELECT pair_id, r, mp, CASE WHEN mp <= 48 THEN mp ELSE 0 END AS used, mp <= 48 AS kept FROM l WHERE r = 1
+  UNION ALL SELECT l.pair_id, l.r, l.mp, CASE WHEN f.used + l.mp <= 48 THEN f.used + l.mp ELSE f.used END, f.used + l.mp <= 48 FROM f JOIN l ON l.pair_id = f.pair_id AND l.r = f.r + 1)
+SELECT pair_id, count(*) AS tiles, count(*) FILTER (kept) AS kept, max(used) AS used FROM f GROUP BY 1""")
+def tile_budget(spark: SparkSession, d: str, budget: int = 48) -> DataFrame:
+    """A tile is kept if the sum stays in the budget; one left out uses nothing. A fold over the ordered list."""
+    rows = T.read(spark, d, "lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("pair_id")).agg(
+        F.sort_array(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long").alias("mp")))).alias("t")
+    )
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"))
+
+    def step(a: Column, t: Column) -> Column:
+        ok = a["used"] + t["mp"] <= budget
+        return F.struct((a["used"] + F.when(ok, t["mp"]).otherwise(0)).alias("used"), (a["kept"] + ok.cast("long")).alias("kept"))
+
+    return rows.withColumn("f", F.aggregate("t", start, step)).select("pair_id", F.size("t").cast("long").alias("tiles"), F.col("f.kept").alias("kept"), F.col("f.used").alias("used"))
+
+
+@query("usage_sum", WITH + "SELECT pair_id, sum(CASE WHEN source LIKE 'frontier%' THEN confidence_e3 END)::BIGINT AS tokens, count(CASE WHEN source LIKE 'frontier%' THEN 1 END) AS calls FROM proposals GROUP BY 1")
+def usage_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Calls without usage don't count; null if none has any."""
+    used = F.when(F.col("source").startswith("frontier"), F.col("confidence_e3"))
+    return T.proposals(spark, d).groupBy("pair_id").agg(F.sum(used).alias("tokens"), F.count(used).alias("calls"))
+
+
+@query("funnel", WITH + """
+SELECT count(*) AS raw, count(*) FILTER (width >= 20) AS mapped, count(*) FILTER (source LIKE 'frontier%') AS scouted, count(*) FILTER (small_object) AS small, count(*) FILTER (flag = 'N') AS review, count(DISTINCT pair_id) AS pairs FROM proposals""")
+def funnel(spark: SparkSession, d: str) -> DataFrame:
+    return T.proposals(spark, d).agg(
+        F.count(F.lit(1)).alias("raw"), F.count_if(F.col("width") >= 20).alias("mapped"), F.count_if(F.col("source").startswith("frontier")).alias("scouted"),
+        F.count_if("small_object").alias("small"), F.count_if(F.col("flag") == "N").alias("review"), F.countDistinct("pair_id").alias("pairs"),
+    )

@@ -1 +1,290 @@
-"""Placeholder."""
+"""Map algebra on planes in long form (pair, y, x, before, after): stencils as windows, zonal statistics, thresholds.
+
+A pair of embeddings gives a pair of 8 x 8 planes; every window is partitioned by pair and row
+or column, so a plane's stencil never leaves its pair.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parcelflow.operators.kernels import label
+from parcelflow.plans.registry import query
+from parcelflow.sources import tables as T
+from parcelflow.sources.shipping import ship
+
+_PX = """
+e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+q AS (SELECT vec_id // 2 AS pair_id, vec_id % 2 AS side, (i // 8)::BIGINT AS y, (i % 8)::BIGINT AS x, greatest(0, least(255, floor(128 + 240 * v::DOUBLE)))::BIGINT AS p FROM e),
+px AS (SELECT a.pair_id, a.y, a.x, a.p AS a, b.p AS b, abs(a.p - b.p) AS d FROM q a JOIN q b USING (pair_id, y, x) WHERE a.side = 0 AND b.side = 1)"""
+WITH = "WITH RECURSIVE" + _PX
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id, y, x, a (before), b (after), d (absolute difference); planes are joined before they are taken apart."""
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 240 * v.cast("double")))).cast("long")
+    e = T.read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id"), (F.col("vec_id") % 2).alias("side"), F.transform("embedding", level).alias("p"))
+    both = e.where("side = 0").select("pair_id", F.col("p").alias("pa")).join(e.where("side = 1").select("pair_id", F.col("p").alias("pb")), "pair_id")
+    rows = both.select("pair_id", F.posexplode(F.arrays_zip("pa", "pb")).alias("i", "z"))
+    i = F.col("i")
+    return rows.select("pair_id", F.floor(i / 8).alias("y"), (i % 8).cast("long").alias("x"), F.col("z.pa").alias("a"), F.col("z.pb").alias("b"), F.abs(F.col("z.pa") - F.col("z.pb")).alias("d"))
+
+
+def along(axis: str, low: int, high: int):
+    other = "y" if axis == "x" else "x"
+    return Window.partitionBy("pair_id", other).orderBy(axis).rowsBetween(low, high)
+
+
+def moving(rows: DataFrame, c: str, r: int, how, out: str) -> DataFrame:
+    """A separable statistic of the square of radius r, clipped at the edges."""
+    return rows.withColumn("_m", how(c).over(along("x", -r, r))).withColumn(out, how("_m").over(along("y", -r, r))).drop("_m")
+
+
+def _square(r: int) -> str:
+    return f"FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - {r} AND p.y + {r} AND n.x BETWEEN p.x - {r} AND p.x + {r} GROUP BY p.pair_id, p.y, p.x"
+
+
+@query("box_mean", WITH + f" SELECT p.pair_id, p.y, p.x, floor(sum(n.d)::DOUBLE / count(*) + 0.5)::BIGINT AS mean {_square(2)}")
+def box_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = moving(pixels(spark, d).withColumn("one", F.lit(1)), "d", 2, F.sum, "s")
+    return moving(rows, "one", 2, F.sum, "n").select("pair_id", "y", "x", F.floor(F.col("s") / F.col("n") + 0.5).alias("mean"))
+
+
+@query("min_filter", WITH + f" SELECT p.pair_id, p.y, p.x, min(n.d) AS low, max(n.d) AS high {_square(1)}")
+def min_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = moving(pixels(spark, d), "d", 1, F.min, "low")
+    return moving(rows, "d", 1, F.max, "high").select("pair_id", "y", "x", "low", "high")
+
+
+@query("ssim", WITH + f"""
+SELECT pair_id, y, x, round((2 * sa * sb / n / n + 6.5025) * (2 * (sab / n - sa * sb / n / n) + 58.5225) / ((sa * sa / n / n + sb * sb / n / n + 6.5025) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225)), 5) AS ssim FROM (
+  SELECT p.pair_id, p.y, p.x, count(*)::DOUBLE AS n, sum(n.a)::DOUBLE AS sa, sum(n.b)::DOUBLE AS sb, sum(n.a * n.a)::DOUBLE AS saa, sum(n.b * n.b)::DOUBLE AS sbb, sum(n.a * n.b)::DOUBLE AS sab {_square(2)})""")
+def ssim(spark: SparkSession, d: str) -> DataFrame:
+    """Structural similarity from five separable window sums."""
+    rows = pixels(spark, d).withColumn("one", F.lit(1)).withColumn("aa", F.expr("a * a")).withColumn("bb", F.expr("b * b")).withColumn("ab", F.expr("a * b"))
+    for c, out in (("one", "n"), ("a", "sa"), ("b", "sb"), ("aa", "saa"), ("bb", "sbb"), ("ab", "sab")):
+        rows = moving(rows, c, 2, F.sum, out)
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("n", "sa", "sb", "saa", "sbb", "sab")})
+    value = F.expr("(2 * sa * sb / n / n + 6.5025D) * (2 * (sab / n - sa * sb / n / n) + 58.5225D) / ((sa * sa / n / n + sb * sb / n / n + 6.5025D) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225D))")
+    return rows.select("pair_id", "y", "x", F.round(value, 5).alias("ssim"))
+
+
+_GRAD = """
+g AS (SELECT *, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE least(255, floor(sqrt(gx * gx + gy * gy) / 4 + 0.5))::BIGINT END AS grad FROM (
+  SELECT p.pair_id, p.y, p.x, p.d, sum(n.a * (n.x - p.x) * (2 - abs(n.y - p.y)))::DOUBLE AS gx, sum(n.a * (n.y - p.y) * (2 - abs(n.x - p.x)))::DOUBLE AS gy
+  FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 1 AND p.y + 1 AND n.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY ALL))"""
+
+
+def with_gradient(rows: DataFrame) -> DataFrame:
+    """Sobel magnitude of the earlier plane: smoothed across, differenced along; 0 at the border."""
+    rows = rows.withColumn("_sx", F.sum("a").over(along("x", -1, 1)) + F.col("a")).withColumn("_sy", F.sum("a").over(along("y", -1, 1)) + F.col("a"))
+    at = lambda axis: Window.partitionBy("pair_id", "y" if axis == "x" else "x").orderBy(axis)
+    gx = F.lead("_sy").over(at("x")) - F.lag("_sy").over(at("x"))
+    gy = F.lead("_sx").over(at("y")) - F.lag("_sx").over(at("y"))
+    edge = F.col("y").isin(0, 7) | F.col("x").isin(0, 7)
+    rows = rows.withColumn("_gx", gx.cast("double")).withColumn("_gy", gy.cast("double"))
+    size = F.floor(F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy")) / 4 + 0.5)
+    return rows.withColumn("grad", F.when(edge, F.lit(0).cast("long")).otherwise(F.least(F.lit(255), size).cast("long"))).drop("_sx", "_sy", "_gx", "_gy")
+
+
+@query("gray_gradient", WITH + "," + _GRAD + " SELECT pair_id, y, x, grad FROM g")
+def gray_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return with_gradient(pixels(spark, d)).select("pair_id", "y", "x", "grad")
+
+
+@query("color_residual", WITH + """,
+m AS (SELECT p.pair_id, p.y, p.x, min(abs(p.a - n.b)) AS ab, min(abs(p.b - n.a)) AS ba FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 1 AND p.y + 1 AND n.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY ALL)
+SELECT pair_id, y, x, floor(0.6::DOUBLE * greatest(ab, ba) + 0.4::DOUBLE * ((ab + ba) / 2.0::DOUBLE) + 0.5)::BIGINT AS residual FROM m""")
+def color_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Least difference within one pixel, both ways: shifted arrays of neighbours by windows, no join."""
+    rows = pixels(spark, d)
+    x, y = Window.partitionBy("pair_id", "y").orderBy("x"), Window.partitionBy("pair_id", "x").orderBy("y")
+    for c in "ab":
+        rows = rows.withColumn(f"_{c}", F.array(F.lag(c).over(x), F.col(c), F.lead(c).over(x)))
+        rows = rows.withColumn(f"_{c}", F.concat(F.coalesce(F.lag(f"_{c}").over(y), F.array().cast("array<long>")), F.col(f"_{c}"), F.coalesce(F.lead(f"_{c}").over(y), F.array().cast("array<long>"))))
+    least = lambda v, n: F.array_min(F.transform(F.array_compact(n), lambda u: F.abs(F.col(v) - u)))
+    rows = rows.withColumn("ab", least("a", "_b")).withColumn("ba", least("b", "_a"))
+    return rows.select("pair_id", "y", "x", F.floor(0.6 * F.greatest("ab", "ba") + 0.4 * ((F.col("ab") + F.col("ba")) / 2) + 0.5).alias("residual"))
+
+
+@query("evidence_score", WITH + "," + _GRAD + """,
+u AS (SELECT pair_id, y, x, least(1.0::DOUBLE, d / 64.0::DOUBLE) AS c, least(255, d * 2) / 255.0::DOUBLE AS s, least(1.0::DOUBLE, grad / 96.0::DOUBLE) AS t, (d // 2) / 255.0::DOUBLE AS m FROM g),
+w AS (SELECT *, 0.45 * c + 0.40 * s + 0.15 * t AS p FROM u),
+v AS (SELECT *, CASE WHEN c < 0.18 AND s < 0.22 THEN p * 0.18 WHEN t > 0.55 AND c < 0.25 AND s < 0.3 THEN p * 0.45 ELSE p END AS r FROM w)
+SELECT pair_id, y, x, floor(255 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN m >= 0.28 AND s >= 0.18 THEN greatest(r, m * (0.42 + 0.28) + 0.12 * s + 0.04 * t) ELSE r END)) + 0.5)::BIGINT AS score FROM v""")
+def evidence_score(spark: SparkSession, d: str) -> DataFrame:
+    """Colour, structure and edges fused; weak pairs damped, removed structures raised."""
+    rows = with_gradient(pixels(spark, d)).select(
+        "pair_id", "y", "x", F.least(F.lit(1.0), F.col("d") / 64.0).alias("c"), (F.least(F.lit(255), F.col("d") * 2) / 255.0).alias("s"), F.least(F.lit(1.0), F.col("grad") / 96.0).alias("t"), (F.floor(F.col("d") / 2) / 255.0).alias("m")
+    )
+    c, s, t, m = (F.col(k) for k in "cstm")
+    p = 0.45 * c + 0.40 * s + 0.15 * t
+    damped = F.when((c < 0.18) & (s < 0.22), p * 0.18).when((t > 0.55) & (c < 0.25) & (s < 0.3), p * 0.45).otherwise(p)
+    raised = F.when((m >= 0.28) & (s >= 0.18), F.greatest(damped, m * (0.42 + 0.28) + 0.12 * s + 0.04 * t)).otherwise(damped)
+    return rows.select("pair_id", "y", "x", F.floor(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), raised)) + 0.5).alias("score"))
+
+
+def robust(rows: DataFrame, keys: list[str], c: str = "d") -> DataFrame:
+    """Median, MAD and nearest-rank percentiles of a byte plane from its histogram: exact, mergeable, 256 rows a key at most."""
+    hist = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy(c)
+    hist = hist.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(c)))
+    rank = lambda p: F.floor((F.col("total") - 1) * p + 0.5)
+    middle = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
+    got = hist.groupBy(*keys).agg(F.max("total").alias("n"), middle.alias("median"), *(at(rank(p)).alias(name) for p, name in ((0.05, "p05"), (0.9, "p90"), (0.988, "p988"))))
+    dev = hist.join(got.select(*keys, "median"), keys).withColumn("dev", F.abs(F.col(c) - F.col("median"))).groupBy(*keys, "dev").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    dev = dev.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("dev")))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("dev")))
+    mad = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
+    return got.join(dev.groupBy(*keys).agg(mad.alias("mad")), keys)
+
+
+def _stats(key: str, frm: str) -> str:
+    return f"""
+m AS (SELECT {key}, median(d)::DOUBLE AS med, list_sort(list(d)) AS l, count(*) AS n FROM {frm} GROUP BY {key}),
+st AS (SELECT m.{key}, any_value(m.n) AS n, any_value(med) AS median, median(abs(f.d - med))::DOUBLE AS mad,
+  any_value(l[(floor((m.n - 1) * 0.05 + 0.5) + 1)::INT]) AS p05, any_value(l[(floor((m.n - 1) * 0.9 + 0.5) + 1)::INT]) AS p90, any_value(l[(floor((m.n - 1) * 0.988 + 0.5) + 1)::INT]) AS p988
+  FROM m JOIN {frm} f USING ({key}) GROUP BY m.{key})"""
+
+
+@query("robust_stats", WITH + "," + _stats("pair_id", "px") + " SELECT pair_id, n, median, mad, p05, p90, p988 FROM st")
+def robust_stats(spark: SparkSession, d: str) -> DataFrame:
+    return robust(pixels(spark, d), ["pair_id"]).select("pair_id", "n", "median", "mad", "p05", "p90", "p988")
+
+
+_THRESHOLDS = """
+th AS (SELECT *, least(220, greatest(24, greatest(median + 6 * greatest(2, mad), p988)))::DOUBLE AS high FROM st),
+lo AS (SELECT *, least(greatest(10, high - 1), greatest(10, greatest(0.45::DOUBLE * high, median + 3 * greatest(2, mad))))::DOUBLE AS low FROM th)"""
+
+
+def thresholds(stats: DataFrame) -> DataFrame:
+    """High from median and MAD, guarded by the 98.8th percentile; low a share of it or three MADs."""
+    noise = F.greatest(F.lit(2.0), F.col("mad"))
+    high = F.least(F.lit(220.0), F.greatest(F.lit(24.0), F.col("median") + 6 * noise, F.col("p988").cast("double")))
+    low = F.least(F.greatest(F.lit(10.0), F.col("high") - 1), F.greatest(F.lit(10.0), 0.45 * F.col("high"), F.col("median") + 3 * noise))
+    return stats.withColumn("high", high).withColumn("low", low)
+
+
+@query("noise_thresholds", WITH + "," + _stats("pair_id", "px") + "," + _THRESHOLDS + " SELECT pair_id, round(high, 6) AS high, round(low, 6) AS low FROM lo")
+def noise_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return thresholds(robust(pixels(spark, d), ["pair_id"])).select("pair_id", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
+
+
+@query("local_thresholds", WITH + ", cells AS (SELECT (pair_id * 4 + (y // 4) * 2 + x // 4) AS cell, d FROM px)," + _stats("cell", "cells") + "," + _THRESHOLDS + " SELECT cell, floor(high + 0.5)::BIGINT AS high, floor(low + 0.5)::BIGINT AS low FROM lo")
+def local_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """The same statistics for each quarter of a plane."""
+    cell = F.col("pair_id") * 4 + F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)
+    rows = thresholds(robust(pixels(spark, d).withColumn("cell", cell), ["cell"]))
+    return rows.select("cell", F.floor(F.col("high") + 0.5).alias("high"), F.floor(F.col("low") + 0.5).alias("low"))
+
+
+@query("radiometric_gain", WITH + """,
+ma AS (SELECT pair_id, median(a)::DOUBLE AS am, median(b)::DOUBLE AS bm FROM px GROUP BY 1),
+md AS (SELECT pair_id, any_value(am) AS am, any_value(bm) AS bm, greatest(1, 1.4826::DOUBLE * median(abs(a - am))) AS ad, greatest(1, 1.4826::DOUBLE * median(abs(b - bm))) AS bd FROM px JOIN ma USING (pair_id) GROUP BY 1)
+SELECT pair_id, round(gain, 6) AS gain, round(am - bm * gain, 6) AS bias FROM (SELECT *, least(1.55::DOUBLE, greatest(0.65::DOUBLE, ad / greatest(1, bd))) AS gain FROM md)""")
+def radiometric_gain(spark: SparkSession, d: str) -> DataFrame:
+    """Scale and offset that bring the later plane's median and MAD to the earlier one's."""
+    px = pixels(spark, d)
+    one = robust(px, ["pair_id"], "a").select("pair_id", F.col("median").alias("am"), F.greatest(F.lit(1.0), 1.4826 * F.col("mad")).alias("ad"))
+    two = robust(px, ["pair_id"], "b").select("pair_id", F.col("median").alias("bm"), F.greatest(F.lit(1.0), 1.4826 * F.col("mad")).alias("bd"))
+    gain = F.least(F.lit(1.55), F.greatest(F.lit(0.65), F.col("ad") / F.greatest(F.lit(1.0), F.col("bd"))))
+    return one.join(two, "pair_id").withColumn("g", gain).select("pair_id", F.round("g", 6).alias("gain"), F.round(F.col("am") - F.col("bm") * F.col("g"), 6).alias("bias"))
+
+
+_RUNS = """(SELECT pair_id, x, x - row_number() OVER (PARTITION BY pair_id ORDER BY x) AS k FROM (SELECT pair_id, x, avg((d >= 40)::INT) AS c FROM px GROUP BY 1, 2) WHERE c >= 0.35)"""
+
+
+@query("border_bands", WITH + f"SELECT pair_id, min(x) AS first, max(x) AS last, count(*) AS n FROM {_RUNS} GROUP BY pair_id, k HAVING count(*) >= 2")
+def border_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of columns in which many pixels differ: gaps and islands."""
+    cover = pixels(spark, d).groupBy("pair_id", "x").agg(F.avg((F.col("d") >= 40).cast("int")).alias("c")).where("c >= 0.35")
+    island = F.col("x") - F.row_number().over(Window.partitionBy("pair_id").orderBy("x"))
+    return cover.withColumn("k", island).groupBy("pair_id", "k").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("k")
+
+
+@query("morphology", WITH + """,
+m AS (SELECT pair_id, y, x, (d >= 40)::INT AS v FROM px),
+er AS (SELECT p.pair_id, p.y, p.x, CASE WHEN count(*) = 9 THEN min(n.v) ELSE 0 END AS v FROM m p JOIN m n ON n.pair_id = p.pair_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 GROUP BY ALL),
+op AS (SELECT p.pair_id, p.y, p.x, max(n.v) AS v FROM er p JOIN er n ON n.pair_id = p.pair_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 GROUP BY ALL),
+di AS (SELECT p.pair_id, p.y, p.x, max(n.v) AS v FROM m p JOIN m n ON n.pair_id = p.pair_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 GROUP BY ALL),
+cl AS (SELECT p.pair_id, p.y, p.x, CASE WHEN count(*) = 9 THEN min(n.v) ELSE 0 END AS v FROM di p JOIN di n ON n.pair_id = p.pair_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 GROUP BY ALL)
+SELECT m.pair_id, sum(m.v)::BIGINT AS mask, sum(op.v)::BIGINT AS opened, sum(cl.v)::BIGINT AS closed FROM m JOIN op USING (pair_id, y, x) JOIN cl USING (pair_id, y, x) GROUP BY 1""")
+def morphology(spark: SparkSession, d: str) -> DataFrame:
+    """Opening and closing with the full 3 x 3 element; what lies outside the image is unset."""
+    rows = pixels(spark, d).withColumn("v", (F.col("d") >= 40).cast("int")).withColumn("inner", (~(F.col("y").isin(0, 7) | F.col("x").isin(0, 7))).cast("int"))
+    erode = lambda r, c, out: moving(r, c, 1, F.min, out).withColumn(out, F.col(out) * F.col("inner"))
+    rows = moving(erode(rows, "v", "e"), "e", 1, F.max, "opened")
+    rows = erode(moving(rows, "v", 1, F.max, "g"), "g", "closed")
+    return rows.groupBy("pair_id").agg(*(F.sum(c).alias(n) for c, n in (("v", "mask"), ("opened", "opened"), ("closed", "closed"))))
+
+
+def components(rows: DataFrame) -> DataFrame:
+    ship(rows.sparkSession)
+    return rows.groupBy("pair_id").applyInPandas(label, "pair_id long, y long, x long, d long, component long")
+
+
+_CC = """,
+m AS (SELECT pair_id, y, x, d, y * 8 + x AS i FROM px WHERE d >= 60),
+rc AS (SELECT pair_id, i, i AS l FROM m UNION SELECT n.pair_id, n.i, rc.l FROM rc JOIN m p ON p.pair_id = rc.pair_id AND p.i = rc.i JOIN m n ON n.pair_id = p.pair_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1),
+root AS (SELECT pair_id, i, min(l) AS root FROM rc GROUP BY 1, 2),
+cc AS (SELECT m.*, dense_rank() OVER (PARTITION BY m.pair_id ORDER BY root) AS component FROM m JOIN root USING (pair_id, i))"""
+
+
+@query("connected_components", WITH + _CC + " SELECT pair_id, y, x, component FROM cc")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return components(pixels(spark, d).where("d >= 60").select("pair_id", "y", "x", "d")).drop("d")
+
+
+@query("zonal_features", WITH + _CC + " SELECT pair_id, component, count(*) AS area, min(x) AS left, min(y) AS top, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, max(d) AS peak FROM cc GROUP BY 1, 2")
+def zonal_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = components(pixels(spark, d).where("d >= 60").select("pair_id", "y", "x", "d"))
+    return rows.groupBy("pair_id", "component").agg(
+        F.count(F.lit(1)).alias("area"), F.min("x").alias("left"), F.min("y").alias("top"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
+        F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"), F.max("d").alias("peak"),
+    )
+
+
+@query("hysteresis", WITH + _CC + " SELECT pair_id, y, x FROM (SELECT *, max(d) OVER (PARTITION BY pair_id, component) AS peak FROM cc) WHERE peak >= 110")
+def hysteresis(spark: SparkSession, d: str, high: int = 110) -> DataFrame:
+    """Pixels over the low threshold whose component has one over the high threshold."""
+    rows = components(pixels(spark, d).where("d >= 60").select("pair_id", "y", "x", "d"))
+    return rows.withColumn("peak", F.max("d").over(Window.partitionBy("pair_id", "component"))).where(F.col("peak") >= high).select("pair_id", "y", "x")
+
+
+@query("annulus_contrast", WITH + _CC + """,
+bx AS (SELECT pair_id, component, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, median(d)::DOUBLE AS med FROM cc GROUP BY 1, 2)
+SELECT b.pair_id, b.component, count(p.d) AS ring, round(any_value(med) - coalesce(median(p.d), 0)::DOUBLE, 6) AS contrast
+FROM bx b LEFT JOIN px p ON p.pair_id = b.pair_id AND p.x BETWEEN x0 - 2 AND x1 + 2 AND p.y BETWEEN y0 - 2 AND y1 + 2 AND p.d < 60 GROUP BY 1, 2""")
+def annulus_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """A component's median against that of the unset pixels around its box; the range join keeps to the pair's key."""
+    px = pixels(spark, d)
+    box = components(px.where("d >= 60").select("pair_id", "y", "x", "d")).groupBy("pair_id", "component").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.median("d").alias("med")
+    )
+    near = px.where("d < 60").select(F.col("pair_id").alias("p"), "y", "x", "d")
+    rows = box.join(near, (F.col("pair_id") == F.col("p")) & F.expr("x BETWEEN x0 - 2 AND x1 + 2 AND y BETWEEN y0 - 2 AND y1 + 2"), "left")
+    return rows.groupBy("pair_id", "component").agg(F.count("d").alias("ring"), F.round(F.max("med") - F.coalesce(F.median("d"), F.lit(0.0)), 6).alias("contrast"))
+
+
+@query("mask_sets", WITH + " SELECT pair_id, count(*) FILTER (a > 150 OR b > 150) AS either, count(*) FILTER (a > 150 AND b > 150) AS both, count(*) FILTER (NOT a > 150) AS holes, count(*) FILTER (a > 150 AND NOT b > 150) AS removed FROM px GROUP BY 1")
+def mask_sets(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("a") > 150, F.col("b") > 150
+    return pixels(spark, d).groupBy("pair_id").agg(F.count_if(a | b).alias("either"), F.count_if(a & b).alias("both"), F.count_if(~a).alias("holes"), F.count_if(a & ~b).alias("removed"))
+
+
+@query("strided_sample", WITH + " SELECT pair_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY y, x) AS r FROM px WHERE d >= 10) WHERE (r - 1) % 5 = 0")
+def strided_sample(spark: SparkSession, d: str, stride: int = 5) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("pair_id").orderBy("y", "x"))
+    return pixels(spark, d).where("d >= 10").withColumn("r", at).where((F.col("r") - 1) % stride == 0).select("pair_id", "y", "x")
+
+
+@query("severe_cells", WITH + """,
+c AS (SELECT pair_id, y // 2 AS r, x // 2 AS c, avg(d) AS m FROM px GROUP BY 1, 2, 3 HAVING avg(d) >= 45)
+SELECT a.pair_id, a.r AS row, a.c AS col FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE b.pair_id = a.pair_id AND ((b.r = a.r + 1 AND b.c = a.c) OR (b.r = a.r AND b.c = a.c + 1)))""")
+def severe_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Severe grid cells with a severe neighbour to the right or below."""
+    c = pixels(spark, d).groupBy("pair_id", F.floor(F.col("y") / 2).alias("row"), F.floor(F.col("x") / 2).alias("col")).agg(F.avg("d").alias("m")).where("m >= 45").drop("m")
+    near = c.select("pair_id", (F.col("row") - 1).alias("row"), "col").unionByName(c.select("pair_id", "row", (F.col("col") - 1).alias("col"))).distinct()
+    return c.join(near, ["pair_id", "row", "col"], "left_semi")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.plans.catalog import query
+from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 
 WITH = f"WITH {T.SQL}\n"
