@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from parcelflow.sources.shipping import ship
+
+__all__ = ["NULL_ID", "Scratch", "given_id", "known_id", "packed", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,26 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package's source to the executors, once an application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        for folder, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    path = os.path.join(tempfile.mkdtemp(prefix="code-"), "parcelflow_code.zip")
-    with open(path, "wb") as f:
-        f.write(raw.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
 class Scratch:
     """Tables of one query below the shared folder; they go when the application ends or by drop()."""
 
