@@ -19,7 +19,7 @@ TEMPLATE = {"system": ("<<SYS>>", "<</SYS>>", False), "user": ("[INST]", "[/INST
 NAME_END = "<<TEXT>>"
 #: state -> {role: next state}; what isn't listed is an error. "done" states may end a conversation.
 MACHINE = {"start": {"system": "told", "user": "asked"}, "told": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}}
-FINAL = ("answered",)
+FINAL, REFUSED = ("answered",), "refused"
 _CONTROL = [m for o, c, _ in TEMPLATE.values() for m in (o, c)] + [NAME_END]
 
 
@@ -57,12 +57,12 @@ def _segments(turn: Column) -> Column:
 
 def _step(state: Column, turn: Column) -> Column:
     """state: (at, state, error). The first turn that MACHINE doesn't allow is kept in error."""
-    nxt = F.lit(None).cast("string")
+    nxt = F.lit(REFUSED)
     for s, moves in MACHINE.items():
         for role, to in moves.items():
             nxt = F.when((state["state"] == s) & (turn["role"] == role), F.lit(to)).otherwise(nxt)
     return F.struct(
-        (state["at"] + 1).alias("at"), nxt.alias("state"), F.when(state["error"].isNull() & nxt.isNull(), state["at"]).otherwise(state["error"]).alias("error")
+        (state["at"] + 1).alias("at"), nxt.alias("state"), F.when(state["error"].isNull() & (nxt == REFUSED), state["at"]).otherwise(state["error"]).alias("error")
     )
 
 
