@@ -5,11 +5,12 @@ its prefix: of its n-gram numbers in ascending order the first size - need + 1,
 the least overlap with any partner; two linked nodes share one of these. Of the nodes that
 share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
 overlap of a node with a subtree, or another node, is at most the sum of the coordinates'
-minima, and what this bound leaves is verified on the sets themselves.
+minima (for long sets also that of finer counts), and what this bound leaves is verified on
+the sets themselves.
 
-Large groups aren't joined pair by pair: a node that no earlier pivot reaches becomes a
-pivot, and pivots are paired with all they reach. Only if nodes of a group lie in different
-components after that, their remaining pairs are taken in a second round.
+Groups aren't joined pair by pair: a node that no earlier pivot reaches becomes a pivot, and
+pivots are paired with all they reach. Only if nodes of a group lie in different components
+after that, their remaining pairs are taken in a second round.
 """
 
 from __future__ import annotations
@@ -27,10 +28,16 @@ from parcelflow.llm import store
 from parcelflow.llm.components import connected
 from parcelflow.llm.words import Words, shingles, slices
 
-GROUPS = 16
-SMALL = 12
+GROUPS = 32
+#: Groups of up to SMALL nodes are handled side by side, larger ones by an R-tree each.
+SMALL = 32
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+_FULL = (1 << 16) - 1
 LEAF, FAN = 32, 16
-_BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary"
+#: Sets of LONG n-grams or more also have counts of FINE groups, as few coarse ones tell long sets apart badly.
+LONG, FINE = 512, 2048
+_BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, fine binary"
 
 
 def _sets(part: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -44,19 +51,20 @@ def _base(n: int, num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                size, d1, d2, keys, points = [], [], [], [], []
+                size, d1, d2, keys, points, fine = [], [], [], [], [], []
                 for s in _sets(part, n):
                     digest = xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
                     size.append(len(s))
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
                     keys.append(s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s)
-                    points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                    points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).clip(max=_FULL).astype("<u2").tobytes())
+                    fine.append(np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE).clip(max=255).astype(np.uint8).tobytes() if len(s) >= LONG else None)
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys", "point"],
+                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary()), pa.array(fine, pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "keys", "point", "fine"],
                 )
 
     return run
@@ -144,19 +152,40 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
     def work(key: np.ndarray, t: pa.Table) -> pa.RecordBatch | None:
         node, size = np.asarray(t.column("node")), np.asarray(t.column("n_shingles"))
         part = np.asarray(t.column("part")) if again else None
-        point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+        point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int64)
+        point[point == _FULL] = 1 << 40  # a full counter bounds nothing
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         count = np.diff(edge)
-        own = np.repeat(count, count)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, min(SMALL, len(key))):
-            i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= SMALL))
-            if part is not None:
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            x = np.minimum(point[i], point[j]).sum(axis=1)
+            return den * x >= num * (size[i] + size[j] - x)
+
+        if part is None:
+            reached = np.zeros(len(key), dtype=bool)
+            at, end = edge[:-1][count <= SMALL].copy(), edge[1:][count <= SMALL]
+            while len(at):  # at: the next pivot of each group
+                first = edge[np.searchsorted(edge, at, side="right") - 1]
+                n = end - first
+                member = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                pivot = np.repeat(at, n)
+                hit = (member != pivot) & near(pivot, member)
+                out_a.append(node[pivot[hit]])
+                out_b.append(node[member[hit]])
+                reached[member[hit]] = reached[at] = True
+                at = at + 1
+                while (skip := (at < end) & reached[np.minimum(at, len(key) - 1)]).any():
+                    at = at + skip
+                at, end = at[at < end], end[at < end]
+        else:
+            own = np.repeat(count, count)
+            for d in range(1, min(SMALL, len(key))):
+                i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= SMALL))
                 i = i[part[i] != part[i + d]]
-            x = np.minimum(point[i], point[i + d]).sum(axis=1)
-            i = i[den * x >= num * (size[i] + size[i + d] - x)]
-            out_a.append(node[i])
-            out_b.append(node[i + d])
+                i = i[near(i, i + d)]
+                out_a.append(node[i])
+                out_b.append(node[i + d])
         for k in np.flatnonzero(count > SMALL):
             s = slice(edge[k], edge[k + 1])
             a, b = _large(node[s], size[s], point[s], None if part is None else part[s], num, den)
@@ -204,18 +233,20 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> Da
     sets = scratch.put(sets, "sets")
     on_set = lambda x: (F.col("d1") == F.col(f"{x}1")) & (F.col("d2") == F.col(f"{x}2"))
     named = sets.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node")
-    nodes = base.where("n_shingles > 0").join(named, on_set("e")).where("doc_id = node").select("node", "n_shingles", "d1", "d2", "keys", "point")
+    nodes = base.where("n_shingles > 0").join(named, on_set("e")).where("doc_id = node").select("node", "n_shingles", "d1", "d2", "keys", "point", "fine")
     nodes = scratch.put(nodes.dropDuplicates(["node", "d1", "d2"]), "nodes")
     keys = nodes.select(F.explode("keys").alias("key"), "node", "n_shingles")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
     routed = keys.join(shared, F.col("key") == F.col("k"), "left_semi").select("key", F.col("node").alias("m"), F.col("n_shingles").alias("size"))
     points = nodes.select("node", "n_shingles", "point")
     routed = scratch.put(routed.join(points, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles"))).select(F.col("key").alias("group"), "node", "n_shingles", "point"), "routed")
-    links = _verified(scratch, text, _candidates(routed, num, den), n, num, den, "first")
+    first = scratch.put(_candidates(routed, num, den), "first")
+    fine = nodes.where("fine is not null").select("node", "n_shingles", "fine")
+    links = _verified(scratch, text, _refined(first, fine, num, den), n, num, den, "first")
     parts = connected(spark, links.select("a", "b"), scratch)
-    more = _second(scratch, routed, parts, num, den)
+    more = _second(scratch, routed, parts, num, den, first)
     if not more.isEmpty():
-        links = links.unionByName(_verified(scratch, text, more, n, num, den, "second"))
+        links = links.unionByName(_verified(scratch, text, _refined(more, fine, num, den), n, num, den, "second"))
         parts = connected(spark, links.select("a", "b"), scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
     member = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named.withColumnRenamed("node", "_node"), on_set("e"), "left")
@@ -225,24 +256,47 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> Da
 
 
 def _candidates(routed: DataFrame, num: int, den: int) -> DataFrame:
-    rows = routed.select("group", "node", "n_shingles", "point").repartition("group").sortWithinPartitions("group", "n_shingles", "node")
+    rows = routed.select("group", "node", "n_shingles", "point").repartition("group").sortWithinPartitions("group", "node")
     return rows.mapInArrow(_pairs(num, den, False), "a long, b long").distinct()
 
 
-def _second(scratch: store.Scratch, routed: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+def _second(scratch: store.Scratch, routed: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame) -> DataFrame:
     """Pairs of different components in groups where pivots may have hidden some."""
-    large = routed.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SMALL).select(F.col("group").alias("g"))
+    large = routed.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select(F.col("group").alias("g"))
     rows = routed.join(large, F.col("group") == F.col("g"), "left_semi").join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left")
     rows = scratch.put(rows.select("group", "node", "n_shingles", "point", F.coalesce("root", "node").alias("part")), "large")
     mixed = rows.groupBy("group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select(F.col("group").alias("g"))
-    rows = rows.join(mixed, F.col("group") == F.col("g"), "left_semi").repartition("group").sortWithinPartitions("group", "n_shingles", "node")
-    return scratch.put(rows.mapInArrow(_pairs(num, den, True), "a long, b long").distinct(), "more")
+    rows = rows.join(mixed, F.col("group") == F.col("g"), "left_semi").repartition("group").sortWithinPartitions("group", "node")
+    pairs = rows.mapInArrow(_pairs(num, den, True), "a long, b long").distinct()
+    return scratch.put(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+
+
+def _fine(num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, FINE) for c in ("fa", "fb"))
+            low = np.minimum(x, y)
+            bound = low.sum(axis=1, dtype=np.int64) + (low == 255).any(axis=1) * (1 << 40)  # a full counter bounds nothing
+            both = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            yield batch.select(["a", "b"]).filter(pa.array(den * bound >= num * (both - bound)))
+
+    return run
+
+
+def _refined(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those of long sets that the bound of fine counts rules out."""
+    side = lambda x: fine.select(F.col("node").alias(f"_{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    rows = pairs.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
+    long = rows.where("fa is not null and fb is not null").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_fine(num, den), "a long, b long")
+    return rows.where("fa is null or fb is null").select("a", "b").unionByName(long).distinct()
 
 
 def _verified(scratch: store.Scratch, text: DataFrame, pairs: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
     """Of candidate pairs (a, b) those whose sets reach the ratio."""
     pairs = scratch.put(pairs, f"pairs-{name}")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    wanted = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), f"wanted-{name}")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     sets = scratch.put(text.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_set_rows(n), "node long, s array<long>"), f"sets-{name}")
     one = pairs.join(sets.select(F.col("node").alias("na"), F.col("s").alias("sa")), F.col("a") == F.col("na"))
     two = one.select("a", "b", "sa").join(sets.select(F.col("node").alias("nb"), F.col("s").alias("sb")), F.col("b") == F.col("nb"))
