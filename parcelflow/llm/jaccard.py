@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard join of documents by count-vector R-trees.
 
 A document is its set of distinct word n-grams. Equal sets are one node. A node is routed by
-its prefix: of its n-gram numbers in ascending order the first size - need + 1, where need is
-the least overlap with any partner; two linked nodes share one of these. Of the nodes that
+its prefix: of its n-gram numbers in ascending order (longest n-grams first) the first
+size - need + 1, where need is the least overlap with any partner; two linked nodes share
+one of these. Of the nodes that
 share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
 overlap of a node with a subtree, or another node, is at most the sum of the coordinates'
 minima (for long sets also that of finer counts), and what this bound leaves is verified on
@@ -41,8 +42,15 @@ _BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point
 
 
 def _sets(part: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    """Each text's distinct n-gram numbers, ascending: longer n-grams, which are rarer, have smaller numbers."""
     w = Words(pc.fill_null(part.column("text"), "")).lower()
     grams, bounds = shingles(w.hashes(), w.at, n)
+    size = np.diff(bounds)
+    first = np.arange(len(grams)) + np.repeat(w.at[:-1] - bounds[:-1], size)
+    last = np.minimum(first + n, np.repeat(w.at[1:], size))
+    letters = np.concatenate([[0], np.cumsum(w.end - w.start)])
+    short = (255 - np.minimum(letters[last] - letters[first], 255)).astype(np.uint64)
+    grams = (short << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         yield np.unique(grams[a:b])
 
