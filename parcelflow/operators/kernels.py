@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -29,37 +30,39 @@ def label(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy: each box, by confidence, joins the first kept one that it duplicates."""
-    pdf = pdf.sort_values(["confidence_e3", "proposal_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    x, y, w, h = (pdf[c].to_numpy(float) for c in ("left", "top", "width", "height"))
+    """Greedy, for some pairs at once: each box, by confidence, joins its pair's first kept one that it duplicates."""
+    pdf = pdf.sort_values(["pair_id", "confidence_e3", "proposal_id"], ascending=[True, False, True], kind="stable")
+    pair, ids = pdf["pair_id"].to_list(), pdf["proposal_id"].to_list()
+    x, y, w, h = (pdf[c].astype(float).to_list() for c in ("left", "top", "width", "height"))
     words = [set(t.split(" ")) for t in pdf["words"]]
     kept: list[int] = []
-    into = np.zeros(len(pdf), dtype=np.int64)
-    for i in range(len(pdf)):
-        into[i] = i
+    into = list(range(len(ids)))
+    for i in range(len(ids)):
+        if i and pair[i] != pair[i - 1]:
+            kept = []
         for k in kept:
             over = max(0.0, min(x[i] + w[i], x[k] + w[k]) - max(x[i], x[k])) * max(0.0, min(y[i] + h[i], y[k] + h[k]) - max(y[i], y[k]))
             a, b = w[i] * h[i], w[k] * h[k]
             iou, held = round(over / max(1.0, a + b - over), 4), round(over / max(1.0, min(a, b)), 4)
-            scale = max(1.0, (np.hypot(w[i], h[i]) + np.hypot(w[k], h[k])) / 2)
-            far = round(float(np.hypot(x[i] + w[i] / 2 - x[k] - w[k] / 2, y[i] + h[i] / 2 - y[k] - h[k] / 2)) / scale, 4)
+            scale = max(1.0, (math.hypot(w[i], h[i]) + math.hypot(w[k], h[k])) / 2)
+            far = round(math.hypot(x[i] + w[i] / 2 - x[k] - w[k] / 2, y[i] + h[i] / 2 - y[k] - h[k] / 2) / scale, 4)
             alike = round(len(words[i] & words[k]) / max(1, len(words[i] | words[k])), 4)
             if alike >= SEMANTIC and (iou >= IOU or (held >= CONTAINMENT and far <= CENTRE and round(min(a, b) / max(1.0, max(a, b)), 4) >= SIZE)):
                 into[i] = k
                 break
         else:
             kept.append(i)
-    return pd.DataFrame({"pair_id": pdf["pair_id"], "proposal_id": pdf["proposal_id"], "retained_id": pdf["proposal_id"].to_numpy()[into]})
+    return pd.DataFrame({"pair_id": pair, "proposal_id": ids, "retained_id": [ids[k] for k in into]})
 
 
 def match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Truths in order take the free prediction that covers most of them; the first of equals."""
-    taken: set[int] = set()
-    out = []
-    for truth, rows in pdf.sort_values(["truth_id", "found_id"], kind="stable").groupby("truth_id", sort=True):
-        free = rows[~rows["found_id"].isin(taken)]
-        hit = int(free["found_id"].to_numpy()[np.argmax(free["share"].to_numpy())]) if len(free) else None
-        if hit is not None:
-            taken.add(hit)
-        out.append((int(pdf["pair_id"].iloc[0]), int(truth), hit))
-    return pd.DataFrame(out, columns=["pair_id", "truth_id", "found_id"]).astype({"found_id": "Int64"})
+    """For some pairs at once: truths in order take the free prediction that covers most of them; the first of equals."""
+    rows = pdf.sort_values(["pair_id", "truth_id", "share", "found_id"], ascending=[True, True, False, True], kind="stable")
+    taken: set[tuple[int, int]] = set()
+    hit: dict[tuple[int, int], int | None] = {}
+    for p, t, f in zip(rows["pair_id"].to_list(), rows["truth_id"].to_list(), rows["found_id"].to_list(), strict=True):
+        if hit.setdefault((p, t), None) is None and (p, f) not in taken:
+            hit[p, t] = f
+            taken.add((p, f))
+    out = pd.DataFrame([(p, t, f) for (p, t), f in hit.items()], columns=["pair_id", "truth_id", "found_id"])
+    return out.astype({"found_id": "Int64"})

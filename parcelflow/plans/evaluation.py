@@ -55,7 +55,7 @@ def object_matching(spark: SparkSession, d: str) -> DataFrame:
     side = lambda rows, s, i: rows.select("pair_id", F.col("proposal_id").alias(i), *(F.col(c).alias(f"{s}_{c}") for c in ("left", "top", "width", "height")))
     rows = side(p.where("flag = 'R'"), "a", "truth_id").join(side(p.where("flag <> 'R'"), "b", "found_id"), "pair_id")
     share = B.overlap("a_", "b_") / B.area("a_")
-    return rows.select("pair_id", "truth_id", "found_id", share.alias("share")).where("share >= 0.01").groupBy("pair_id").applyInPandas(match, "pair_id long, truth_id long, found_id long")
+    return rows.select("pair_id", "truth_id", "found_id", share.alias("share")).where("share >= 0.01").groupBy(F.floor(F.col("pair_id") / 256)).applyInPandas(match, "pair_id long, truth_id long, found_id long")
 
 
 @query("missed_objects", f"WITH {T.SQL}" + """

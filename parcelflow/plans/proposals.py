@@ -94,7 +94,7 @@ def proposal_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Order decides who is kept, so it is a pass over each pair's boxes; pairs are independent."""
     ship(spark)
     rows = T.proposals(spark, d).select("pair_id", "proposal_id", "left", "top", "width", "height", "confidence_e3", F.array_join(tokens(F.col("change_type")), " ").alias("words"))
-    return rows.groupBy("pair_id").applyInPandas(merge, "pair_id long, proposal_id long, retained_id long")
+    return rows.groupBy(F.floor(F.col("pair_id") / 256)).applyInPandas(merge, "pair_id long, proposal_id long, retained_id long")
 
 
 @query("tile_budget", """
