@@ -28,7 +28,9 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
     Lengths are counted by document, null lengths are left out; no documents give no rows.
     """
-    hist = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
+    counts = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = store.Scratch(lengths.sparkSession, "lengths").put(counts, "counts")  # read twice below; encoding is the cost
+    hist = counts.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = hist.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_t"))
     beyond = Window.partitionBy(F.lit(1)).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
