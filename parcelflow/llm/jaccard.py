@@ -6,12 +6,14 @@ size - need + 1, where need is the least overlap with any partner; two linked no
 one of these. Of the nodes that
 share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
 overlap of a node with a subtree, or another node, is at most the sum of the coordinates'
-minima (for long sets also that of finer counts), and what this bound leaves is verified on
-the sets themselves.
+minima. Pairs that this bound leaves are held against finer counts (two sets differ in at
+least as many n-grams as their counts do; of shorter sets the counts' lowest bits suffice), and
+what is left is verified on the sets themselves.
 
 Groups aren't joined pair by pair: a node that no earlier pivot reaches becomes a pivot, and
 pivots are paired with all they reach. Only if nodes of a group lie in different components
-after that, their remaining pairs are taken in a second round.
+after that, their remaining pairs are taken in a second round, whose rows carry
+the finer counts, so that only pairs these leave are ever written.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ SMALL = 32
 BROADCAST_IDS = 1_000_000
 _FULL = (1 << 16) - 1
 LEAF, FAN = 32, 16
-#: Sets of LONG n-grams or more also have counts of FINE groups, as few coarse ones tell long sets apart badly.
-LONG, FINE = 512, 2048
+#: Finer counts are of FINE groups: a byte each for sets of LONG n-grams or more, else the lowest bit.
+LONG, FINE = 2048, 2048
 _BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, fine binary"
 
 
@@ -67,7 +69,8 @@ def _base(n: int, num: int, den: int) -> Callable:
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
                     keys.append(s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s)
                     points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).clip(max=_FULL).astype("<u2").tobytes())
-                    fine.append(np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE).clip(max=255).astype(np.uint8).tobytes() if len(s) >= LONG else None)
+                    counts = np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                    fine.append((counts.clip(max=255).astype(np.uint8) if len(s) >= LONG else np.packbits(counts & 1)).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -138,7 +141,39 @@ class RTree:
         return self.order[at]
 
 
-def _large(node: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+class Fine:
+    """Finer counts of many sets; rows of one kind (bytes or bits) can be compared."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        rows = column.to_pylist()
+        self.long = np.fromiter((len(r) == FINE for r in rows), dtype=bool, count=len(rows))
+        self.at = np.where(self.long, np.cumsum(self.long), np.cumsum(~self.long)) - 1
+        self.counts = np.frombuffer(b"".join(r for r in rows if len(r) == FINE), dtype=np.uint8).reshape(-1, FINE)
+        self.bits = np.frombuffer(b"".join(r for r in rows if len(r) != FINE), dtype=np.uint64).reshape(-1, FINE // 64)
+
+    def apart(self, i: np.ndarray, other: Fine, j: np.ndarray) -> np.ndarray:
+        """For rows i and other's rows j: n-grams that are in one set only, at least (0 for rows of two kinds).
+
+        A full byte stands for 255 or more, so its difference to another is a lower bound too.
+        """
+        out = np.zeros(len(i), dtype=np.int64)
+        x, y = self.long[i], other.long[j]
+        short, long = np.flatnonzero(~x & ~y), np.flatnonzero(x & y)
+        for at in np.array_split(short, len(short) // 16384 + 1):
+            out[at] = np.bitwise_count(self.bits[self.at[i[at]]] ^ other.bits[other.at[j[at]]]).sum(axis=1, dtype=np.int64)
+        for at in np.array_split(long, len(long) // 2048 + 1):
+            a, b = self.counts[self.at[i[at]]], other.counts[other.at[j[at]]]
+            out[at] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _near(apart: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets with both n-grams in all can reach the ratio if so many are in one of them only."""
+    return den * (both - apart) >= num * (both + apart)
+
+
+def _large(node: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarray | None, fine: Fine | None, at: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one group; at: the index of its first row in fine."""
     tree = RTree(point, size, num, den)
     a, b = [], []
     reached = np.zeros(len(node), dtype=bool)
@@ -148,6 +183,7 @@ def _large(node: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarr
         got = tree.search(point[i], int(size[i]))
         if part is not None:
             got = got[part[got] > part[i]]
+            got = got[_near(fine.apart(np.full(len(got), at + i), fine, at + got), size[i] + size[got], num, den)]
         reached[got] = True
         a.append(np.full(len(got), node[i]))
         b.append(node[got])
@@ -159,7 +195,7 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
 
     def work(key: np.ndarray, t: pa.Table) -> pa.RecordBatch | None:
         node, size = np.asarray(t.column("node")), np.asarray(t.column("n_shingles"))
-        part = np.asarray(t.column("part")) if again else None
+        part, fine = (np.asarray(t.column("part")), Fine(t.column("fine"))) if again else (None, None)
         point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int64)
         point[point == _FULL] = 1 << 40  # a full counter bounds nothing
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -192,11 +228,12 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
                 i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= SMALL))
                 i = i[part[i] != part[i + d]]
                 i = i[near(i, i + d)]
+                i = i[_near(fine.apart(i, fine, i + d), size[i] + size[i + d], num, den)]
                 out_a.append(node[i])
                 out_b.append(node[i + d])
         for k in np.flatnonzero(count > SMALL):
             s = slice(edge[k], edge[k + 1])
-            a, b = _large(node[s], size[s], point[s], None if part is None else part[s], num, den)
+            a, b = _large(node[s], size[s], point[s], None if part is None else part[s], fine, int(edge[k]), num, den)
             out_a.append(a)
             out_b.append(b)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -249,12 +286,12 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> Da
     points = nodes.select("node", "n_shingles", "point")
     routed = scratch.put(routed.join(points, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles"))).select(F.col("key").alias("group"), "node", "n_shingles", "point"), "routed")
     first = scratch.put(_candidates(routed, num, den), "first")
-    fine = nodes.where("fine is not null").select("node", "n_shingles", "fine")
+    fine = nodes.select("node", "n_shingles", "fine")
     links = _verified(scratch, text, _refined(first, fine, num, den), n, num, den, "first")
     parts = connected(spark, links.select("a", "b"), scratch)
-    more = _second(scratch, routed, parts, num, den, first)
+    more = _second(scratch, routed, fine, parts, num, den, first)
     if not more.isEmpty():
-        links = links.unionByName(_verified(scratch, text, _refined(more, fine, num, den), n, num, den, "second"))
+        links = links.unionByName(_verified(scratch, text, more, n, num, den, "second"))
         parts = connected(spark, links.select("a", "b"), scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
     member = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named.withColumnRenamed("node", "_node"), on_set("e"), "left")
@@ -268,13 +305,15 @@ def _candidates(routed: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(_pairs(num, den, False), "a long, b long").distinct()
 
 
-def _second(scratch: store.Scratch, routed: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame) -> DataFrame:
+def _second(scratch: store.Scratch, routed: DataFrame, fine: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame) -> DataFrame:
     """Pairs of different components in groups where pivots may have hidden some."""
     large = routed.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select(F.col("group").alias("g"))
     rows = routed.join(large, F.col("group") == F.col("g"), "left_semi").join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left")
     rows = scratch.put(rows.select("group", "node", "n_shingles", "point", F.coalesce("root", "node").alias("part")), "large")
     mixed = rows.groupBy("group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select(F.col("group").alias("g"))
-    rows = rows.join(mixed, F.col("group") == F.col("g"), "left_semi").repartition("group").sortWithinPartitions("group", "node")
+    finer = fine.select(F.col("node").alias("m"), F.col("n_shingles").alias("size"), "fine")
+    rows = rows.join(mixed, F.col("group") == F.col("g"), "left_semi").join(finer, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles")))
+    rows = rows.select("group", "node", "n_shingles", "point", "part", "fine").repartition("group").sortWithinPartitions("group", "node")
     pairs = rows.mapInArrow(_pairs(num, den, True), "a long, b long").distinct()
     return scratch.put(pairs.join(tested, ["a", "b"], "left_anti"), "more")
 
@@ -282,21 +321,19 @@ def _second(scratch: store.Scratch, routed: DataFrame, parts: DataFrame, num: in
 def _fine(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, FINE) for c in ("fa", "fb"))
-            low = np.minimum(x, y)
-            bound = low.sum(axis=1, dtype=np.int64) + (low == 255).any(axis=1) * (1 << 40)  # a full counter bounds nothing
+            i = np.arange(batch.num_rows)
+            apart = Fine(batch.column("fa")).apart(i, Fine(batch.column("fb")), i)
             both = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(den * bound >= num * (both - bound)))
+            yield batch.select(["a", "b"]).filter(pa.array(_near(apart, both, num, den)))
 
     return run
 
 
 def _refined(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) without those of long sets that the bound of fine counts rules out."""
+    """Pairs (a, b) without those that the finer counts rule out."""
     side = lambda x: fine.select(F.col("node").alias(f"_{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-    rows = pairs.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
-    long = rows.where("fa is not null and fb is not null").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_fine(num, den), "a long, b long")
-    return rows.where("fa is null or fb is null").select("a", "b").unionByName(long).distinct()
+    rows = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return rows.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_fine(num, den), "a long, b long").distinct()
 
 
 def _verified(scratch: store.Scratch, text: DataFrame, pairs: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
