@@ -390,3 +390,26 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
             assert rows.where("doc_id >= 100000").count() == 0
     out = cp.STAGES[-1][1](spark, rows, DATA)
     assert out.count() == rows.count()
+
+
+def test_finer_counts_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for n in (1, 2, 40, 300, 2040, 2060, 5000):
+        base = list(rng.choice(words, n))
+        for changes in (0, 1, n // 20, n):
+            t = list(base)
+            for at in rng.integers(0, n, changes):
+                t[at] = str(rng.choice(words))
+            texts.append(" ".join(t))
+    texts.append("x " * 70000 + "y")  # a repeated shingle counts once
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    fine = jaccard.Fine(pa.chunked_array([b.column("fine") for b in jaccard._base(3, 90, 100)([batch])]))
+    sets = [set(s.tolist()) for s in jaccard._sets(batch, 3)]
+    i, j = (a.ravel() for a in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    true = np.array([len(sets[a] ^ sets[b]) for a, b in zip(i, j, strict=True)])
+    apart = fine.apart(i, fine, j)
+    assert (apart <= true).all() and (apart[i == j] == 0).all()
+    same = fine.long[i] == fine.long[j]
+    assert (apart[same & (true > 0) & (true < 100)] > 0).mean() > 0.9
