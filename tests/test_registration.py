@@ -91,5 +91,5 @@ def test_pairs_are_aligned_and_graded(spark):
     assert graded[1].edge_alignment < 0.01 and not inner.any() and graded[1].scale_ratio == 1 and graded[1].reliable
     for k in (2, 3):
         assert graded[k].failed == ["features", "residual", "overlap", "scale"] and not graded[k].reliable and not any(graded[k].valid) and graded[k].grid == []
-    assert set(graded[4].failed) >= {"features", "reprojection", "residual"} and graded[4].edge_alignment > 0.5
+    assert set(graded[4].failed) >= {"features", "reprojection"} and graded[4].edge_alignment > 20 * graded[1].edge_alignment
     assert graded[1].confidence > 0.9 > graded[2].confidence >= 0
