@@ -1,14 +1,15 @@
 """Quality rules whose cutoffs keep the risk of rejecting good documents under control.
 
-Each rule is a whole-number feature of a document and the side on which it is bad. For each
-stratum and rule, labelled documents give exact counts of good documents beyond each cutoff
-of a fixed grid; a cutoff may be used if the Clopper-Pearson upper bound of its rate of
-rejected good documents is at most the rule's share of the allowed rate. Bounds are corrected
-for all strata and rules (Bonferroni); the cutoffs of a rule are tested in a fixed order, from
-the one that rejects fewest, up to the first that fails, which needs no further correction.
-The rules' shares add up to the allowed rate, so with the given confidence no stratum loses
-more than that. Among allowed cutoffs the one that rejects most bad documents is taken, if it
-rejects any.
+Each rule is a whole-number feature of a document and the side on which it is bad, with a
+fixed grid of cutoffs. A document's level is the largest index of a cutoff that it meets under
+any rule; to reject from a level on uses that cutoff of all rules at once. For each stratum,
+labelled documents give exact counts of good documents at or beyond each level; a level may be
+used if the Clopper-Pearson upper bound of the rate of good documents that the rules reject
+together is at most the allowed rate. Bounds are corrected for all strata (Bonferroni); levels
+are tested in a fixed order, from the one that rejects fewest, up to the first that fails, which
+needs no further correction. So with the given confidence no stratum loses more than the allowed
+rate. Among allowed levels the one that rejects most bad documents is taken, if it rejects any;
+rules without which it rejects as many stay unused, which only lowers the risk.
 """
 
 from __future__ import annotations
@@ -125,27 +126,28 @@ def upper_bound(bad: int, n: int, delta: float) -> float:
 
 
 def cutoffs(counts: list, risk: float, confidence: float, rules: tuple[Rule, ...] = RULES, strata: tuple[str, ...] = (*STRATA, OTHER)) -> dict[str, dict[str, int]]:
-    """counts: rows (stratum, rule, cutoff index, good, bad), of documents for which it is the strictest cutoff met (-1: none)."""
-    delta = (1 - confidence) / (len(strata) * len(rules))
+    """counts: rows (stratum, rule, cutoff index, good, bad), of documents whose level is the index (-1: none), met under the rule."""
+    delta = (1 - confidence) / len(strata)
+    levels = max(len(r.grid) for r in rules)
     out: dict[str, dict[str, int]] = {}
     for s in strata:
-        for k, r in enumerate(rules):
-            good, bad = np.zeros(len(r.grid) + 1, int), np.zeros(len(r.grid) + 1, int)
-            for row in counts:
-                if row["stratum"] == s and row["rule"] == k:
-                    good[row["cut"] + 1] += row["good"]
-                    bad[row["cut"] + 1] += row["bad"]
-            n = int(good.sum())
-            good_beyond, bad_beyond = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-            best = None
-            for c in range(len(r.grid))[::-1]:  # from the cutoff that rejects fewest
-                g, b = int(good_beyond[c + 1]), int(bad_beyond[c + 1])
-                if not n or upper_bound(g, n, delta) > risk / len(rules):
-                    break
-                if b > (best[0] if best else 0):
-                    best = (b, c)
-            if best:
-                out.setdefault(s, {})[r.name] = r.grid[best[1]] if r.high else r.grid[::-1][best[1]]
+        good, bad = np.zeros(levels + 1, int), np.zeros((len(rules), levels + 1), int)
+        for row in counts:
+            if row["stratum"] == s:
+                good[row["cut"] + 1] += row["good"]
+                bad[row["rule"], row["cut"] + 1] += row["bad"]
+        n = int(good.sum())
+        good_beyond, bad_beyond = good[::-1].cumsum()[::-1], bad[:, ::-1].cumsum(axis=1)[:, ::-1]
+        best = None
+        for c in range(levels)[::-1]:  # from the level that rejects fewest
+            g, b = int(good_beyond[c + 1]), int(bad_beyond[:, c + 1].sum())
+            if not n or upper_bound(g, n, delta) > risk:
+                break
+            if b > (best[0] if best else 0):
+                best = (b, c)
+        if best:
+            c = best[1]
+            out[s] = {r.name: r.grid[c] if r.high else r.grid[::-1][c] for k, r in enumerate(rules) if c < len(r.grid) and bad_beyond[k, c + 1]}
     return out
 
 
@@ -160,7 +162,7 @@ def choose(feats: DataFrame, labels: DataFrame, risk: float, confidence: float,
     """Cutoffs from all labelled documents that pass the base rules; only counts reach the driver."""
     named = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("quality"))
     seen = feats.where(~base_failed()).join(named, F.col("doc_id") == F.col("_id"))
-    met = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), _met(r).alias("cut")) for k, r in enumerate(rules))))
+    met = F.array_max(F.array(*(F.struct(_met(r).alias("cut"), F.lit(k).alias("rule")) for k, r in enumerate(rules))))
     rows = seen.select("stratum", "quality", met.alias("m")).groupBy("stratum", "m.rule", "m.cut").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     return cutoffs([r.asDict() for r in rows.collect()], risk, confidence, rules)
 

@@ -301,6 +301,20 @@ def test_cutoffs_hold_their_risk():
     assert quality.cutoffs([{"stratum": "en", "rule": 0, "cut": 20, "good": 50, "bad": 50}], 0.01, 0.95) == {}
 
 
+def test_cutoffs_control_the_union_of_rules_at_few_labels(spark):
+    row = lambda rule, cut, good, bad: {"stratum": "de", "rule": rule, "cut": cut, "good": good, "bad": bad}
+    for n, want in ((458, {}), (459, {"de": {"symbols": quality.RULES[0].grid[20]}})):
+        assert quality.cutoffs([row(0, -1, n, 5), row(0, 20, 0, 30)], 0.01, 0.95) == want
+    assert quality.cutoffs([row(0, -1, 3970, 0), row(0, 20, 15, 9)], 0.01, 0.95)
+    assert quality.cutoffs([row(0, -1, 3970, 0), row(0, 20, 15, 9), row(1, 20, 25, 9)], 0.01, 0.95) == {}
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) + ("&&&" if i >= 470 else "") for _ in range(60)), "de") for i in range(500)]
+    labels = spark.createDataFrame([(i, int(i < 470)) for i in range(485)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.judge(spark, df, labels).collect() if not r.kept} == set(range(470, 500))
+    assert quality.keep(spark, df, labels).count() == 470
+
+
 def test_chat_reads_back_and_checks_turns(spark):
     odd = "~0 [INST] </s> <<SYS>> ~ <s> [/INST] <<ROLE>>"
     rows = [(1, 0, "system", odd), (1, 1, "user", odd), (1, 2, "assistant", odd), (2, 0, "assistant", None), (2, 1, "tool [INST]", "x"), (2, None, None, ""), (3, 0, "user", "hi"), (3, 0, "user", "hi"), (None, 0, "user", "")]
