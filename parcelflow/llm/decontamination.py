@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Test items are cut into word n-grams; the rare ones among the items (in at most MAX_ITEMS of
-them, or an item's rarest if it has none of those) are seeds. Rarity is measured over the
-test set and not over the corpus, where the most leaked items would count as frequent. Each
-task looks up the n-grams of its documents' whole texts, takes around each seed the stretch
-in which the item could lie, joins overlapping stretches and aligns them with the item.
+"""Benchmark decontamination: rare words find passages, Smith-Waterman alignment scores them.
+
+An alignment that reaches the asked score matches at least that share of an item's words, within a
+stretch of bounded length. So of any choice of an item's words that leaves out fewer than it must
+match, it matches some: each item chooses its rarest ones (rarity over the test set and not over
+the corpus, where the most leaked items would count as frequent), and stretches of documents that
+hold as many of them as the bound demands are aligned with the item. No alignment is lost. Items
+of fewer than N words are found only as a whole.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import store
-from parcelflow.llm.words import Words, slices, windows
+from parcelflow.llm.words import Words, slices
 
-N, MAX_ITEMS = 5, 8
+N = 5
 #: Words of test items that go to the executors at once; a larger test set takes several passes.
 CHUNK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -30,32 +31,58 @@ _LANES = 256
 
 
 class Items:
-    """Seeds of some test items: sorted n-gram numbers, and for each the (item, place) it has."""
-
-    def __init__(self, ids: np.ndarray, words: list[np.ndarray], n: int):
-        self.ids, self.words, self.n = ids, words, n
-        at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        grams, bounds = windows(np.concatenate([*words, np.zeros(0, np.uint64)]), at, n)
-        item = np.repeat(np.arange(len(words)), np.diff(bounds))
-        place = np.arange(len(grams)) - np.repeat(bounds[:-1], np.diff(bounds))
-        pair = np.unique(np.stack([grams, item.astype(np.uint64)]), axis=1) if len(grams) else np.zeros((2, 0), np.uint64)
-        uniq, in_items = np.unique(pair[0], return_counts=True)
-        spread = in_items[np.searchsorted(uniq, grams)] if len(grams) else np.zeros(0, int)
-        least = np.full(len(words), np.iinfo(np.int64).max)
-        np.minimum.at(least, item, spread)
-        keep = spread <= np.maximum(MAX_ITEMS, least[item])
-        order = np.argsort(grams[keep], kind="stable")
-        self.grams, self.item, self.place = grams[keep][order], item[keep][order], place[keep][order]
+    """Sorted (word, item) of the words that some test items choose; the least hits of an alignment and its longest stretch."""
+
+    def __init__(self, ids: np.ndarray, words: list[np.ndarray], n: int, min_score: float):
+        self.ids, self.words = ids, words
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        self.least = np.where(size < n, 1.0, min_score)
+        must = np.maximum(np.ceil(self.least * size - 1e-9), 1).astype(np.int64)
+        self.need = np.clip(size // 4, 1, must)
+        self.span = np.floor(size + 2 * (1 - self.least) * size + 1e-9).astype(np.int64)
+        item = np.repeat(np.arange(len(words)), size)
+        flat = np.concatenate([*words, np.zeros(0, np.uint64)])
+        order = np.lexsort((flat, item))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (flat[order][1:] != flat[order][:-1]) | (item[order][1:] != item[order][:-1])
+        uniq, in_items = np.unique(flat[order][first], return_counts=True)
+        spread = in_items[np.searchsorted(uniq, flat)] if len(flat) else np.zeros(0, int)
+        order = np.lexsort((flat, spread, item))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        chosen = order[rank < np.repeat(size - must + self.need, size)]
+        order = chosen[np.lexsort((item[chosen], flat[chosen]))]
+        once = np.ones(len(order), dtype=bool)
+        once[1:] = (flat[order][1:] != flat[order][:-1]) | (item[order][1:] != item[order][:-1])
+        self.seeds, self.item = flat[order][once], item[order][once]
         self.filter = np.zeros(1 << 22, dtype=bool)
-        self.filter[self.grams & np.uint64((1 << 22) - 1)] = True
+        self.filter[self.seeds & np.uint64((1 << 22) - 1)] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index in grams, item, place in item) of every seed among grams."""
-        maybe = np.flatnonzero(self.filter[grams & np.uint64((1 << 22) - 1)])
-        lo, hi = np.searchsorted(self.grams, grams[maybe], "left"), np.searchsorted(self.grams, grams[maybe], "right")
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in h, item) of every word among h that an item chooses."""
+        maybe = np.flatnonzero(self.filter[h & np.uint64((1 << 22) - 1)])
+        lo, hi = np.searchsorted(self.seeds, h[maybe], "left"), np.searchsorted(self.seeds, h[maybe], "right")
         k = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        return np.repeat(maybe, k), self.item[at], self.place[at]
+        return np.repeat(maybe, k), self.item[at]
+
+    def stretches(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item, first and past-last word of all stretches that an alignment could lie in."""
+        hit, item = self.hits(h)
+        doc = np.searchsorted(at, hit, side="right") - 1
+        key = doc * len(self.words) + item
+        order = np.argsort(key, kind="stable")
+        key, hit, item, doc = key[order], hit[order], item[order], doc[order]
+        to = np.arange(len(hit)) + self.need[item] - 1
+        some = np.flatnonzero(to < len(hit))
+        some = some[(key[to[some]] == key[some]) & (hit[to[some]] - hit[some] < self.span[item[some]])]
+        key, doc, item, low, high = key[some], doc[some], item[some], hit[some], hit[to[some]]
+        first, last = np.maximum(high - self.span[item] + 1, at[doc]), np.minimum(low + self.span[item], at[doc + 1])
+        new = np.ones(len(some), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (first[1:] > last[:-1])
+        begin = np.flatnonzero(new)
+        if not len(begin):
+            return doc, item, first, last
+        return doc[begin], item[begin], np.minimum.reduceat(first, begin), np.maximum.reduceat(last, begin)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +109,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _search(shared, min_score: float, clean: bool = False) -> Callable:
+def _search(shared, clean: bool = False) -> Callable:
     """Rows of _FOUND; or, clean, the rows (_row) of documents in which nothing is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,31 +119,15 @@ def _search(shared, min_score: float, clean: bool = False) -> Callable:
             for part in slices(batch, "text"):
                 w = Words(pc.fill_null(part.column("text"), "")).lower()
                 h = w.hashes()
-                grams, bounds = windows(h, w.at, items.n)
-                hit, item, place = items.hits(grams)
+                doc, item, first, last = items.stretches(h, w.at)
                 found = np.zeros(part.num_rows, dtype=bool)
-                if not len(hit):
-                    if clean:
-                        yield part.select(["_row"])
-                    continue
-                doc = np.searchsorted(bounds, hit, side="right") - 1
-                word = w.at[doc] + hit - bounds[doc]
-                slack = np.maximum(8, size[item] // 4)
-                first = np.maximum(word - place - slack, w.at[doc])
-                last = np.minimum(word - place + size[item] + slack, w.at[doc + 1])
-                order = np.lexsort((first, item, doc))
-                doc, item, first, last = doc[order], item[order], first[order], last[order]
-                new = np.ones(len(doc), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (first[1:] > last[:-1])
-                at = np.flatnonzero(new)
-                doc, item, first, last = doc[at], item[at], first[at], np.maximum.reduceat(last, at)
                 ids = np.zeros(part.num_rows, np.int64) if clean else np.asarray(part.column("doc_id"))
                 by_size = np.argsort(last - first, kind="stable")
                 for k in range(0, len(by_size), _LANES):
                     some = by_size[k : k + _LANES]
                     best, end = align([items.words[i] for i in item[some]], [h[x:y] for x, y in zip(first[some], last[some], strict=True)])
                     score = best / (MATCH * size[item[some]])
-                    ok = score >= min_score
+                    ok = score >= items.least[item[some]]
                     some, score, end = some[ok], score[ok], end[ok]
                     found[doc[some]] = True
                     if len(some) and not clean:
@@ -128,20 +139,20 @@ def _search(shared, min_score: float, clean: bool = False) -> Callable:
     return run
 
 
-def _chunks(items: DataFrame, n: int) -> Iterator[Items]:
+def _chunks(items: DataFrame, n: int, min_score: float) -> Iterator[Items]:
     """Test items in chunks of bounded size, one after the other."""
     ids, words, total = [], [], 0
-    for r in items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+    for r in items.where("text is not null").select(store.known_id("item_id").alias("item_id"), "text").toLocalIterator():
         h = Words(pa.array([r["text"]])).lower().hashes()
-        if len(h) < n:
+        if not len(h):
             continue
         ids.append(r["item_id"])
         words.append(h)
         total += len(h)
         if total >= CHUNK_WORDS:
-            yield Items(np.array(ids, dtype=np.int64), words, n)
+            yield Items(np.array(ids, dtype=np.int64), words, n, min_score)
             ids, words, total = [], [], 0
-    yield Items(np.array(ids, dtype=np.int64), words, n)
+    yield Items(np.array(ids, dtype=np.int64), words, n, min_score)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = N, min_score: float = MIN_SCORE) -> DataFrame:
@@ -149,17 +160,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int
 
     score: best local alignment (match 2, mismatch -1, gap -1) over the item's highest possible;
     first_word, last_word: the passage searched and where the best alignment ends. A-Z don't
-    differ from a-z. Defined cases: null texts are empty; items of fewer than n words have no
-    seed and are never reported; rows of one doc_id or item_id count as one, with their best
-    score (so do rows of a null doc_id); an empty table gives no rows; other columns are ignored.
+    differ from a-z. Defined cases: null texts are empty; items of fewer than n words are reported
+    only where all their words stand in a row; items without words never; rows of one doc_id or
+    item_id count as one, with their best score (so do rows of a null one); an empty table gives no rows; other columns are ignored.
     """
     store.ship(spark)
     out = None
-    for chunk in _chunks(items, n):
-        found = docs.select(store.known_id().alias("doc_id"), "text").mapInArrow(_search(spark.sparkContext.broadcast(chunk), min_score), _FOUND)
+    for chunk in _chunks(items, n, min_score):
+        found = docs.select(store.known_id().alias("doc_id"), "text").mapInArrow(_search(spark.sparkContext.broadcast(chunk)), _FOUND)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("a"), "last_word")).alias("m")
-    return out.groupBy("doc_id", "item_id").agg(best).select(store.given_id().alias("doc_id"), "item_id", F.col("m.score").alias("score"), (-F.col("m.a")).alias("first_word"), F.col("m.last_word").alias("last_word"))
+    return out.groupBy("doc_id", "item_id").agg(best).select(store.given_id().alias("doc_id"), store.given_id("item_id").alias("item_id"), F.col("m.score").alias("score"), (-F.col("m.a")).alias("first_word"), F.col("m.last_word").alias("last_word"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = N, min_score: float = MIN_SCORE) -> DataFrame:
@@ -167,8 +178,8 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = N, mi
     store.ship(spark)
     kind = docs.select(F.struct("*").alias("_row")).schema
     out = store.packed(docs, F.col("text").alias("text"))
-    for chunk in _chunks(items, n):
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(chunk), min_score, True), kind).select("_row", "_row.text")
+    for chunk in _chunks(items, n, min_score):
+        out = out.mapInArrow(_search(spark.sparkContext.broadcast(chunk), True), kind).select("_row", "_row.text")
     return out.select("_row.*")
 
 

@@ -362,6 +362,25 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontamination.contaminated(spark, empty, bench).count() == 0
 
 
+def test_decontamination_equals_alignment_with_every_item(spark):
+    rng = random.Random(8)
+    prose = [f"p{i}" for i in range(60)]
+    items = [(i if i else None, [rng.choice(prose) if rng.random() < 0.5 else f"t{rng.randrange(900)}" for _ in range(rng.choice([5, 12, 50]))]) for i in range(14)]
+    items += [(50 + i, [f"s{i}{k}" for k in range(i)]) for i in (1, 2, 4)]
+    texts = [[rng.choice(prose) for _ in range(80)] for _ in range(20)]
+    for i, w in items:
+        for every in (2, 3, 4, 5):
+            texts.append(["lead", *("edit" if k % every == every - 1 else x for k, x in enumerate(w)), "tail"])
+            texts.append([y for k, x in enumerate(w) for y in ([x, "put"] if k % every == every - 1 else [x])])
+        texts.append([*texts[0][:30], *w, *texts[1][:30]])
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = {(k, i): brute_align(w, t) / (2 * len(w)) for k, t in enumerate(texts) for i, w in items}
+    want = {x: v for x, v in want.items() if v >= (0.5 if len(dict(items)[x[1]]) >= 5 else 1)}
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(spark, df, bench).collect()} == pytest.approx(want)
+    assert decontamination.clean(spark, df, bench).count() == len(texts) - len({k for k, _ in want})
+
+
 def test_mix(spark, docs, empty):
     got = mixing.mix(spark, docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
     by = collections.defaultdict(lambda: [0, 0, 0, 0])
