@@ -425,6 +425,16 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert out.count() == rows.count()
 
 
+def test_near_duplicates_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline as cp
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("e")), (4, text("e")), (8, text("f")), (8, text("f")), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in cp.near_duplicates(spark, df, DATA).collect()), key=str)
+    assert got == sorted([x for x in rows if x != (9, text("e"))][:6] + rows[8:], key=str)
+
+
 def test_finer_counts_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(4000)]
