@@ -8,8 +8,13 @@ blocked if a url of its component is blocked by a rule, else allowed.
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parcelflow.llm import store
 from parcelflow.llm.components import connected
@@ -40,23 +45,68 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    found = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    found = F.regexp_extract(tag, rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
     value = F.regexp_replace(found, r"(?s)^[^=]*=\s*", "")
     return F.regexp_replace(value, r"""^["']|["']$""", "")
 
 
-def targets(html: Column) -> Column:
-    """Urls named by canonical links and refreshes of a page, as an array."""
-    links = F.filter(F.regexp_extract_all(html, F.lit(_LINK), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(_META), F.lit(0)), lambda t: t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    to = F.transform(metas, lambda t: F.regexp_replace(F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"""^["'\s]+|["'\s]+$""", ""))
-    return F.filter(F.concat(F.transform(links, lambda t: F.trim(_attribute(t, "href"))), to), lambda u: u != "")
-
-
-def absolute(to: Column, url: Column) -> Column:
-    scheme = F.regexp_extract(url, r"(?s)^([^:]*)://", 1)
-    site = F.regexp_extract(url, r"(?s)^([^:]*://[^/?#]*)", 1)
-    return F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(F.regexp_replace(F.regexp_extract(url, r"(?s)^([^?#]*)", 1), r"[^/]*$", ""), to))
+def named(page: Column) -> Column:
+    """Raw attributes of a page that name urls, as an array: of canonical links the href, of refreshes the content."""
+    links = F.filter(F.regexp_extract_all(page, F.lit(_LINK), F.lit(0)), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all(page, F.lit(_META), F.lit(0)), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+    of = lambda tags, name, kind: F.transform(tags, lambda t: F.struct(F.lit(kind).alias("kind"), _attribute(t, name).alias("value")))
+    return F.filter(F.concat(of(links, "href", "href"), of(metas, "content", "content")), lambda x: x["value"] != "")
+
+
+def _split(url: str) -> tuple:
+    """Scheme, authority, path, query and fragment as in appendix B of RFC 3986; None: not there."""
+    return re.match(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?", url).groups()
+
+
+def _without_dots(path: str) -> str:
+    parts = path.split("/")
+    out: list[str] = []
+    for x in parts:
+        if x == "..":
+            if len(out) > 1 or (out and out[0]):
+                out.pop()
+        elif x != ".":
+            out.append(x)
+    if parts[-1] in (".", "..") and (not out or out[-1] or len(out) == 1):
+        out.append("")
+    return "/".join(out)
+
+
+def resolve(to: str, url: str) -> str:
+    """The url that a reference found at url names (RFC 3986, 5.2)."""
+    scheme, site, path, query, mark = _split(to)
+    own_scheme, own_site, own_path, own_query, _ = _split(url)
+    if scheme is None:
+        scheme = own_scheme
+        if site is None:
+            site = own_site
+            if path == "":
+                path, query = own_path, own_query if query is None else query
+            elif not path.startswith("/"):
+                path = "/" + path if own_site is not None and not own_path else own_path[: own_path.rfind("/") + 1] + path
+    path = _without_dots(path)
+    return "".join([f"{scheme}:" if scheme is not None else "", f"//{site}" if site is not None else "", path, f"?{query}" if query is not None else "", f"#{mark}" if mark is not None else ""])
+
+
+def _target(kind: str, value: str, url: str) -> str | None:
+    if kind != "url":
+        value = html.unescape(value)
+    if kind == "content":
+        found = re.search(r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""", value)
+        value = next((x for x in found.groups() if x), "") if found else ""
+    value = value.strip(" \t\n\f\r")
+    return resolve(value, url) if value or kind == "url" else None
+
+
+@F.pandas_udf(StringType())
+def absolute(kind: pd.Series, value: pd.Series, url: pd.Series) -> pd.Series:
+    """Urls named by attributes (kind href or content, with character references) or by a redirect (kind url)."""
+    return pd.Series([_target(k, v, u) for k, v, u in zip(kind, value, url, strict=True)], dtype=object)
 
 
 def node(host: Column, path: Column, url: Column) -> Column:
@@ -75,16 +125,18 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple = RULES, redirects
     scratch = store.Scratch(spark, "urls")
     host, path = host_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    links = F.coalesce(targets(F.col("html")), F.array().cast("array<string>"))
+    links = F.coalesce(named(F.col("html")), F.array().cast("array<struct<kind: string, value: string>>"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"), links.alias("_to"))
     base = base.withColumn("rule", rule).withColumn("_own", verdict).withColumn("_node", F.xxhash64(node(F.col("host"), F.col("path"), F.col("url"))))
     base = scratch.put(base, "pages")
-    edges = base.where(F.size("_to") > 0).select("url", F.explode("_to").alias("target"))
+    edges = base.where(F.size("_to") > 0).select("url", F.explode("_to").alias("t")).select("url", "t.kind", F.col("t.value").alias("target"))
+    dotted = base.where(F.col("path").rlike(r"/\.\.?(/|$)")).select("url", F.lit("url").alias("kind"), F.col("url").alias("target"))
+    edges = edges.unionByName(dotted)  # such a url is an alias of what it resolves to
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("url", "target"))
+        edges = edges.unionByName(redirects.select("url", F.lit("url").alias("kind"), "target"))
     h1, p1 = host_path(F.col("url"))
     h2, p2 = host_path(F.col("target"))
-    ends = edges.where(F.col("url").isNotNull() & F.col("target").isNotNull()).withColumn("target", absolute(F.col("target"), F.col("url")))
+    ends = edges.where(F.col("url").isNotNull() & F.col("target").isNotNull()).withColumn("target", absolute("kind", "target", "url")).where(F.col("target").isNotNull())
     ends = scratch.put(
         ends.select(h1.alias("h1"), p1.alias("p1"), h2.alias("h2"), p2.alias("p2"), "url", "target").where("h1 != '' and h2 != ''")
         .select(F.xxhash64(node(F.col("h1"), F.col("p1"), F.col("url"))).alias("a"), F.xxhash64(node(F.col("h2"), F.col("p2"), F.col("target"))).alias("b"), "h2", "p2"),

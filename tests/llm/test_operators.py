@@ -160,6 +160,23 @@ def test_urls(spark):
     assert urls.judge(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_urls_resolve_references_as_the_rfc_says(spark):
+    base = "http://a/b/c/d;p?q"
+    want = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+        "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g?y/./x": "http://a/b/c/g?y/./x", "/l?to=http://x/": "http://a/l?to=http://x/"}
+    assert {t: urls.resolve(t, base) for t in want} == want
+    link = lambda href, rel="canonical": f"<link rel='{rel}' href=\"{href}\">"
+    pages = [
+        (1, "http://a.org/p", link("https://x.net/es/a?page=2&amp;ref=x")), (2, "http://b.org/p", link("http://b.org/q", "alternate canonical")), (3, "http://b.org/q", link("http://x.net/es/2")),
+        (4, "http://c.org/d/e", link("../f")), (5, "http://c.org/f", link("http://x.net/fr/")), (6, "http://d.org/d", link("?z=1")), (7, "http://d.org/d?z=1", "<meta http-equiv=refresh content='0; url=&quot;http://x.net/fr/9&quot;'>"),
+        (8, "http://e.org/1", link("http://x.net/es/2", "noncanonical")), (9, "http://f.org/q?page=2&ref=x", link("http://x.net/es/3")), (10, "http://f.org/r", link("q?page=2&amp;ref=x")),
+        (11, "http://g.org/a/../b", link("http://x.net/es/4")), (12, "http://g.org/r", link("http://g.org/a/../b")),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: "allow" if k == 8 else "block" for k in range(1, 13)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 4)]
