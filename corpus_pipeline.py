@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     scratch = store.Scratch(spark, "near-duplicates")
     rows = scratch.put(store.packed(docs, F.col("doc_id").cast("long").alias("_key"), F.monotonically_increasing_id().alias("_node")), "rows")
-    parts = scratch.put(jaccard.join(spark, rows.select(F.col("_node").alias("doc_id"), "_row.text"), 5, 80, 100).select("doc_id", "component_id"), "parts")
+    parts = scratch.put(jaccard.join(spark, rows.select(F.col("_node").alias("doc_id"), "_row.text"), 5, 80, 100, count_links=False).select("doc_id", "component_id"), "parts")
     keyed = parts.join(rows.select("_node", "_key"), F.col("doc_id") == F.col("_node"))
     first = keyed.groupBy("component_id").agg(F.min(F.struct("_key", "_node")).alias("m")).select(F.col("m._node").alias("_first"))
     return rows.join(first, F.col("_node") == F.col("_first"), "left_semi").select("_row.*")

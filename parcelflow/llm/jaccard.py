@@ -14,6 +14,9 @@ Groups aren't joined pair by pair: a node that no earlier pivot reaches becomes
 pivots are paired with all they reach. Only if nodes of a group lie in different components
 after that, their remaining pairs are taken in a second round, whose rows carry
 the finer counts, so that only pairs these leave are ever written.
+
+Pivots find components, not all links. Links are counted afterwards: the sets of a component
+are dealt into blocks, and the overlaps of all sets of two blocks are taken at once.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ _FULL = (1 << 16) - 1
 LEAF, FAN = 32, 16
 #: Finer counts are of FINE groups: a byte each for sets of LONG n-grams or more, else the lowest bit.
 LONG, FINE = 2048, 2048
+#: Sets, and n-grams in them, that a block holds on average at most.
+BLOCK, BLOCK_GRAMS, COLUMNS = 256, 1 << 20, 4096
 _BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, fine binary"
 
 
@@ -262,12 +267,87 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
     return run
 
 
-def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text).
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _told_sets(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = list(_sets(part, n))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                told = np.array([_digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(told[:, 0]), pa.array(told[:, 1]), grams], ["d1", "d2", "s"])
+
+    return run
+
+
+def _block_links(num: int, den: int) -> Callable:
+    """For all sets of two blocks (or of one): how many documents of the other block's sets link to each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        lists = t.column("s").combine_chunks()
+        size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        _, code, times = np.unique(np.asarray(pc.list_flatten(lists)), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)  # others are in no overlap
+        place = np.full(len(times), -1)
+        place[shared] = np.arange(len(shared))
+        at = place[code]
+        owner, at = owner[at >= 0], at[at >= 0]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        one = np.asarray(t.column("lo")) == np.asarray(t.column("hi"))
+        block = np.asarray(t.column("block"))
+        left = np.flatnonzero(block == np.asarray(t.column("lo")))
+        right = left if one.all() else np.flatnonzero(block == np.asarray(t.column("hi")))
+        overlap = np.zeros((len(left), len(right)), dtype=np.int64)
+        for a in range(0, len(shared), COLUMNS):
+            x, y = np.searchsorted(at, [a, a + COLUMNS])
+            has = np.zeros((len(size), min(COLUMNS, len(shared) - a)), dtype=np.float32)
+            has[owner[x:y], at[x:y] - a] = 1
+            overlap += (has[left] @ has[right].T).astype(np.int64)
+        link = den * overlap >= num * (size[left][:, None] + size[right][None, :] - overlap)
+        weight = np.asarray(t.column("weight"))
+        if one.all():
+            np.fill_diagonal(link, False)
+            rows, count = left, link @ weight[right]
+        else:
+            rows, count = np.concatenate([left, right]), np.concatenate([link @ weight[right], link.T @ weight[left]])
+        return pa.table({"d1": t.column("d1").take(pa.array(rows)), "d2": t.column("d2").take(pa.array(rows)), "c": pa.array(count.astype(np.int64))})
+
+    return run
+
+
+def _counted(scratch: store.Scratch, text: DataFrame, base: DataFrame, sets: DataFrame, parts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """e1, e2, n_links of every set: all links of its component, by documents, its own copies among them."""
+    weights = base.where("n_shingles > 0").select("d1", "d2", "n_shingles", "doc_id").distinct().groupBy("d1", "d2", "n_shingles").agg(F.count(F.lit(1)).alias("weight"))
+    sets = sets.join(weights, ["d1", "d2"]).join(parts.withColumnRenamed("node", "_p"), F.col("node") == F.col("_p"), "left")
+    sets = scratch.put(sets.withColumn("root", F.coalesce("root", "node")).drop("_p"), "weights")
+    blocks = sets.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("t")).where("m > 1")
+    blocks = blocks.select(F.col("root").alias("r"), F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") / BLOCK_GRAMS)).alias("k"))
+    linked = sets.join(blocks, F.col("root") == F.col("r")).select("d1", "d2", "node", "weight", "root", "k", F.pmod(F.xxhash64("d1", "d2"), F.col("k")).alias("block"))
+    grams = text.join(linked.select(F.col("node").alias("w")).distinct(), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_told_sets(n), "d1 long, d2 long, s array<long>")
+    rows = linked.drop("node")
+    rows = scratch.put(rows.join(grams.dropDuplicates(["d1", "d2"]), ["d1", "d2"]), "grams")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.select("d1", "d2", "s", "weight", "block", "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = rows.groupBy("root", "lo", "hi").applyInArrow(_block_links(num, den), "d1 long, d2 long, c long").groupBy("d1", "d2").agg(F.sum("c").alias("c"))
+    out = sets.join(found, ["d1", "d2"], "left")
+    return scratch.put(out.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), (F.coalesce("c", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "counted")
+
+
+def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (if count_links) of each row of docs (doc_id, text).
 
     Two documents link when den * overlap >= num * union of their sets of n-word shingles (of
     lower-cased words; fewer words: all as one). component_id: smallest doc_id reachable;
-    n_links: verified links of the document's set to other sets. Defined cases: a null, empty or
+    n_links: documents that the row's set links to, other than its own; a document of several
+    different sets counts once for each of them. Defined cases: a null, empty or
     blank text has an empty set, links with nothing and is its own component; rows of one doc_id
     count as one document; a null doc_id is an id that comes before all others; an empty table gives no rows; other columns are ignored.
     """
@@ -293,11 +373,14 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> Da
     if not more.isEmpty():
         links = links.unionByName(_verified(scratch, text, more, n, num, den, "second"))
         parts = connected(spark, links.select("a", "b"), scratch)
-    degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("n_links"))
     member = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named.withColumnRenamed("node", "_node"), on_set("e"), "left")
-    out = member.join(parts.withColumnRenamed("node", "_p"), F.col("_node") == F.col("_p"), "left").join(degree, F.col("_node") == F.col("_n"), "left")
+    out = member.drop("e1", "e2").join(parts.withColumnRenamed("node", "_p"), F.col("_node") == F.col("_p"), "left")
     out = out.withColumn("root", F.coalesce("root", "_node", "doc_id"))
-    return out.select(store.given_id().alias("doc_id"), "n_shingles", store.given_id("root").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    columns = [store.given_id().alias("doc_id"), "n_shingles", store.given_id("root").alias("component_id")]
+    if not count_links:
+        return out.select(*columns)
+    counted = _counted(scratch, text, base, sets, parts, n, num, den)
+    return out.join(counted, on_set("e"), "left").select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _candidates(routed: DataFrame, num: int, den: int) -> DataFrame:
@@ -353,7 +436,7 @@ def _reaches(overlap: Column, both: Column, num: int, den: int) -> Column:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark, store.table(spark, sf_dir, "documents"), 3, 90, 100).drop("n_links")
+    return join(spark, store.table(spark, sf_dir, "documents"), 3, 90, 100, count_links=False)
 
 
 OP6_SQL = r"""

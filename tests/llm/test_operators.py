@@ -271,6 +271,25 @@ def test_jaccard(spark, empty, n, num, den):
     assert jaccard.join(spark, empty, n, num, den).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_jaccard_counts_every_link(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(block)
+    base = [[f"{b}w{i}" for i in range(90)] for b in range(3)]
+    rows = []
+    for k in range(75):
+        w = list(base[k % 3])
+        if k % 5:
+            w[rng.randrange(90)] = f"v{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(200, None), (201, "one"), (202, "one")]
+    sets = {i: frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset(w) for i, w in ((i, (t or "").split()) for i, t in rows)}
+    want = {i: sum(bool(x) and i != j and 100 * len(x & y) >= 90 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    rows += [(300, " ".join(f"z{i}" for i in range(90))), (300, " ".join(f"z{i}" for i in range(91)))]
+    got = jaccard.join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 3, 90, 100).collect()
+    assert {r.doc_id: r.n_links for r in got} == want | {300: 1}
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(5)
     points = rng.poisson(6, (700, jaccard.GROUPS)).astype(np.int64)
