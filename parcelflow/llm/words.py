@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text handled at once; a longer single document is handled whole.
@@ -16,7 +17,6 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,18 +30,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Words of more bytes than these are numbered one by one.
+_LONG = 64
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n (or more)."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES * 2)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, np.uint64(base))
-            p[0] = 1
-            _POWERS[key] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def same_bytes(x: np.ndarray, i: np.ndarray, n: np.ndarray, y: np.ndarray, j: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of x from i on are the m bytes of y from j on, for arrays of places in padded buffers."""
+    out = n == m
+    at, k = np.flatnonzero(out), 0
+    while len(at) and k < _LONG:
+        mask = _LOW_BYTES[np.minimum(n[at] - k, 8)]
+        differs = ((_eights(x)[i[at] + k] ^ _eights(y)[j[at] + k]) & mask) != 0
+        out[at[differs]] = False
+        k += 8
+        at = at[~differs & (n[at] > k)]
+    for a in at.tolist():
+        out[a] = bool((x[i[a] : i[a] + n[a]] == y[j[a] : j[a] + n[a]]).all())
+    return out
+
+
+def padded(buf: np.ndarray) -> np.ndarray:
+    return np.concatenate([buf, np.zeros(8, np.uint8)])
+
+
+def _eights(pad: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a padded buffer on, as numbers."""
+    return np.ndarray(max(len(pad) - 7, 0), dtype="<u8", buffer=pad.data, strides=(1,))
 
 
 class Words:
@@ -84,12 +99,23 @@ class Words:
         return self
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit number of each word; equal words have equal numbers."""
-        up, down = _powers(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * up[:-1], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        """A 64-bit number of each word; equal words have equal numbers.
+
+        Each eight bytes are mixed in by a bijection, so that words of at most eight bytes and one
+        length never share a number; longer ones do with a chance of about 2**-64 a pair. Words of
+        more than _LONG bytes are numbered by xxh3.
+        """
+        n, pad = self.end - self.start, padded(self.buf)
+        eight = _eights(pad)
+        h = mix(eight[self.start] & _LOW_BYTES[np.minimum(n, 8)] ^ mix(n.astype(np.uint64)))
+        more, k = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+        while len(more):
+            h[more] = mix(h[more] ^ (eight[self.start[more] + k] & _LOW_BYTES[np.minimum(n[more] - k, 8)]))
+            k += 8
+            more = more[n[more] > k]
+        for i in np.flatnonzero(n > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.text(i))
+        return h
 
     def text(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
@@ -101,11 +127,17 @@ class Words:
         return total[self.base[1:]] - total[self.base[:-1]]
 
 
+def text_of(batch: pa.RecordBatch, column: str = "_row") -> pa.Array:
+    """The text in a column of whole rows."""
+    return pc.struct_field(batch.column(column), [batch.schema.field(column).type.get_field_index("text")])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch with about limit bytes of text, one row at least."""
+    """Consecutive rows of a batch with about limit bytes of text, one row at least; of whole rows their text counts."""
     if batch.num_rows == 0:
         return
-    n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    texts = text_of(batch, column) if pa.types.is_struct(batch.schema.field(column).type) else batch.column(column)
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
     while at < batch.num_rows:
         done = n[at - 1] if at else 0
