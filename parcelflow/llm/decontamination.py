@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import store
-from parcelflow.llm.words import Words, slices
+from parcelflow.llm.words import Words, slices, text_of
 
 N = 5
 #: Words of test items that go to the executors at once; a larger test set takes several passes.
@@ -116,8 +116,8 @@ def _search(shared, clean: bool = False) -> Callable:
         items: Items = shared.value
         size = np.array([len(w) for w in items.words], dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(pc.fill_null(part.column("text"), "")).lower()
+            for part in slices(batch, "_row" if clean else "text"):
+                w = Words(pc.fill_null(text_of(part) if clean else part.column("text"), "")).lower()
                 h = w.hashes()
                 doc, item, first, last = items.stretches(h, w.at)
                 found = np.zeros(part.num_rows, dtype=bool)
@@ -177,9 +177,9 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = N, mi
     """The rows of docs, all columns, in which no item reaches min_score; cases as in contaminated()."""
     store.ship(spark)
     kind = docs.select(F.struct("*").alias("_row")).schema
-    out = store.packed(docs, F.col("text").alias("text"))
+    out = store.packed(docs)
     for chunk in _chunks(items, n, min_score):
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(chunk), True), kind).select("_row", "_row.text")
+        out = out.mapInArrow(_search(spark.sparkContext.broadcast(chunk), True), kind)
     return out.select("_row.*")
 
 

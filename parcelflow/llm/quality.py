@@ -23,9 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parcelflow.llm import store
-from parcelflow.llm.words import Words, covered, slices, window_starts, windows
+from parcelflow.llm.words import Words, covered, slices, text_of, window_starts, windows
 
 STRATA = ("de", "en", "es", "fr")
 OTHER = "other"
@@ -60,10 +61,10 @@ RULES = (
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns but text, and the features."""
+    """Columns but text, and the features; without a text column that of _row counts."""
     for batch in batches:
-        for part in slices(batch, "text"):
-            texts = pc.fill_null(part.column("text"), "")
+        for part in slices(batch, "text" if "text" in batch.schema.names else "_row"):
+            texts = pc.fill_null(part.column("text") if "text" in part.schema.names else text_of(part), "")
             w = Words(texts)
             n, chars = w.lengths(), w.code_points()
             total = lambda table, w=w: np.diff(np.concatenate([[0], np.cumsum(table[w.buf])])[w.base])
@@ -201,8 +202,8 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float =
     """The rows of docs, all columns, that judge() keeps. Features are made twice, which is cheaper than a join of texts."""
     store.ship(spark)
     cut = choose(features(docs), labels, risk, confidence)
-    rows = store.packed(docs, _stratum(), F.col("text").alias("text"))
-    kind = rows.select("_row", "stratum").schema
+    rows = store.packed(docs, _stratum())
+    kind = StructType(list(rows.schema))
     for name in FEATURES.replace(" long", "").split(", ")[2:]:
         kind = kind.add(name, "long")
     return rows.mapInArrow(_features, kind).where(~base_failed() & ~rejected(cut)).select("_row.*")
