@@ -17,7 +17,12 @@ BLOCK = 256
 
 
 def document_lengths(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and n_tokens of each row of docs (doc_id, text)."""
+    """doc_id and n_tokens of each row of docs (doc_id, text).
+
+    Defined cases: a null text has no tokens; a null doc_id stays null; repeated rows count one by
+    one; a very long text is encoded whole; an empty table gives no rows; other columns, also of
+    clashing names, are ignored.
+    """
     store.ship(spark)
     return docs.select("doc_id", "text").mapInArrow(lambda batches: encoding.lengths(batches, path), "doc_id long, n_tokens long")
 

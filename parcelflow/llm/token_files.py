@@ -33,7 +33,7 @@ def _encode(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SYMBOLS, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", encoding.SLICE):
                 ids, bounds = encoding.encoder(path).encode(part.column("text"))
                 docs = part.num_rows
                 ends = bounds + np.arange(docs + 1)
@@ -84,8 +84,10 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, path: str, end_id:
     """Writes the ids of each row of docs (doc_id, text), end_id after each, to folder.
 
     Ascending by doc_id; rows of one id by their ids' bytes. Defined cases: a null text is
-    empty; a null doc_id comes before all others; an empty table gives files without
-    blocks; other columns are ignored.
+    empty; a null doc_id comes before all others; repeated rows are written one by one; a very
+    long text is one document of one block, which it makes as large as itself; an empty table
+    gives files without blocks; other columns, also of clashing names, are ignored. Ids take two
+    bytes: a vocabulary of more than 65,536 ids raises OverflowError.
     """
     scratch = store.Scratch(spark, "token-files")
     rows = docs.select(store.known_id().alias("doc_id"), "text")
@@ -115,10 +117,10 @@ def _read(lengths: bytes, with_ids: bool) -> Callable:
                 own = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
                 m = len(lens)
                 out = [
-                    pa.array(np.full(m, row["part"].as_py(), np.int32)), pa.array(np.full(m, row["seq"].as_py(), np.int32)), pa.array(np.arange(m, dtype=np.int32)),
+                    pa.array(np.full(m, row["part"].as_py(), np.int32)), pa.array(np.full(m, row["seq"].as_py(), np.int32)), pa.array(ends - lens),
                     pa.array(np.frombuffer(row["doc_ids"].as_py(), dtype="<i8")), pa.array(lens), pa.array([zlib.crc32(x) for x in own], pa.int64()),
                 ]
-                names = ["part", "seq", "place", "doc_id", "n_tokens", "ids_crc32"]
+                names = ["part", "seq", "before", "doc_id", "n_tokens", "ids_crc32"]
                 if with_ids:
                     out, names = [*out, pa.array(list(map(bytes, own)), pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
@@ -137,11 +139,10 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     at = blocks.select("part", "seq", "n_ids").withColumn("_in", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, F.col("part") == F.col("_part"))
     at = at.select(F.col("part").alias("_part"), F.col("seq").alias("_seq"), (F.col("_base") + F.col("_in")).alias("_start"))
-    kind = "part int, seq int, place int, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    kind = "part int, seq int, before long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     docs = blocks.mapInArrow(_read(lengths.tobytes(), with_ids), kind)
-    before = Window.partitionBy("part", "seq").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(at, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq")))
-    return docs.select(store.given_id().alias("doc_id"), (F.col("_start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    docs = docs.join(at, (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq")))
+    return docs.select(store.given_id().alias("doc_id"), (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
