@@ -71,7 +71,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Rows are taken by turn (null first; ties by role, then text); a null role or text counts as
     an empty string; an empty text is a segment of no characters; null ids form a conversation
-    of their own; an empty table gives no rows; other columns are ignored. valid: the machine
+    of their own; a very long text is one segment; an empty table gives no rows; other columns, also
+    of clashing names, are ignored. valid: the machine
     accepts the order of roles; error_turn: position (from 0) of the first turn it refuses.
     A conversation's rows come together in one row, as its digest and its text must.
     """
@@ -130,6 +131,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("error_turn").cast("long").alias("error_turn"),
     )
 
 
@@ -138,13 +141,19 @@ def _sql() -> str:
     return f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns,
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT conv_id, role, row_number() OVER w - 1 AS i, lag(role) OVER w AS prev FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+m AS (
+  SELECT conv_id, min(i) FILTER (WHERE NOT CASE WHEN i = 0 THEN role IN ('system', 'user') ELSE (prev, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END) AS error_turn,
+    arg_max(role, i) AS last_role
+  FROM o GROUP BY conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   sum(length({esc}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 25 + length(role) END)::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+  FROM c GROUP BY conv_id)
+SELECT t.*, error_turn IS NULL AND last_role = 'assistant' AS valid, error_turn FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
 
