@@ -27,7 +27,8 @@ CHUNK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 _FOUND = "doc_id long, item_id long, score double, first_word long, last_word long"
-_LANES = 256
+#: Pairs that are aligned side by side, and words of passages in them, at most (one pair at least).
+_LANES, _CELLS = 256, 1 << 20
 
 
 class Items:
@@ -82,7 +83,16 @@ class Items:
         begin = np.flatnonzero(new)
         if not len(begin):
             return doc, item, first, last
-        return doc[begin], item[begin], np.minimum.reduceat(first, begin), np.maximum.reduceat(last, begin)
+        first, last = np.minimum.reduceat(first, begin), np.maximum.reduceat(last, begin)
+        return self._cut(doc[begin], item[begin], first, last)
+
+    def _cut(self, doc: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Long stretches as pieces of up to 4 spans; each starts a span before the last one ends, so an alignment lies in one."""
+        span = self.span[item]
+        k = np.maximum(-(-(last - first - span) // (3 * span)), 1)
+        piece = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        doc, item, first, last, span = (np.repeat(x, k) for x in (doc, item, first, last, span))
+        return doc, item, first + 3 * span * piece, np.minimum(first + 3 * span * piece + 4 * span, last)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +133,11 @@ def _search(shared, clean: bool = False) -> Callable:
                 found = np.zeros(part.num_rows, dtype=bool)
                 ids = np.zeros(part.num_rows, np.int64) if clean else np.asarray(part.column("doc_id"))
                 by_size = np.argsort(last - first, kind="stable")
-                for k in range(0, len(by_size), _LANES):
+                k = 0
+                while k < len(by_size):
                     some = by_size[k : k + _LANES]
+                    some = some[: np.searchsorted((last - first)[some] * np.arange(1, len(some) + 1), _CELLS) + 1]
+                    k += len(some)
                     best, end = align([items.words[i] for i in item[some]], [h[x:y] for x, y in zip(first[some], last[some], strict=True)])
                     score = best / (MATCH * size[item[some]])
                     ok = score >= items.least[item[some]]
@@ -162,7 +175,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int
     first_word, last_word: the passage searched and where the best alignment ends. A-Z don't
     differ from a-z. Defined cases: null texts are empty; items of fewer than n words are reported
     only where all their words stand in a row; items without words never; rows of one doc_id or
-    item_id count as one, with their best score (so do rows of a null one); an empty table gives no rows; other columns are ignored.
+    item_id count as one, with their best score (so do rows of a null one); very long texts are aligned
+    in pieces of four times an alignment's longest stretch; an empty table gives no rows; other columns, also of clashing names, are ignored.
     """
     store.ship(spark)
     out = None
