@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join of documents by count-vector R-trees.
 
 A document is its set of distinct word n-grams. Equal sets are one node. A node is routed by
-its prefix: of its n-gram numbers in ascending order (longest n-grams first) the first
-size - need + 1, where need is the least overlap with any partner; two linked nodes share
-one of these. Of the nodes that
+its prefix: of its n-gram numbers in ascending order the first size - need + 1, where need is
+the least overlap with any partner; two linked nodes share one of these. Rare n-grams have
+small numbers: all n-grams of the corpus are counted in COUNTERS hashed counters first, whose
+logarithms lead the numbers (any order that holds for all documents is right). Of the nodes that
 share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
 overlap of a node with a subtree, or another node, is at most the sum of the coordinates'
 minima. Pairs that this bound leaves are held against finer counts (two sets differ in at
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import store
 from parcelflow.llm.components import connected
+from parcelflow.llm.sums import SUMS, emit, summed
 from parcelflow.llm.words import Words, shingles, slices
 
 GROUPS = 32
+COUNTERS = 1 << 17
 #: Groups of up to SMALL nodes are handled side by side, larger ones by an R-tree each.
 SMALL = 32
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -48,26 +51,43 @@ BLOCK, BLOCK_GRAMS, COLUMNS = 256, 1 << 20, 4096
 _BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, fine binary"
 
 
-def _sets(part: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
-    """Each text's distinct n-gram numbers, ascending: longer n-grams, which are rarer, have smaller numbers."""
+def _grams(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     w = Words(pc.fill_null(part.column("text"), "")).lower()
-    grams, bounds = shingles(w.hashes(), w.at, n)
-    size = np.diff(bounds)
-    first = np.arange(len(grams)) + np.repeat(w.at[:-1] - bounds[:-1], size)
-    last = np.minimum(first + n, np.repeat(w.at[1:], size))
-    letters = np.concatenate([[0], np.cumsum(w.end - w.start)])
-    short = (255 - np.minimum(letters[last] - letters[first], 255)).astype(np.uint64)
-    grams = (short << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1))
+    return shingles(w.hashes(), w.at, n)
+
+
+def _sets(part: pa.RecordBatch, n: int, rank: np.ndarray) -> Iterator[np.ndarray]:
+    """Each text's distinct n-gram numbers, ascending: a byte of the n-gram's counter, and 56 bits of its hash."""
+    grams, bounds = _grams(part, n)
+    lead = rank[grams & np.uint64(COUNTERS - 1)].astype(np.uint64)
+    grams = (lead << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         yield np.unique(grams[a:b])
 
 
-def _base(n: int, num: int, den: int) -> Callable:
+def _count(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                total += np.bincount((_grams(part, n)[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield from emit([total], "<i8")
+
+    return run
+
+
+def ranks(text: DataFrame, n: int) -> np.ndarray:
+    """For each counter a byte that grows with the logarithm of how many n-grams of the corpus it counts."""
+    total = summed(text.select("text").mapInArrow(_count(n), SUMS), "<i8")
+    return np.zeros(COUNTERS, np.uint8) if total is None else np.minimum(np.rint(4 * np.log2(total + 1.0)), 255).astype(np.uint8)
+
+
+def _base(n: int, num: int, den: int, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 size, d1, d2, keys, points, fine = [], [], [], [], [], []
-                for s in _sets(part, n):
+                for s in _sets(part, n, rank):
                     digest = xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
                     size.append(len(s))
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -86,11 +106,11 @@ def _base(n: int, num: int, den: int) -> Callable:
     return run
 
 
-def _set_rows(n: int) -> Callable:
+def _set_rows(n: int, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = list(_sets(part, n))
+                sets = list(_sets(part, n, rank))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "s"])
 
@@ -272,11 +292,11 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _told_sets(n: int) -> Callable:
+def _told_sets(n: int, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = list(_sets(part, n))
+                sets = list(_sets(part, n, rank))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 told = np.array([_digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
@@ -323,7 +343,7 @@ def _block_links(num: int, den: int) -> Callable:
     return run
 
 
-def _counted(scratch: store.Scratch, text: DataFrame, base: DataFrame, sets: DataFrame, parts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _counted(scratch: store.Scratch, text: DataFrame, base: DataFrame, sets: DataFrame, parts: DataFrame, n: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
     """e1, e2, n_links of every set: all links of its component, by documents, its own copies among them."""
     weights = base.where("n_shingles > 0").select("d1", "d2", "n_shingles", "doc_id").distinct().groupBy("d1", "d2", "n_shingles").agg(F.count(F.lit(1)).alias("weight"))
     sets = sets.join(weights, ["d1", "d2"]).join(parts.withColumnRenamed("node", "_p"), F.col("node") == F.col("_p"), "left")
@@ -331,7 +351,7 @@ def _counted(scratch: store.Scratch, text: DataFrame, base: DataFrame, sets: Dat
     blocks = sets.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("t")).where("m > 1")
     blocks = blocks.select(F.col("root").alias("r"), F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") / BLOCK_GRAMS)).alias("k"))
     linked = sets.join(blocks, F.col("root") == F.col("r")).select("d1", "d2", "node", "weight", "root", "k", F.pmod(F.xxhash64("d1", "d2"), F.col("k")).alias("block"))
-    grams = text.join(linked.select(F.col("node").alias("w")).distinct(), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_told_sets(n), "d1 long, d2 long, s array<long>")
+    grams = text.join(linked.select(F.col("node").alias("w")).distinct(), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_told_sets(n, rank), "d1 long, d2 long, s array<long>")
     rows = linked.drop("node")
     rows = scratch.put(rows.join(grams.dropDuplicates(["d1", "d2"]), ["d1", "d2"]), "grams")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
@@ -349,11 +369,13 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
     n_links: documents that the row's set links to, other than its own; a document of several
     different sets counts once for each of them. Defined cases: a null, empty or
     blank text has an empty set, links with nothing and is its own component; rows of one doc_id
-    count as one document; a null doc_id is an id that comes before all others; an empty table gives no rows; other columns are ignored.
+    count as one document; a null doc_id is an id that comes before all others; a very long text is one
+    set as any other; an empty table gives no rows; other columns, also of clashing names, are ignored.
     """
     scratch = store.Scratch(spark, "jaccard")
     text = docs.select(store.known_id().alias("doc_id"), "text")
-    base = scratch.put(text.mapInArrow(_base(n, num, den), _BASE), "base")
+    rank = ranks(text, n)
+    base = scratch.put(text.mapInArrow(_base(n, num, den, rank), _BASE), "base")
     sets = base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     sets = scratch.put(sets, "sets")
     on_set = lambda x: (F.col("d1") == F.col(f"{x}1")) & (F.col("d2") == F.col(f"{x}2"))
@@ -367,11 +389,11 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
     routed = scratch.put(routed.join(points, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles"))).select(F.col("key").alias("group"), "node", "n_shingles", "point"), "routed")
     first = scratch.put(_candidates(routed, num, den), "first")
     fine = nodes.select("node", "n_shingles", "fine")
-    links = _verified(scratch, text, _refined(first, fine, num, den), n, num, den, "first")
+    links = _verified(scratch, text, _refined(first, fine, num, den), n, num, den, rank, "first")
     parts = connected(spark, links.select("a", "b"), scratch)
     more = _second(scratch, routed, fine, parts, num, den, first)
     if not more.isEmpty():
-        links = links.unionByName(_verified(scratch, text, more, n, num, den, "second"))
+        links = links.unionByName(_verified(scratch, text, more, n, num, den, rank, "second"))
         parts = connected(spark, links.select("a", "b"), scratch)
     member = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named.withColumnRenamed("node", "_node"), on_set("e"), "left")
     out = member.drop("e1", "e2").join(parts.withColumnRenamed("node", "_p"), F.col("_node") == F.col("_p"), "left")
@@ -379,7 +401,7 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
     columns = [store.given_id().alias("doc_id"), "n_shingles", store.given_id("root").alias("component_id")]
     if not count_links:
         return out.select(*columns)
-    counted = _counted(scratch, text, base, sets, parts, n, num, den)
+    counted = _counted(scratch, text, base, sets, parts, n, num, den, rank)
     return out.join(counted, on_set("e"), "left").select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -419,13 +441,13 @@ def _refined(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame
     return rows.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_fine(num, den), "a long, b long").distinct()
 
 
-def _verified(scratch: store.Scratch, text: DataFrame, pairs: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
+def _verified(scratch: store.Scratch, text: DataFrame, pairs: DataFrame, n: int, num: int, den: int, rank: np.ndarray, name: str) -> DataFrame:
     """Of candidate pairs (a, b) those whose sets reach the ratio."""
     pairs = scratch.put(pairs, f"pairs-{name}")
     wanted = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), f"wanted-{name}")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = scratch.put(text.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_set_rows(n), "node long, s array<long>"), f"sets-{name}")
+    sets = scratch.put(text.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_set_rows(n, rank), "node long, s array<long>"), f"sets-{name}")
     one = pairs.join(sets.select(F.col("node").alias("na"), F.col("s").alias("sa")), F.col("a") == F.col("na"))
     two = one.select("a", "b", "sa").join(sets.select(F.col("node").alias("nb"), F.col("s").alias("sb")), F.col("b") == F.col("nb"))
     return scratch.put(two.where(_reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"), num, den)).select("a", "b").distinct(), f"links-{name}")

@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import store
+from parcelflow.llm.sums import SUMS, emit, summed
 from parcelflow.llm.words import Words, mix, slices
 
 CLASSES, SLOTS, TAIL = 32, 32, 32
@@ -38,9 +38,7 @@ FEATURES, ROUNDS = 3, 3
 SMOOTH = 4.0
 PAD = HEAD + TAIL
 END = np.uint64(0x452821E638D01377)
-CHUNKS, SALTS = 8, 16
 _BATCH, _FLUSH = 8192, 1 << 20
-_SUMS = "chunk int, salt int, data binary"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,34 +202,6 @@ def _decoded(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[slic
         at = to
 
 
-def _summed(spark: SparkSession, rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of arrays of doubles by chunk, over tasks in two steps; rows: chunk, salt, data."""
-    rows = rows.repartition(CHUNKS * 2, "chunk", "salt").mapInArrow(_add_up, _SUMS)
-    rows = rows.withColumn("salt", F.lit(0)).repartition(CHUNKS, "chunk").mapInArrow(_add_up, _SUMS)
-    total: dict[int, np.ndarray] = {}
-    for r in rows.collect():
-        x = np.frombuffer(r["data"], dtype="<f8")
-        total[r["chunk"]] = total[r["chunk"]] + x if r["chunk"] in total else x
-    return total
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for c, s, d in zip(*(batch.column(k).to_pylist() for k in ("chunk", "salt", "data")), strict=True):
-            x = np.frombuffer(d, dtype="<f8")
-            total[c, s] = total[c, s] + x if (c, s) in total else x
-    for (c, s), x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "salt", "data"])
-
-
-def _emit(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    flat = np.concatenate([a.ravel() for a in arrays]).astype("<f8")
-    salt = TaskContext.get().partitionId() % SALTS
-    for k, x in enumerate(np.array_split(flat, CHUNKS)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "salt", "data"])
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each head word follows each of the first 32 words and of the tail's classes."""
     total = np.zeros(HEAD * 64)
@@ -242,7 +212,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.where(before < 32, before, np.where((before >= HEAD) & (before < PAD), before - HEAD + 32, -1))
             ok = (code < HEAD) & (near >= 0)
             total += np.bincount(code[ok] * 64 + near[ok], minlength=HEAD * 64)
-    yield from _emit([total])
+    yield from emit([total])
 
 
 def _gradient(shared) -> Callable:
@@ -252,7 +222,7 @@ def _gradient(shared) -> Callable:
         for batch in batches:
             for _, code, at in _decoded(batch):
                 model.statistics(code, at, sums)
-        yield from _emit(sums)
+        yield from emit(sums)
 
     return run
 
@@ -324,8 +294,8 @@ def score(spark: SparkSession, docs: DataFrame, held_out_of: int = 5, held_out:
     ided = rows.withColumn("rid", F.monotonically_increasing_id())
     coded = scratch.put(ided.mapInArrow(_encode(shared), _CODED), "coded", by="round")
 
-    near = _summed(spark, coded.where("round >= 0").select("codes").mapInArrow(_neighbours, _SUMS))
-    near = np.concatenate([near[k] for k in range(CHUNKS)]).reshape(HEAD, 64) if near else np.zeros((HEAD, 64))
+    near = summed(coded.where("round >= 0").select("codes").mapInArrow(_neighbours, SUMS))
+    near = np.zeros((HEAD, 64)) if near is None else near.reshape(HEAD, 64)
     place = _split(near)
     own = np.full(HEAD, 1e-9)
     own[: len(head)] = head["c"].to_numpy(float) + 0.5
@@ -335,10 +305,9 @@ def score(spark: SparkSession, docs: DataFrame, held_out_of: int = 5, held_out:
     kinds = np.concatenate([by_place.sum(axis=1), tail_mass])
     model = Model(np.log(kinds / kinds.sum()), np.log(by_place / by_place.sum(axis=1, keepdims=True)), place)
     for r in range(ROUNDS):
-        got = _summed(spark, coded.where(F.col("round") == r).select("codes").mapInArrow(_gradient(spark.sparkContext.broadcast(model)), _SUMS))
-        if got:
-            flat = np.concatenate([got[k] for k in range(CHUNKS)])
-            cut = np.split(flat, np.cumsum([ROWS * KINDS, ROWS * KINDS, WORD_ROWS * SLOTS]))
+        got = summed(coded.where(F.col("round") == r).select("codes").mapInArrow(_gradient(spark.sparkContext.broadcast(model)), SUMS))
+        if got is not None:
+            cut = np.split(got, np.cumsum([ROWS * KINDS, ROWS * KINDS, WORD_ROWS * SLOTS]))
             model.update([x.reshape(-1, w) for x, w in zip(cut, (KINDS, KINDS, SLOTS, SLOTS), strict=True)])
 
     final = spark.sparkContext.broadcast((model, np.log10(tail_mass)))

@@ -484,8 +484,9 @@ def test_finer_counts_never_exceed_the_difference():
             texts.append(" ".join(t))
     texts.append("x " * 70000 + "y")  # a repeated shingle counts once
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
-    fine = jaccard.Fine(pa.chunked_array([b.column("fine") for b in jaccard._base(3, 90, 100)([batch])]))
-    sets = [set(s.tolist()) for s in jaccard._sets(batch, 3)]
+    rank = rng.integers(0, 200, jaccard.COUNTERS).astype(np.uint8)
+    fine = jaccard.Fine(pa.chunked_array([b.column("fine") for b in jaccard._base(3, 90, 100, rank)([batch])]))
+    sets = [set(s.tolist()) for s in jaccard._sets(batch, 3, rank)]
     i, j = (a.ravel() for a in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
     true = np.array([len(sets[a] ^ sets[b]) for a, b in zip(i, j, strict=True)])
     apart = fine.apart(i, fine, j)
