@@ -3,30 +3,22 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 
+from parcelflow.operators.evidence import label as components
+
 # Limits of duplicate proposals.
 IOU, CONTAINMENT, CENTRE, SIZE, SEMANTIC = 0.42, 0.72, 0.35, 0.45, 0.2
 
 
 def label(pdf: pd.DataFrame) -> pd.DataFrame:
     """8-connected components of one plane's set pixels, numbered by their first pixel in raster order."""
-    h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-    lab = np.full((h + 2, w + 2), h * w, dtype=np.int64)
     y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    lab[y + 1, x + 1] = y * w + x
-    mask = lab < h * w
-    while True:  # labels fall to the least of their neighbours'
-        low = reduce(np.minimum, [np.roll(lab, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        new = np.where(mask, low, h * w)
-        if (new == lab).all():
-            break
-        lab = new
-    got = lab[y + 1, x + 1]
-    return pd.DataFrame({"pair_id": pdf["pair_id"], "y": y, "x": x, "d": pdf["d"], "component": np.unique(got, return_inverse=True)[1] + 1})
+    mask = np.zeros((int(y.max()) + 1, int(x.max()) + 1), dtype=bool)
+    mask[y, x] = True
+    return pd.DataFrame({"pair_id": pdf["pair_id"], "y": y, "x": x, "d": pdf["d"], "component": components(mask)[0][y, x]})
 
 
 def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -34,7 +26,7 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["pair_id", "confidence_e3", "proposal_id"], ascending=[True, False, True], kind="stable")
     pair, ids = pdf["pair_id"].to_list(), pdf["proposal_id"].to_list()
     x, y, w, h = (pdf[c].astype(float).to_list() for c in ("left", "top", "width", "height"))
-    words = [set(t.split(" ")) for t in pdf["words"]]
+    words, kind = [set(t.split(" ")) - {""} for t in pdf["words"]], pdf["change_type"].to_list()
     kept: list[int] = []
     into = list(range(len(ids)))
     for i in range(len(ids)):
@@ -46,7 +38,7 @@ def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             iou, held = round(over / max(1.0, a + b - over), 4), round(over / max(1.0, min(a, b)), 4)
             scale = max(1.0, (math.hypot(w[i], h[i]) + math.hypot(w[k], h[k])) / 2)
             far = round(math.hypot(x[i] + w[i] / 2 - x[k] - w[k] / 2, y[i] + h[i] / 2 - y[k] - h[k] / 2) / scale, 4)
-            alike = round(len(words[i] & words[k]) / max(1, len(words[i] | words[k])), 4)
+            alike = round(len(words[i] & words[k]) / max(1, len(words[i] | words[k])), 4) if words[i] and words[k] else float(kind[i] == kind[k])
             if alike >= SEMANTIC and (iou >= IOU or (held >= CONTAINMENT and far <= CENTRE and round(min(a, b) / max(1.0, max(a, b)), 4) >= SIZE)):
                 into[i] = k
                 break

@@ -25,16 +25,21 @@ def default_polygon_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("box_convert", WITH + """
-SELECT pair_id, proposal_id, "left" * 100.0::DOUBLE / 1000 AS x_pct, width * 100.0::DOUBLE / 1000 AS w_pct, greatest(0, "left" - 8) AS pad_left, least(1000, "left" + width + 8) - greatest(0, "left" - 8) AS pad_width,
+SELECT pair_id, proposal_id, top * 100.0::DOUBLE / 1000 AS y_pct, height * 100.0::DOUBLE / 1000 AS h_pct, greatest(0, top - 8) AS pad_top, least(1000, top + height + 8) - greatest(0, top - 8) AS pad_height,
+  least(100.0, 10 + (top * 100.0::DOUBLE / 1000) * 0.4) AS full_y, least(100.0::DOUBLE - least(100.0, 10 + (top * 100.0::DOUBLE / 1000) * 0.4), (height * 100.0::DOUBLE / 1000) * 0.4) AS full_h, "left" * 100.0::DOUBLE / 1000 AS x_pct, width * 100.0::DOUBLE / 1000 AS w_pct, greatest(0, "left" - 8) AS pad_left, least(1000, "left" + width + 8) - greatest(0, "left" - 8) AS pad_width,
   least(100.0, 20 + ("left" * 100.0::DOUBLE / 1000) * 0.5) AS full_x, least(100.0::DOUBLE - least(100.0, 20 + ("left" * 100.0::DOUBLE / 1000) * 0.5), (width * 100.0::DOUBLE / 1000) * 0.5) AS full_w FROM proposals""")
 def box_convert(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels to percent, padding inside the frame, and crop-relative percent to full percent (crop at 20, half as wide)."""
+    """Pixels to percent, padding inside the frame, and crop-relative percent to full percent (crop at 20, 10, half as wide and 0.4 as high)."""
+    y, h = F.col("top") * F.lit(100.0) / FRAME, F.col("height") * F.lit(100.0) / FRAME
+    over = F.greatest(F.lit(0), F.col("top") - 8)
+    down = F.least(F.lit(100.0), 10 + y * 0.4)
     x, w = F.col("left") * F.lit(100.0) / FRAME, F.col("width") * F.lit(100.0) / FRAME
     low = F.greatest(F.lit(0), F.col("left") - 8)
     full = F.least(F.lit(100.0), 20 + x * 0.5)
     return T.proposals(spark, d).select(
         "pair_id", "proposal_id", x.alias("x_pct"), w.alias("w_pct"), low.alias("pad_left"), (F.least(F.lit(FRAME), F.col("left") + F.col("width") + 8) - low).alias("pad_width"),
-        full.alias("full_x"), F.least(100.0 - full, w * 0.5).alias("full_w"),
+        full.alias("full_x"), F.least(100.0 - full, w * 0.5).alias("full_w"), y.alias("y_pct"), h.alias("h_pct"), over.alias("pad_top"), (F.least(F.lit(FRAME), F.col("top") + F.col("height") + 8) - over).alias("pad_height"),
+        down.alias("full_y"), F.least(100.0 - down, h * 0.4).alias("full_h"),
     )
 
 
@@ -106,14 +111,14 @@ def roi_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("cell_overlap_join", WITH + f"""
-SELECT DISTINCT a.pair_id, a.proposal_id AS a_id, b.proposal_id AS b_id FROM proposals a JOIN proposals b ON a.pair_id = b.pair_id + 4 AND {_OVER} > 0""")
+SELECT DISTINCT a.pair_id, a.proposal_id AS a_id, b.proposal_id AS b_id FROM proposals a JOIN proposals b ON a.pair_id = b.pair_id + 1 AND {_OVER} > 0""")
 def cell_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps between neighbouring pairs through grid cells, so the join key is as fine as the boxes."""
     keep = ["pair_id", "proposal_id", "left", "top", "width", "height"]
     rows = T.proposals(spark, d).select(*keep)
     a = _cells(rows).select(*(F.col(c).alias(f"a_{c}") for c in keep), "cx", "cy")
     b = _cells(rows).select(*(F.col(c).alias(f"b_{c}") for c in keep), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    met = a.join(b, (F.col("a_pair_id") == F.col("b_pair_id") + 4) & (F.col("cx") == F.col("bx")) & (F.col("cy") == F.col("by"))).where(B.overlap("a_", "b_") > 0)
+    met = a.join(b, (F.col("a_pair_id") == F.col("b_pair_id") + 1) & (F.col("cx") == F.col("bx")) & (F.col("cy") == F.col("by"))).where(B.overlap("a_", "b_") > 0)
     return met.select(F.col("a_pair_id").alias("pair_id"), F.col("a_proposal_id").alias("a_id"), F.col("b_proposal_id").alias("b_id")).distinct()
 
 
@@ -139,7 +144,7 @@ def frontier_box_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("tile_layout", """
-WITH f AS (SELECT o_orderkey AS pair_id, 900 + o_orderkey % 1500 AS w, 700 + o_orderkey % 900 AS h FROM orders WHERE o_orderkey % 100 = 0),
+WITH f AS (SELECT o_orderkey AS pair_id, 900 + o_orderkey % 1500 AS w, 700 + o_orderkey % 900 AS h FROM orders),
 x AS (SELECT DISTINCT pair_id, least(k * 614, greatest(0, w - 768)) AS tx FROM (SELECT *, unnest(range(0, CASE WHEN w > 768 THEN (w - 768 + 613) // 614 ELSE 0 END + 1)) AS k FROM f)),
 y AS (SELECT DISTINCT pair_id, least(k * 614, greatest(0, h - 768)) AS ty FROM (SELECT *, unnest(range(0, CASE WHEN h > 768 THEN (h - 768 + 613) // 614 ELSE 0 END + 1)) AS k FROM f))
 SELECT pair_id, tx, ty FROM x JOIN y USING (pair_id)""")
@@ -147,7 +152,7 @@ def tile_layout(spark: SparkSession, d: str, size: int = 768, overlap: float = 0
     """Tiles of a stride of round(size * (1 - overlap)); the last lies flush with the frame's edge, none twice."""
     stride = int(size * (1 - overlap) + 0.5)
     k = F.col("o_orderkey")
-    frames = T.read(spark, d, "orders").where(k % 100 == 0).select(k.alias("pair_id"), (900 + k % 1500).alias("w"), (700 + k % 900).alias("h"))
+    frames = T.read(spark, d, "orders").select(k.alias("pair_id"), (900 + k % 1500).alias("w"), (700 + k % 900).alias("h"))
 
     def axis(n: str) -> F.Column:
         last = F.greatest(F.lit(0).cast("long"), F.col(n) - size)
@@ -158,13 +163,13 @@ def tile_layout(spark: SparkSession, d: str, size: int = 768, overlap: float = 0
 
 
 @query("rasterize_polygon", WITH + """,
-s AS (SELECT parcel_key, 3 + parcel_key % 4 AS r, 10 + parcel_key % 5 AS cx FROM parcels WHERE parcel_key % 40 = 0),
+s AS (SELECT parcel_key, 3 + parcel_key % 4 AS r, 10 + parcel_key % 5 AS cx FROM parcels),
 g AS (SELECT s.*, x, y FROM s, (SELECT unnest(range(0, 24)) AS x), (SELECT unnest(range(0, 24)) AS y))
 SELECT parcel_key, count(*) AS pixels, min(x) AS x0, max(y) AS y1 FROM g WHERE abs(x + 0.25 - cx) + abs(y + 0.5 - 10) < r GROUP BY 1""")
 def rasterize_polygon(spark: SparkSession, d: str) -> DataFrame:
     """Pixels whose centres lie in a diamond, by the even-odd rule over its bounding box only."""
     k = F.col("parcel_key")
-    rows = T.parcels(spark, d).where(k % 40 == 0).select(k, (3 + k % 4).cast("int").alias("r"), (10 + k % 5).cast("int").alias("cx"))
+    rows = T.parcels(spark, d).select(k, (3 + k % 4).cast("int").alias("r"), (10 + k % 5).cast("int").alias("cx"))
     ring = F.array(*(F.struct((F.col("cx") + a * F.col("r") + 0.25).alias("x"), (10 + b * F.col("r")).cast("double").alias("y")) for a, b in ((-1, 0), (0, -1), (1, 0), (0, 1))))
     rows = rows.withColumn("ring", ring).withColumn("x", F.explode(F.sequence(F.col("cx") - F.col("r"), F.col("cx") + F.col("r")))).withColumn("y", F.explode(F.sequence(10 - F.col("r"), 10 + F.col("r"))))
     hit = rows.where(B.inside(F.col("x") + 0.5, F.col("y") + 0.5, F.col("ring")))

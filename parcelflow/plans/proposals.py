@@ -11,7 +11,7 @@ from parcelflow.sources import tables as T
 from parcelflow.sources.shipping import ship
 
 WITH = f"WITH {T.SQL}\n"
-# Reserves of the schedule, categories by priority.
+# Reserves of the schedule, categories by priority, words that tell of a removal.
 RESERVE_SCOUTED, RESERVE_SMALL, RESERVE_REMOVAL, CAPACITY = 2, 1, 1, 4
 CATEGORIES = ("frontier_only", "unmatched_small_object", "possible_removal", "frontier_supported_deterministic_review", "deterministic_review", "strong_deterministic_accepted")
 REMOVAL = "remov|disappear|demol|absent|replaced|cleared|loss"
@@ -34,77 +34,127 @@ def token_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("text_scalars", """
 SELECT p_partkey AS k, regexp_replace(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[:120] AS reason_code,
-  lower(regexp_replace(p_type, '[|_]', ' ', 'g')) AS human, array_to_string(regexp_split_to_array(trim(regexp_replace(p_name || '  ' || p_type || ' a b c', '\\s+', ' ', 'g')), ' ')[1:5], ' ') AS label,
+  lower(regexp_replace(p_type, '[|_]', ' ', 'g')) AS human, CASE WHEN p_partkey % 9 = 0 THEN 'visible surface change' WHEN p_partkey % 8 = 0 THEN 'changed roof objects' WHEN p_partkey % 7 = 0 THEN 'visible surface change' ELSE array_to_string(regexp_split_to_array(trim(regexp_replace(p_name || '  ' || p_type || ' a b c', '\\s+', ' ', 'g')), ' ')[1:5], ' ') END AS label,
   CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type ELSE 'uncertain' END AS decision, printf('BL-%03d', p_partkey) AS code FROM part""")
 def text_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Reason codes, readable reasons, labels of five words, decisions, padded codes."""
     code = F.regexp_replace(F.regexp_replace(F.lower(F.concat("p_type", F.lit(" / "), "p_brand")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    label = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.concat("p_name", F.lit("  "), "p_type", F.lit(" a b c")), r"\s+", " ")), " "), 1, 5), " ")
+    k = F.col("p_partkey")
+    said = F.when(k % 9 == 0, "new  Construction Site here").when(k % 8 == 0, "many buildings seen").when(k % 7 == 0, "  ").otherwise(F.concat("p_name", F.lit("  "), "p_type", F.lit(" a b c")))
     return T.read(spark, d, "part").select(
-        F.col("p_partkey").alias("k"), F.substring(code, 1, 120).alias("reason_code"), F.lower(F.translate("p_type", "|_", "  ")).alias("human"), label.alias("label"),
+        F.col("p_partkey").alias("k"), F.substring(code, 1, 120).alias("reason_code"), F.lower(F.translate("p_type", "|_", "  ")).alias("human"), cautious_label(said).alias("label"),
         F.when(F.col("p_type").isin("ECONOMY", "PROMO"), F.col("p_type")).otherwise("uncertain").alias("decision"), F.format_string("BL-%03d", "p_partkey").alias("code"),
     )
 
 
-_PRIORITY = f"""CASE WHEN source IN ('frontier_global', 'frontier_tile') THEN 1 WHEN small_object THEN 2 WHEN regexp_matches(change_type, '{REMOVAL}', 'i') THEN 3
+def cautious_label(text: Column) -> Column:
+    """Five words at most, without a claim that images can't prove; an empty one has a default."""
+    short = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), 1, 5), " ")
+    short = F.when(short.rlike("(?i)illegal|temporary|complex|construction site") | (short == ""), "visible surface change").otherwise(short)
+    return F.when(short.rlike("(?i)building cluster|many buildings"), "changed roof objects").otherwise(F.coalesce(short, F.lit("visible surface change")))
+
+
+_REMOVAL = f"(regexp_matches(change_type || ' ' || before_text || ' ' || after_text, '{REMOVAL}', 'i') OR removal >= 0.34)"
+_PRIORITY = f"""CASE WHEN source IN ('frontier_global', 'frontier_tile') THEN 1 WHEN small_object THEN 2 WHEN {_REMOVAL} THEN 3
   WHEN flag = 'N' AND source = 'deterministic_and_frontier' THEN 4 WHEN flag = 'N' THEN 5 ELSE 6 END"""
 
 
+def removal() -> Column:
+    """Any of a proposal's three texts tells of a removal, or its pixels do."""
+    return F.concat_ws(" ", "change_type", "before_text", "after_text").rlike(f"(?i){REMOVAL}") | (F.coalesce("removal", F.lit(0.0)) >= 0.34)
+
+
 def priority() -> Column:
-    """1..6; flag N stands for a candidate that needs review."""
+    """1..6, the place of a candidate's category in CATEGORIES; flag N stands for one that needs review."""
     review = F.col("flag") == "N"
     return (
-        F.when(F.col("source").isin("frontier_global", "frontier_tile"), 1).when(F.col("small_object"), 2).when(F.col("change_type").rlike(f"(?i){REMOVAL}"), 3)
+        F.when(F.col("source").isin("frontier_global", "frontier_tile"), 1).when(F.col("small_object"), 2).when(removal(), 3)
         .when(review & (F.col("source") == "deterministic_and_frontier"), 4).when(review, 5).otherwise(6)
     )
 
 
-@query("verification_category", WITH + f"SELECT priority, count(*) AS n FROM (SELECT {_PRIORITY} AS priority FROM proposals) GROUP BY 1")
+@query("verification_category", WITH + f"SELECT priority, {T._list(CATEGORIES)}[priority] AS category, count(*) AS n FROM (SELECT {_PRIORITY} AS priority FROM proposals) GROUP BY 1, 2")
 def verification_category(spark: SparkSession, d: str) -> DataFrame:
-    return T.proposals(spark, d).groupBy(priority().alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    return T.proposals(spark, d).groupBy(priority().alias("priority")).agg(F.count(F.lit(1)).alias("n")).select("priority", T.pick(CATEGORIES, F.col("priority") - 1).alias("category"), "n")
 
 
 _R = """row_number() OVER (PARTITION BY pair_id ORDER BY {0}, priority, area, confidence_e3 DESC, proposal_id)"""
 
 
-@query("verification_schedule", WITH + f""",
-a AS (SELECT *, {_PRIORITY} AS priority, width * height AS area, source IN ('frontier_global', 'frontier_tile') AS f, regexp_matches(change_type, '{REMOVAL}', 'i') AS rem FROM proposals),
+SCHEDULE = WITH + f""",
+a AS (SELECT *, {_PRIORITY} AS priority, width * height AS area, source IN ('frontier_global', 'frontier_tile') AS f, {_REMOVAL} AS rem FROM proposals),
 b AS (SELECT *, f AND {_R.format('f DESC')} <= 2 AS p1 FROM a),
 c AS (SELECT *, small_object AND NOT p1 AND {_R.format('(small_object AND NOT p1) DESC')} <= 1 AS p2 FROM b),
-e AS (SELECT *, rem AND NOT p1 AND NOT p2 AND {_R.format('(rem AND NOT p1 AND NOT p2) DESC')} <= 1 AS p3 FROM c)
-SELECT pair_id, proposal_id, priority, q AS position, q <= 4 AS scheduled FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN p1 THEN 0 WHEN p2 THEN 1 WHEN p3 THEN 2 ELSE 3 END, priority, area, confidence_e3 DESC, proposal_id) AS q FROM e)""")
+e AS (SELECT *, rem AND NOT p1 AND NOT p2 AND {_R.format('(rem AND NOT p1 AND NOT p2) DESC')} <= 1 AS p3 FROM c),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN p1 THEN 0 WHEN p2 THEN 1 WHEN p3 THEN 2 ELSE 3 END, priority, area, confidence_e3 DESC, proposal_id) AS q FROM e)"""
+
+
+@query("verification_schedule", SCHEDULE + " SELECT pair_id, proposal_id, priority, q AS position, q <= 4 AS scheduled FROM e2")
 def verification_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return scheduled(spark, d).select("pair_id", "proposal_id", "priority", "position", "scheduled")
+
+
+def scheduled(spark: SparkSession, d: str) -> DataFrame:
     """Reserved places for scouted, small and removed ones, then by rank, up to the capacity.
 
     Each reserve ranks only what the ones before have left; the last rank is the place in the queue.
     """
     rank = ["priority", "area", F.desc("confidence_e3"), "proposal_id"]
     rows = T.proposals(spark, d).withColumn("priority", priority()).withColumn("area", F.col("width") * F.col("height")).withColumn("reserve", F.lit(3))
-    scouted, small, removal = F.col("source").isin("frontier_global", "frontier_tile"), F.col("small_object"), F.col("change_type").rlike(f"(?i){REMOVAL}")
-    for k, (fits, n) in enumerate(((scouted, RESERVE_SCOUTED), (small, RESERVE_SMALL), (removal, RESERVE_REMOVAL))):
+    scouted, small, gone = F.col("source").isin("frontier_global", "frontier_tile"), F.col("small_object"), removal()
+    for k, (fits, n) in enumerate(((scouted, RESERVE_SCOUTED), (small, RESERVE_SMALL), (gone, RESERVE_REMOVAL))):
         open_ = fits & (F.col("reserve") == 3)
         at = F.row_number().over(Window.partitionBy("pair_id").orderBy(open_.desc(), *rank))
         rows = rows.withColumn("_at", at).withColumn("reserve", F.when(open_ & (F.col("_at") <= n), k).otherwise(F.col("reserve")))
     place = F.row_number().over(Window.partitionBy("pair_id").orderBy("reserve", *rank))
-    return rows.withColumn("position", place).select("pair_id", "proposal_id", "priority", "position", (F.col("position") <= CAPACITY).alias("scheduled"))
+    return rows.withColumn("position", place).withColumn("scheduled", F.col("position") <= CAPACITY)
+
+
+_DEDUP = f"WITH RECURSIVE {T.SQL}," + """
+w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(change_type || ' ' || before_text || ' ' || after_text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS w, row_number() OVER (PARTITION BY pair_id ORDER BY confidence_e3 DESC, proposal_id) AS r FROM proposals),
+o AS (SELECT b.pair_id, b.r AS r, a.r AS k, (greatest(0, least(a."left" + a.width, b."left" + b.width) - greatest(a."left", b."left")) * greatest(0, least(a.top + a.height, b.top + b.height) - greatest(a.top, b.top)))::DOUBLE AS o, a.width * a.height AS aa, b.width * b.height AS bb,
+  sqrt((a."left" + a.width / 2.0::DOUBLE - b."left" - b.width / 2.0::DOUBLE) ** 2 + (a.top + a.height / 2.0::DOUBLE - b.top - b.height / 2.0::DOUBLE) ** 2) AS far, (sqrt(a.width * a.width + a.height * a.height) + sqrt(b.width * b.width + b.height * b.height)) / 2 AS scale,
+  len(list_intersect(a.w, b.w))::DOUBLE / greatest(1, len(list_distinct(list_concat(a.w, b.w)))) AS alike FROM w a JOIN w b ON a.pair_id = b.pair_id AND a.r < b.r),
+near AS (SELECT pair_id, r, list(k) AS near FROM o WHERE round(alike, 4) >= 0.2 AND (round(o / greatest(1, aa + bb - o), 4) >= 0.42 OR (round(o / greatest(1, least(aa, bb)), 4) >= 0.72 AND round(far / greatest(1, scale), 4) <= 0.35 AND round(least(aa, bb)::DOUBLE / greatest(1, greatest(aa, bb)), 4) >= 0.45)) GROUP BY 1, 2),
+q AS (SELECT w.pair_id, w.r, coalesce(near, []) AS near FROM w LEFT JOIN near USING (pair_id, r)),
+k AS (SELECT pair_id, r, r AS into_r, [r] AS kept FROM q WHERE r = 1
+  UNION ALL SELECT pair_id, r, coalesce(hit, r), CASE WHEN hit IS NULL THEN list_append(kept, r) ELSE kept END FROM (SELECT q.pair_id, q.r, k.kept, list_filter(k.kept, lambda x: list_contains(q.near, x))[1] AS hit FROM k JOIN q ON q.pair_id = k.pair_id AND q.r = k.r + 1)),
+dd AS (SELECT k.pair_id, k.r, a.proposal_id, a.source, b.proposal_id AS retained_id FROM k JOIN w a ON a.pair_id = k.pair_id AND a.r = k.r JOIN w b ON b.pair_id = k.pair_id AND b.r = k.into_r)"""
 
 
-@query("proposal_dedup")
+@query("proposal_dedup", _DEDUP + " SELECT pair_id, proposal_id, retained_id FROM dd")
 def proposal_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Order decides who is kept, so it is a pass over each pair's boxes; pairs are independent."""
     ship(spark)
-    rows = T.proposals(spark, d).select("pair_id", "proposal_id", "left", "top", "width", "height", "confidence_e3", F.array_join(tokens(F.col("change_type")), " ").alias("words"))
+    words = F.array_join(tokens(F.concat_ws(" ", "change_type", "before_text", "after_text")), " ").alias("words")
+    rows = T.proposals(spark, d).select("pair_id", "proposal_id", "left", "top", "width", "height", "confidence_e3", "change_type", words)
     return rows.groupBy(F.floor(F.col("pair_id") / 256)).applyInPandas(merge, "pair_id long, proposal_id long, retained_id long")
 
 
+@query("dedup_clusters", _DEDUP + """
+SELECT pair_id, retained_id, array_to_string(list(proposal_id ORDER BY r), ',') AS merged_ids, CASE WHEN bool_or(source = 'frontier_tile') THEN 'frontier_tile' ELSE arg_min(source, r) END AS source, count(*) - 1 AS removed,
+  CASE WHEN count(*) > 1 THEN 'merged_as_duplicate' ELSE 'unique_proposal' END AS reason FROM dd GROUP BY 1, 2""")
+def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Kept boxes with the ids of all they stand for, in the order of confidence; one that a tile confirms comes from a tile."""
+    rows = T.proposals(spark, d).select("pair_id", "proposal_id", "source", F.struct((-F.col("confidence_e3")).alias("a"), F.col("proposal_id").alias("b"), "source").alias("_o"))
+    rows = rows.join(proposal_dedup(spark, d), ["pair_id", "proposal_id"])
+    every = F.sort_array(F.collect_list("_o"))
+    out = rows.groupBy("pair_id", "retained_id").agg(every.alias("all"), F.bool_or(F.col("source") == "frontier_tile").alias("tile"))
+    many = F.size("all") > 1
+    return out.select(
+        "pair_id", "retained_id", F.array_join(F.transform("all", lambda x: x["b"].cast("string")), ",").alias("merged_ids"), F.when(F.col("tile"), "frontier_tile").otherwise(F.col("all")[0]["source"]).alias("source"),
+        (F.size("all") - 1).cast("long").alias("removed"), F.when(many, "merged_as_duplicate").otherwise("unique_proposal").alias("reason"),
+    )
+
+
 @query("tile_budget", """
-WITH RECURSIVE l AS (SELECT l_orderkey AS pair_id, l_quantity::BIGINT AS mp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem WHERE l_orderkey % 4 = 0),
+WITH RECURSIVE l AS (SELECT l_orderkey AS pair_id, l_quantity::BIGINT AS mp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem),
 f AS (SELECT pair_id, r, mp, CASE WHEN mp <= 48 THEN mp ELSE 0 END AS used, mp <= 48 AS kept FROM l WHERE r = 1
   UNION ALL SELECT l.pair_id, l.r, l.mp, CASE WHEN f.used + l.mp <= 48 THEN f.used + l.mp ELSE f.used END, f.used + l.mp <= 48 FROM f JOIN l ON l.pair_id = f.pair_id AND l.r = f.r + 1)
 SELECT pair_id, count(*) AS tiles, count(*) FILTER (kept) AS kept, max(used) AS used FROM f GROUP BY 1""")
 def tile_budget(spark: SparkSession, d: str, budget: int = 48) -> DataFrame:
     """A tile is kept if the sum stays in the budget; one left out uses nothing. A fold over the ordered list."""
-    rows = T.read(spark, d, "lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("pair_id")).agg(
+    rows = T.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(
         F.sort_array(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long").alias("mp")))).alias("t")
     )
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"))

@@ -36,9 +36,22 @@ def along(axis: str, low: int, high: int):
     return Window.partitionBy("pair_id", other).orderBy(axis).rowsBetween(low, high)
 
 
-def moving(rows: DataFrame, c: str, r: int, how, out: str) -> DataFrame:
-    """A separable statistic of the square of radius r, clipped at the edges."""
-    return rows.withColumn("_m", how(c).over(along("x", -r, r))).withColumn(out, how("_m").over(along("y", -r, r))).drop("_m")
+def moving(rows: DataFrame, r: int, **wanted) -> DataFrame:
+    """Separable statistics (name=(function, column)) of the square of radius r, clipped at the edges.
+
+    All go along rows first and then along columns, so there are two shuffles whatever their number.
+    """
+    rows = rows.withColumns({f"_{out}": how(c).over(along("x", -r, r)) for out, (how, c) in wanted.items()})
+    return rows.withColumns({out: how(f"_{out}").over(along("y", -r, r)) for out, (how, _) in wanted.items()}).drop(*(f"_{out}" for out in wanted))
+
+
+def at_edge() -> F.Column:
+    """Whether a pixel lies at its plane's border, whatever the plane's size."""
+    gone = F.lit(False)
+    for axis in "xy":
+        line = Window.partitionBy("pair_id", "y" if axis == "x" else "x").orderBy(axis)
+        gone = gone | F.lag(axis).over(line).isNull() | F.lead(axis).over(line).isNull()
+    return gone
 
 
 def _square(r: int) -> str:
@@ -47,14 +60,13 @@ def _square(r: int) -> str:
 
 @query("box_mean", WITH + f" SELECT p.pair_id, p.y, p.x, floor(sum(n.d)::DOUBLE / count(*) + 0.5)::BIGINT AS mean {_square(2)}")
 def box_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = moving(pixels(spark, d).withColumn("one", F.lit(1)), "d", 2, F.sum, "s")
-    return moving(rows, "one", 2, F.sum, "n").select("pair_id", "y", "x", F.floor(F.col("s") / F.col("n") + 0.5).alias("mean"))
+    rows = moving(pixels(spark, d).withColumn("one", F.lit(1)), 2, s=(F.sum, "d"), n=(F.sum, "one"))
+    return rows.select("pair_id", "y", "x", F.floor(F.col("s") / F.col("n") + 0.5).alias("mean"))
 
 
 @query("min_filter", WITH + f" SELECT p.pair_id, p.y, p.x, min(n.d) AS low, max(n.d) AS high {_square(1)}")
 def min_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = moving(pixels(spark, d), "d", 1, F.min, "low")
-    return moving(rows, "d", 1, F.max, "high").select("pair_id", "y", "x", "low", "high")
+    return moving(pixels(spark, d), 1, low=(F.min, "d"), high=(F.max, "d")).select("pair_id", "y", "x", "low", "high")
 
 
 @query("ssim", WITH + f"""
@@ -63,8 +75,7 @@ SELECT pair_id, y, x, round((2 * sa * sb / n / n + 6.5025) * (2 * (sab / n - sa
 def ssim(spark: SparkSession, d: str) -> DataFrame:
     """Structural similarity from five separable window sums."""
     rows = pixels(spark, d).withColumn("one", F.lit(1)).withColumn("aa", F.expr("a * a")).withColumn("bb", F.expr("b * b")).withColumn("ab", F.expr("a * b"))
-    for c, out in (("one", "n"), ("a", "sa"), ("b", "sb"), ("aa", "saa"), ("bb", "sbb"), ("ab", "sab")):
-        rows = moving(rows, c, 2, F.sum, out)
+    rows = moving(rows, 2, **{out: (F.sum, c) for c, out in (("one", "n"), ("a", "sa"), ("b", "sb"), ("aa", "saa"), ("bb", "sbb"), ("ab", "sab"))})
     rows = rows.withColumns({c: F.col(c).cast("double") for c in ("n", "sa", "sb", "saa", "sbb", "sab")})
     value = F.expr("(2 * sa * sb / n / n + 6.5025D) * (2 * (sab / n - sa * sb / n / n) + 58.5225D) / ((sa * sa / n / n + sb * sb / n / n + 6.5025D) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225D))")
     return rows.select("pair_id", "y", "x", F.round(value, 5).alias("ssim"))
@@ -82,10 +93,9 @@ def with_gradient(rows: DataFrame) -> DataFrame:
     at = lambda axis: Window.partitionBy("pair_id", "y" if axis == "x" else "x").orderBy(axis)
     gx = F.lead("_sy").over(at("x")) - F.lag("_sy").over(at("x"))
     gy = F.lead("_sx").over(at("y")) - F.lag("_sx").over(at("y"))
-    edge = F.col("y").isin(0, 7) | F.col("x").isin(0, 7)
-    rows = rows.withColumn("_gx", gx.cast("double")).withColumn("_gy", gy.cast("double"))
+    rows = rows.withColumn("_edge", at_edge()).withColumn("_gx", gx.cast("double")).withColumn("_gy", gy.cast("double"))
     size = F.floor(F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy")) / 4 + 0.5)
-    return rows.withColumn("grad", F.when(edge, F.lit(0).cast("long")).otherwise(F.least(F.lit(255), size).cast("long"))).drop("_sx", "_sy", "_gx", "_gy")
+    return rows.withColumn("grad", F.when(F.col("_edge"), F.lit(0).cast("long")).otherwise(F.least(F.lit(255), size).cast("long"))).drop("_sx", "_sy", "_gx", "_gy", "_edge")
 
 
 @query("gray_gradient", WITH + "," + _GRAD + " SELECT pair_id, y, x, grad FROM g")
@@ -125,6 +135,9 @@ def evidence_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pair_id", "y", "x", F.floor(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), raised)) + 0.5).alias("score"))
 
 
+RANKS = ((0.05, "p05"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.988, "p988"), (0.99, "p99"))
+
+
 def robust(rows: DataFrame, keys: list[str], c: str = "d") -> DataFrame:
     """Median, MAD and nearest-rank percentiles of a byte plane from its histogram: exact, mergeable, 256 rows a key at most."""
     hist = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n"))
@@ -133,7 +146,7 @@ def robust(rows: DataFrame, keys: list[str], c: str = "d") -> DataFrame:
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(c)))
     rank = lambda p: F.floor((F.col("total") - 1) * p + 0.5)
     middle = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
-    got = hist.groupBy(*keys).agg(F.max("total").alias("n"), middle.alias("median"), *(at(rank(p)).alias(name) for p, name in ((0.05, "p05"), (0.9, "p90"), (0.988, "p988"))))
+    got = hist.groupBy(*keys).agg(F.max("total").alias("n"), middle.alias("median"), *(at(rank(p)).alias(name) for p, name in RANKS))
     dev = hist.join(got.select(*keys, "median"), keys).withColumn("dev", F.abs(F.col(c) - F.col("median"))).groupBy(*keys, "dev").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
     dev = dev.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("dev")))
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("dev")))
@@ -145,13 +158,13 @@ def _stats(key: str, frm: str) -> str:
     return f"""
 m AS (SELECT {key}, median(d)::DOUBLE AS med, list_sort(list(d)) AS l, count(*) AS n FROM {frm} GROUP BY {key}),
 st AS (SELECT m.{key}, any_value(m.n) AS n, any_value(med) AS median, median(abs(f.d - med))::DOUBLE AS mad,
-  any_value(l[(floor((m.n - 1) * 0.05 + 0.5) + 1)::INT]) AS p05, any_value(l[(floor((m.n - 1) * 0.9 + 0.5) + 1)::INT]) AS p90, any_value(l[(floor((m.n - 1) * 0.988 + 0.5) + 1)::INT]) AS p988
+  {", ".join(f"any_value(l[(floor((m.n - 1) * {p} + 0.5) + 1)::INT]) AS {name}" for p, name in RANKS)}
   FROM m JOIN {frm} f USING ({key}) GROUP BY m.{key})"""
 
 
-@query("robust_stats", WITH + "," + _stats("pair_id", "px") + " SELECT pair_id, n, median, mad, p05, p90, p988 FROM st")
+@query("robust_stats", WITH + "," + _stats("pair_id", "px") + " SELECT pair_id, n, median, mad, " + ", ".join(n for _, n in RANKS) + " FROM st")
 def robust_stats(spark: SparkSession, d: str) -> DataFrame:
-    return robust(pixels(spark, d), ["pair_id"]).select("pair_id", "n", "median", "mad", "p05", "p90", "p988")
+    return robust(pixels(spark, d), ["pair_id"]).select("pair_id", "n", "median", "mad", *(n for _, n in RANKS))
 
 
 _THRESHOLDS = """
@@ -213,10 +226,9 @@ cl AS (SELECT p.pair_id, p.y, p.x, CASE WHEN count(*) = 9 THEN min(n.v) ELSE 0 E
 SELECT m.pair_id, sum(m.v)::BIGINT AS mask, sum(op.v)::BIGINT AS opened, sum(cl.v)::BIGINT AS closed FROM m JOIN op USING (pair_id, y, x) JOIN cl USING (pair_id, y, x) GROUP BY 1""")
 def morphology(spark: SparkSession, d: str) -> DataFrame:
     """Opening and closing with the full 3 x 3 element; what lies outside the image is unset."""
-    rows = pixels(spark, d).withColumn("v", (F.col("d") >= 40).cast("int")).withColumn("inner", (~(F.col("y").isin(0, 7) | F.col("x").isin(0, 7))).cast("int"))
-    erode = lambda r, c, out: moving(r, c, 1, F.min, out).withColumn(out, F.col(out) * F.col("inner"))
-    rows = moving(erode(rows, "v", "e"), "e", 1, F.max, "opened")
-    rows = erode(moving(rows, "v", 1, F.max, "g"), "g", "closed")
+    rows = pixels(spark, d).withColumn("v", (F.col("d") >= 40).cast("int")).withColumn("inner", (~at_edge()).cast("int"))
+    rows = moving(rows, 1, e=(F.min, "v"), g=(F.max, "v")).withColumn("e", F.col("e") * F.col("inner"))
+    rows = moving(rows, 1, opened=(F.max, "e"), closed=(F.min, "g")).withColumn("closed", F.col("closed") * F.col("inner"))
     return rows.groupBy("pair_id").agg(*(F.sum(c).alias(n) for c, n in (("v", "mask"), ("opened", "opened"), ("closed", "closed"))))
 
 
@@ -274,10 +286,12 @@ def mask_sets(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark, d).groupBy("pair_id").agg(F.count_if(a | b).alias("either"), F.count_if(a & b).alias("both"), F.count_if(~a).alias("holes"), F.count_if(a & ~b).alias("removed"))
 
 
-@query("strided_sample", WITH + " SELECT pair_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY y, x) AS r FROM px WHERE d >= 10) WHERE (r - 1) % 5 = 0")
-def strided_sample(spark: SparkSession, d: str, stride: int = 5) -> DataFrame:
+@query("strided_sample", WITH + " SELECT pair_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY y, x) AS r, count(*) OVER (PARTITION BY pair_id) AS n FROM px WHERE d >= 10) WHERE (r - 1) % greatest(1, n // 12) = 0")
+def strided_sample(spark: SparkSession, d: str, samples: int = 12) -> DataFrame:
+    """Every k-th eligible pixel in raster order, k by how many there are."""
+    stride = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy("pair_id")) / samples))
     at = F.row_number().over(Window.partitionBy("pair_id").orderBy("y", "x"))
-    return pixels(spark, d).where("d >= 10").withColumn("r", at).where((F.col("r") - 1) % stride == 0).select("pair_id", "y", "x")
+    return pixels(spark, d).where("d >= 10").withColumn("r", at).withColumn("k", stride).where((F.col("r") - 1) % F.col("k") == 0).select("pair_id", "y", "x")
 
 
 @query("severe_cells", WITH + """,
@@ -288,3 +302,67 @@ def severe_cells(spark: SparkSession, d: str) -> DataFrame:
     c = pixels(spark, d).groupBy("pair_id", F.floor(F.col("y") / 2).alias("row"), F.floor(F.col("x") / 2).alias("col")).agg(F.avg("d").alias("m")).where("m >= 45").drop("m")
     near = c.select("pair_id", (F.col("row") - 1).alias("row"), "col").unionByName(c.select("pair_id", "row", (F.col("col") - 1).alias("col"))).distinct()
     return c.join(near, ["pair_id", "row", "col"], "left_semi")
+
+
+@query("masked_mean", WITH + """
+SELECT p.pair_id, p.y, p.x, floor(sum(n.d)::DOUBLE / greatest(1, count(n.d)) + 0.5)::BIGINT AS mean
+FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 2 AND p.y + 2 AND n.x BETWEEN p.x - 2 AND p.x + 2 AND n.a > 110 WHERE p.a > 110 GROUP BY 1, 2, 3""")
+def masked_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Means over valid neighbours (here: a > 110) of valid pixels."""
+    valid = F.col("a") > 110
+    rows = pixels(spark, d).withColumn("v", F.when(valid, F.col("d")).otherwise(0)).withColumn("one", valid.cast("int"))
+    rows = moving(rows, 2, s=(F.sum, "v"), n=(F.sum, "one"))
+    return rows.where(valid).select("pair_id", "y", "x", F.floor(F.col("s") / F.greatest(F.lit(1), F.col("n")) + 0.5).alias("mean"))
+
+
+def _lines(axis: str) -> str:
+    return f"""(SELECT pair_id, '{axis}' AS axis, i, i - row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM (SELECT pair_id, {axis} AS i, avg((d >= 20 AND grad <= 32)::INT) AS c FROM g GROUP BY 1, 2) WHERE c >= 0.35)"""
+
+
+@query("overlay_bands", WITH + "," + _GRAD + f""",
+r AS (SELECT * FROM {_lines('x')} UNION ALL SELECT * FROM {_lines('y')})
+SELECT pair_id, axis, min(i) AS first, max(i) + 1 AS past, count(*) AS n FROM r GROUP BY pair_id, axis, k HAVING count(*) BETWEEN 2 AND 3 AND (min(i) = 0 OR max(i) = 7)""")
+def overlay_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Flat changed bands at the border: runs of rows or columns that reach it, of a plausible thickness."""
+    rows = with_gradient(pixels(spark, d))
+    out = None
+    for axis in "xy":
+        size = F.max(axis).over(Window.partitionBy("pair_id")) + 1
+        lines = rows.withColumn("size", size).groupBy("pair_id", F.col(axis).alias("i")).agg(F.avg(((F.col("d") >= 20) & (F.col("grad") <= 32)).cast("int")).alias("c"), F.max("size").alias("size")).where("c >= 0.35")
+        k = F.col("i") - F.row_number().over(Window.partitionBy("pair_id").orderBy("i"))
+        runs = lines.withColumn("k", k).groupBy("pair_id", F.lit(axis).alias("axis"), "k").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("past"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+        thin = F.greatest(F.lit(2), F.floor(F.col("size") * 0.45))
+        runs = runs.where(F.col("n").between(2, thin) & ((F.col("first") == 0) | (F.col("past") == F.col("size")))).select("pair_id", "axis", "first", "past", "n")
+        out = runs if out is None else out.unionByName(runs)
+    return out
+
+
+@query("transformed_residual", WITH + """
+SELECT pair_id, y, x, round(abs(a - least(255.0::DOUBLE, greatest(0.0::DOUBLE, b * 0.9::DOUBLE + 7))), 6) AS left_over FROM px""")
+def transformed_residual(spark: SparkSession, d: str) -> DataFrame:
+    """What a gain of 0.9 and an offset of 7 leave between two planes."""
+    return pixels(spark, d).select("pair_id", "y", "x", F.round(F.abs(F.col("a") - F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("b") * 0.9 + 7))), 6).alias("left_over"))
+
+
+@query("plane_residual", WITH + """,
+m AS (SELECT p.pair_id, p.y, p.x, min(abs(p.a - n.b)) AS ab, min(abs(p.b - n.a)) AS ba FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 1 AND p.y + 1 AND n.x BETWEEN p.x - 1 AND p.x + 1 AND n.a > 96 WHERE p.a > 96 GROUP BY ALL)
+SELECT pair_id, y, x, floor(0.6::DOUBLE * greatest(ab, ba) + 0.2::DOUBLE * (ab + ba) + 0.5)::BIGINT AS residual FROM m""")
+def plane_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Symmetric residual of planes by the detector's kernel, a pair's planes as arrays; only valid pixels (a > 96) count."""
+    ship(spark)
+
+    def kernel(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from parcelflow.operators.evidence import symmetric
+
+        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        a, b = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        a[y, x], b[y, x] = pdf["a"], pdf["b"]
+        valid = a > 96
+        y, x = np.nonzero(valid)
+        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "y": y, "x": x, "residual": symmetric(a, b, valid, 1)[y, x].astype(np.int64)})
+
+    return pixels(spark, d).groupBy("pair_id").applyInPandas(kernel, "pair_id long, y long, x long, residual long")

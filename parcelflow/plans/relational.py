@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelflow.functions.overlays import placeholder
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 
@@ -75,8 +76,9 @@ WHERE contains(lower(parcel_id), 'mach') OR contains(lower(owner_name), 'mach')
 GROUP BY ALL ORDER BY parcel_id""")
 def parcel_search(spark: SparkSession, d: str) -> DataFrame:
     """Search with nested buildings; an empty list stays."""
-    own = T.buildings(spark, d).groupBy("parcel_key").agg(F.collect_list(F.struct("building_key", "floors", "footprint_m2")).alias("buildings"))
-    found = search(T.parcels(spark, d), " MACH ").join(own, "parcel_key", "left")
+    found = search(T.parcels(spark, d), " MACH ")
+    own = T.buildings(spark, d).join(found.select("parcel_key"), "parcel_key", "left_semi").groupBy("parcel_key").agg(F.collect_list(F.struct("building_key", "floors", "footprint_m2")).alias("buildings"))
+    found = found.join(own, "parcel_key", "left")
     floors = F.aggregate("buildings", F.lit(0).cast("long"), lambda a, b: a + b["floors"])
     return found.select(
         "parcel_id", "owner_name", "street_name", F.concat_ws(", ", "house_number", "street_name", "hamlet").alias("address"),
@@ -130,39 +132,76 @@ def csv_cell(c) -> F.Column:
 
 
 @query("alerts_export", WITH + """
-SELECT a.alert_key, '"' || concat_ws('","', a.alert_key, a.type, a.status, a.confidence_pct, replace(p.parcel_id, '"', '""'), replace(p.owner_name, '"', '""'), replace(d.department_name, '"', '""'),
+SELECT a.alert_key, '"' || concat_ws('","', a.alert_key, a.type, a.status, a.confidence_pct, replace(p.parcel_id, '"', '""'), replace(p.owner_name, '"', '""'), replace(d.department_name, '"', '""'), p.house_number || ' ' || p.street_name || ', ' || p.hamlet,
   strftime(a.detected_at, '%Y-%m-%dT%H:%M:%S.000Z')) || '"' AS line
 FROM alerts a JOIN parcels p USING (parcel_key) JOIN departments d ON d.department_id = a.department_id ORDER BY a.detected_at DESC, a.alert_key""")
 def alerts_export(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.alerts(spark, d).join(T.parcels(spark, d).select("parcel_key", "parcel_id", "owner_name"), "parcel_key").join(T.departments(spark, d), "department_id")
+    rows = T.alerts(spark, d).join(T.parcels(spark, d).select("parcel_key", "parcel_id", "owner_name", "house_number", "street_name", "hamlet"), "parcel_key").join(T.departments(spark, d), "department_id")
+    rows = rows.withColumn("location", F.concat("house_number", F.lit(" "), "street_name", F.lit(", "), "hamlet"))
     at = F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    cells = [csv_cell(F.col(c)) for c in ("alert_key", "type", "status", "confidence_pct", "parcel_id", "owner_name", "department_name")]
+    cells = [csv_cell(F.col(c)) for c in ("alert_key", "type", "status", "confidence_pct", "parcel_id", "owner_name", "department_name", "location")]
     return rows.orderBy(F.desc("detected_at"), "alert_key").select("alert_key", F.concat_ws(",", *cells, csv_cell(at)).alias("line"))
 
 
-# Department by type, and titles by type.
+# Department by type; labels and titles by type, labels by status.
 ROUTES = {"LAND_USE_CHANGE": 1, "WATER_CANAL_ENCROACHMENT": 2, "ROAD_CHANGE": 3}
-LABELS = {"NEW_BUILDING": "New building", "EXPANDED_BUILDING": "Expanded building", "LAND_USE_CHANGE": "Land use change", "ROAD_CHANGE": "Road change"}
+LABELS = {
+    "NEW_BUILDING": "Công trình mới", "EXPANDED_BUILDING": "Mở rộng công trình", "POSSIBLE_ILLEGAL_CONSTRUCTION": "Nghi xây dựng không phép",
+    "LAND_USE_CHANGE": "Thay đổi mục đích đất", "ROAD_CHANGE": "Thay đổi đường giao thông", "WATER_CANAL_ENCROACHMENT": "Lấn chiếm kênh rạch",
+}
+TITLES = {
+    "NEW_BUILDING": "Phát hiện công trình mới", "EXPANDED_BUILDING": "Dấu hiệu mở rộng công trình", "POSSIBLE_ILLEGAL_CONSTRUCTION": "Nghi vấn xây dựng không phép",
+    "LAND_USE_CHANGE": "Biến động mục đích sử dụng đất", "ROAD_CHANGE": "Thay đổi hạ tầng giao thông", "WATER_CANAL_ENCROACHMENT": "Nghi vấn lấn chiếm kênh rạch",
+}
+STATUS_LABELS = {"NEW": "Mới", "UNDER_REVIEW": "Đang rà soát", "FIELD_INSPECTION": "Kiểm tra thực địa", "RESOLVED": "Đã xử lý"}
 
 
-@query("department_routing", WITH + """
-SELECT type, CASE type WHEN 'LAND_USE_CHANGE' THEN 1 WHEN 'WATER_CANAL_ENCROACHMENT' THEN 2 WHEN 'ROAD_CHANGE' THEN 3 ELSE 0 END AS department_index,
-  coalesce(CASE type WHEN 'NEW_BUILDING' THEN 'New building' WHEN 'EXPANDED_BUILDING' THEN 'Expanded building' WHEN 'LAND_USE_CHANGE' THEN 'Land use change' WHEN 'ROAD_CHANGE' THEN 'Road change' END, type) AS label,
-  count(*) AS alerts FROM alerts GROUP BY 1, 2, 3""")
+def looked_up(values: dict, key: str) -> F.Column:
+    """From a small fixed map; null for what it doesn't hold."""
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col(key)]
+
+
+def _case(values: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+@query("department_routing", WITH + f"""
+SELECT type, CASE type WHEN 'LAND_USE_CHANGE' THEN 1 WHEN 'WATER_CANAL_ENCROACHMENT' THEN 2 WHEN 'ROAD_CHANGE' THEN 3 ELSE 0 END AS department_index, coalesce({_case(LABELS, 'type')}, type) AS label, {_case(TITLES, 'type')} AS title,
+  coalesce({_case(STATUS_LABELS, 'status')}, status) AS status_label, count(*) AS alerts FROM alerts GROUP BY ALL""")
 def department_routing(spark: SparkSession, d: str) -> DataFrame:
     """Look-ups in small fixed maps; a missing label falls back to the code."""
-    route = F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])
-    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    rows = T.alerts(spark, d).select("type", F.coalesce(route[F.col("type")], F.lit(0)).alias("department_index"), F.coalesce(label[F.col("type")], F.col("type")).alias("label"))
-    return rows.groupBy("type", "department_index", "label").agg(F.count(F.lit(1)).alias("alerts"))
+    rows = T.alerts(spark, d).select(
+        "type", F.coalesce(looked_up(ROUTES, "type"), F.lit(0)).alias("department_index"), F.coalesce(looked_up(LABELS, "type"), F.col("type")).alias("label"), looked_up(TITLES, "type").alias("title"),
+        F.coalesce(looked_up(STATUS_LABELS, "status"), F.col("status")).alias("status_label"),
+    )
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("alerts"))
+
+
+@query("printable_report", WITH + f"SELECT type, coalesce({_case(LABELS, 'type')}, type) AS label, count(*) AS alerts FROM alerts GROUP BY 1, 2")
+def printable_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by type under the labels that readers see."""
+    counts = T.alerts(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("alerts"))
+    return counts.select("type", F.coalesce(looked_up(LABELS, "type"), F.col("type")).alias("label"), "alerts")
+
+
+_FORM = """, form AS (SELECT parcel_id, house_number, street_name, hamlet, CASE WHEN parcel_key % 23 = 0 THEN ' ' ELSE (120 + parcel_key)::VARCHAR END AS land_lot_number, 'TBD-' || (1 + parcel_key % 4) AS map_sheet_number, owner_name, area_m2::VARCHAR AS area_m2,
+  CASE WHEN parcel_key % 17 = 0 THEN NULL ELSE 'garden' END AS land_use_type, gps_lat_e4::VARCHAR AS gps_lat, CASE WHEN parcel_key % 19 = 0 THEN 'east' ELSE (parcel_key % 90)::VARCHAR END AS gps_lng FROM parcels)"""
+REQUIRED = ("parcel_id", "house_number", "street_name", "hamlet", "land_lot_number", "map_sheet_number", "owner_name", "land_use_type")
 
 
-@query("parcel_validation", WITH + """
-SELECT parcel_id, area_m2 > 0 AS area_ok, length(trim(owner_name)) > 0 AS owner_ok, try_cast(house_number AS INTEGER) IS NOT NULL AS house_ok, area_m2 > 0 AND length(trim(owner_name)) > 0 AS accepted FROM parcels""")
+@query("parcel_validation", WITH + _FORM + """
+SELECT parcel_id, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN coalesce(length({c}), 0) = 0 THEN '{c}' END" for c in REQUIRED) + """,
+  CASE WHEN NOT coalesce(try_cast(area_m2 AS DOUBLE) > 0, false) THEN 'area_m2' END, CASE WHEN try_cast(gps_lat AS DOUBLE) IS NULL THEN 'gps_lat' END, CASE WHEN try_cast(gps_lng AS DOUBLE) IS NULL THEN 'gps_lng' END], lambda x: x IS NOT NULL), ',') AS errors FROM form""")
 def parcel_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Rule columns instead of exceptions: rejected rows stay for a quarantine."""
-    area, owner = F.col("area_m2") > 0, F.length(F.trim("owner_name")) > 0
-    return T.parcels(spark, d).select("parcel_id", area.alias("area_ok"), owner.alias("owner_ok"), F.col("house_number").try_cast("int").isNotNull().alias("house_ok"), (area & owner).alias("accepted"))
+    """The rules of a new parcel as a list of the fields that break them, instead of exceptions: rejected rows stay for a quarantine."""
+    k = F.col("parcel_key")
+    form = T.parcels(spark, d).select(
+        "parcel_id", "house_number", "street_name", "hamlet", F.when(k % 23 == 0, " ").otherwise((120 + k).cast("string")).alias("land_lot_number"), F.concat(F.lit("TBD-"), 1 + k % 4).alias("map_sheet_number"), "owner_name",
+        F.col("area_m2").cast("string").alias("area_m2"), F.when(k % 17 != 0, "garden").alias("land_use_type"), F.col("gps_lat_e4").cast("string").alias("gps_lat"), F.when(k % 19 == 0, "east").otherwise((k % 90).cast("string")).alias("gps_lng"),
+    )
+    number = lambda c: F.col(c).try_cast("double")
+    broken = {c: F.coalesce(F.length(c), F.lit(0)) == 0 for c in REQUIRED} | {"area_m2": ~F.coalesce(number("area_m2") > 0, F.lit(False)), "gps_lat": number("gps_lat").isNull(), "gps_lng": number("gps_lng").isNull()}
+    return form.select("parcel_id", F.array_join(F.array_compact(F.array(*(F.when(v, F.lit(c)) for c, v in broken.items()))), ",").alias("errors"))
 
 
 @query("parcel_patch", WITH + """,
@@ -176,14 +215,14 @@ def parcel_patch(spark: SparkSession, d: str) -> DataFrame:
 
 
 _IMAGES = """, images AS (
-  SELECT l_orderkey AS alert_key, CASE r WHEN 1 THEN 'before' ELSE 'after' END AS kind, l_shipdate AS captured_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r <= 2)"""
+  SELECT l_orderkey AS alert_key, CASE r % 2 WHEN 1 THEN 'before' ELSE 'after' END AS kind, l_shipdate AS captured_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem))"""
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")
-    rows = T.read(spark, d, "lineitem").withColumn("r", F.row_number().over(order)).where("r <= 2")
-    return rows.select(F.col("l_orderkey").alias("alert_key"), F.when(F.col("r") == 1, "before").otherwise("after").alias("kind"), F.col("l_shipdate").alias("captured_at"))
+    rows = T.read(spark, d, "lineitem").withColumn("r", F.row_number().over(order))
+    return rows.select(F.col("l_orderkey").alias("alert_key"), F.when(F.col("r") % 2 == 1, "before").otherwise("after").alias("kind"), F.col("l_shipdate").alias("captured_at"))
 
 
 @query("image_pick", WITH + _IMAGES + """
@@ -241,3 +280,69 @@ def demo_parcels(spark: SparkSession, d: str) -> DataFrame:
 def group_count_map(spark: SparkSession, d: str) -> DataFrame:
     rows = T.alerts(spark, d).groupBy("status", "type").agg(F.count(F.lit(1)).alias("n"))
     return rows.groupBy("status").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n"))))).alias("counts"))
+
+
+@query("alert_includes", WITH + _IMAGES + """,
+n AS (SELECT alert_key, string_agg(author, ';' ORDER BY created_at DESC, author) AS notes FROM notes GROUP BY 1), i AS (SELECT alert_key, string_agg(kind, ';' ORDER BY captured_at, kind) AS images FROM images GROUP BY 1)
+SELECT alert_key, type, coalesce(notes, '') AS notes, coalesce(images, '') AS images FROM alerts LEFT JOIN n USING (alert_key) LEFT JOIN i USING (alert_key)""")
+def alert_includes(spark: SparkSession, d: str) -> DataFrame:
+    """An alert with all its notes, newest first, and all its images, oldest first; each list is made before the join."""
+    notes = T.notes(spark, d).groupBy("alert_key").agg(F.collect_list(F.struct("created_at", "author")).alias("n"))
+    later = lambda a, b: F.when(a["created_at"] > b["created_at"], -1).when(a["created_at"] < b["created_at"], 1).when(a["author"] < b["author"], -1).when(a["author"] > b["author"], 1).otherwise(0)
+    shots = images(spark, d).groupBy("alert_key").agg(F.sort_array(F.collect_list(F.struct("captured_at", "kind"))).alias("i"))
+    rows = T.alerts(spark, d).select("alert_key", "type").join(notes, "alert_key", "left").join(shots, "alert_key", "left")
+    text = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: x[f]), ";"), F.lit(""))
+    return rows.select("alert_key", "type", text(F.array_sort("n", later), "author").alias("notes"), text(F.col("i"), "kind").alias("images"))
+
+
+@query("analysis_writeback", WITH + """,
+r AS (SELECT alert_key, alert_key % 3 AS regions, (60 + alert_key % 40) AS confidence FROM alerts WHERE alert_key % 7 = 0),
+n AS (SELECT alert_key, count(*) AS notes FROM (SELECT alert_key FROM notes UNION ALL SELECT alert_key FROM r) GROUP BY 1)
+SELECT a.alert_key, CASE WHEN r.alert_key IS NULL THEN a.status ELSE 'UNDER_REVIEW' END AS status, coalesce(r.confidence, a.confidence_pct) AS confidence_pct, coalesce(n.notes, 0) AS notes,
+  CASE WHEN r.regions > 0 THEN 'Analysis done. Regions: ' || r.regions || '. Severity: low.' WHEN r.regions = 0 THEN 'Analysis done. Severity: low.' END AS note FROM alerts a LEFT JOIN r USING (alert_key) LEFT JOIN n USING (alert_key)""")
+def analysis_writeback(spark: SparkSession, d: str) -> DataFrame:
+    """An analysis puts its alert under review with a new confidence and appends a note, which names regions if there are any."""
+    k = F.col("alert_key")
+    base = T.alerts(spark, d)
+    result = base.where(k % 7 == 0).select("alert_key", (k % 3).alias("regions"), (60 + k % 40).alias("confidence"))
+    text = F.when(F.col("regions") > 0, F.concat(F.lit("Analysis done. Regions: "), "regions", F.lit(". Severity: low."))).otherwise("Analysis done. Severity: low.")
+    fresh = result.select("alert_key", text.alias("note"))
+    notes = T.notes(spark, d).select("alert_key").unionByName(fresh.select("alert_key")).groupBy("alert_key").agg(F.count(F.lit(1)).alias("notes"))
+    rows = base.join(result, "alert_key", "left").join(fresh, "alert_key", "left").join(notes, "alert_key", "left")
+    return rows.select("alert_key", F.when(F.col("regions").isNotNull(), "UNDER_REVIEW").otherwise(F.col("status")).alias("status"), F.coalesce("confidence", "confidence_pct").alias("confidence_pct"), F.coalesce("notes", F.lit(0)).alias("notes"), "note")
+
+
+@query("demo_alerts", """
+SELECT i AS n, ['NEW_BUILDING', 'EXPANDED_BUILDING', 'POSSIBLE_ILLEGAL_CONSTRUCTION', 'LAND_USE_CHANGE', 'ROAD_CHANGE', 'WATER_CANAL_ENCROACHMENT'][i % 6 + 1] AS type, ['NEW', 'UNDER_REVIEW', 'FIELD_INSPECTION', 'RESOLVED'][i % 4 + 1] AS status, 72 + (i % 5) * 5 AS confidence_pct,
+  printf('BL-%03d', 2 * i + 1) AS parcel_id, make_date(2026, (i % 6 + 1)::INT, (5 + i)::INT)::VARCHAR AS detected_on FROM (SELECT unnest(range(10)) AS i)""")
+def demo_alerts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("n")
+    return spark.range(10).select(F.col("id").alias("n")).select(
+        "n", T.pick(T.ALERT_TYPES, i % 6).alias("type"), T.pick(T.ALERT_STATUSES, i % 4).alias("status"), (72 + (i % 5) * 5).alias("confidence_pct"), F.format_string("BL-%03d", 2 * i + 1).alias("parcel_id"),
+        F.make_date(F.lit(2026), (i % 6 + 1).cast("int"), (5 + i).cast("int")).cast("string").alias("detected_on"),
+    )
+
+
+@query("demo_buildings", "SELECT i AS n, printf('BL-%03d', i + 1) AS parcel_id, 1 + i % 4 AS floors, 55 + 4 * i AS footprint_m2 FROM (SELECT unnest(range(20)) AS i)")
+def demo_buildings(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("n")
+    return spark.range(20).select(F.col("id").alias("n")).select("n", F.format_string("BL-%03d", i + 1).alias("parcel_id"), (1 + i % 4).alias("floors"), (55 + 4 * i).alias("footprint_m2"))
+
+
+@query("demo_images", """
+SELECT i AS alert, kind, make_date(2026, (i % 6 + 1)::INT, CASE kind WHEN 'before' THEN 1 ELSE 12 END)::VARCHAR AS captured_on, true AS drawn FROM (SELECT unnest(range(10)) AS i), (SELECT unnest(['before', 'after']) AS kind)""")
+def demo_images(spark: SparkSession, d: str) -> DataFrame:
+    """Two placeholder drawings for each demo alert."""
+    rows = demo_alerts(spark, d).select(F.col("n").alias("alert"), "type", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("kind"))
+    image = placeholder(F.concat_ws(" ", "type", "kind"), F.col("kind") == "after")
+    day = F.when(F.col("kind") == "before", 1).otherwise(12)
+    return rows.select("alert", "kind", F.make_date(F.lit(2026), (F.col("alert") % 6 + 1).cast("int"), day).cast("string").alias("captured_on"), image.startswith("data:image/svg+xml").alias("drawn"))
+
+
+@query("demo_people", """
+SELECT 'department' AS kind, i AS n, NULL::BIGINT AS department FROM (SELECT unnest(range(4)) AS i) UNION ALL SELECT 'inspector', i, i % 4 FROM (SELECT unnest(range(5)) AS i) UNION ALL SELECT 'user', 0, NULL UNION ALL SELECT 'note', i, NULL FROM (SELECT unnest(range(10)) AS i)""")
+def demo_people(spark: SparkSession, d: str) -> DataFrame:
+    """Departments, inspectors (dealt over the departments), the user, and a note for each alert."""
+    some = lambda kind, n, department: spark.range(n).select(F.lit(kind).alias("kind"), F.col("id").alias("n"), department.cast("long").alias("department"))
+    none = F.lit(None)
+    return some("department", 4, none).unionByName(some("inspector", 5, F.col("id") % 4)).unionByName(some("user", 1, none)).unionByName(some("note", 10, none))

@@ -58,16 +58,17 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of a pair in native pixels (frame 1000 x 1000), several a pair."""
+    """Boxes of a pair in native pixels (frame 1000 x 1000), several a pair; of equal ids the least row."""
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     small = (p % 7 == 0) & (s % 2 == 0)
-    return read(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(
+    return read(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("pair_id"), (p * 1000000 + s * 100 + n).alias("proposal_id"),
         ((p * 37) % 500).alias("left"), ((s * 53 + p) % 500).alias("top"),
         F.when(small, 12 + p % 9).otherwise(60 + p % 180).alias("width"), F.when(small, 9 + s % 7).otherwise(50 + s % 160).alias("height"),
         F.round(F.col("l_discount") * 1000 + p % 97).cast("long").alias("confidence_e3"), pick(("building", "road", "removed shed", "vegetation"), p % 4).alias("change_type"),
         pick(("deterministic", "frontier_global", "frontier_tile", "deterministic_and_frontier"), (p + s) % 4).alias("source"), small.alias("small_object"), F.col("l_returnflag").alias("flag"),
-    ).dropDuplicates(["pair_id", "proposal_id"])
+        F.when(s % 31 == 0, "old shed").otherwise("open field").alias("before_text"), F.when(p % 37 == 0, "shed demolished").otherwise("field with house").alias("after_text"), ((p + s) % 50).cast("double").alias("removal"),
+    ).withColumn("removal", F.col("removal") / 100).groupBy("pair_id", "proposal_id").agg(F.min(F.struct("left", "top", "width", "height", "confidence_e3", "change_type", "source", "small_object", "flag", "before_text", "after_text", "removal")).alias("p")).select("pair_id", "proposal_id", "p.*")
 
 
 def _list(values: tuple[str, ...]) -> str:
@@ -86,13 +87,14 @@ alerts AS (
          72 + (o_orderkey % 5) * 5 AS confidence_pct, o_custkey AS parcel_key, o_orderkey % 25 AS department_id, o_orderdate AS detected_at FROM orders),
 notes AS (SELECT l_orderkey AS alert_key, 'Inspector ' || l_suppkey AS author, l_shipdate AS created_at FROM lineitem),
 proposals AS (
-  SELECT DISTINCT ON (pair_id, proposal_id) * FROM (
+  SELECT DISTINCT ON (pair_id, proposal_id) * FROM (SELECT * FROM (
     SELECT l_orderkey AS pair_id, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS proposal_id,
       (l_partkey * 37) % 500 AS "left", (l_suppkey * 53 + l_partkey) % 500 AS top,
       CASE WHEN l_partkey % 7 = 0 AND l_suppkey % 2 = 0 THEN 12 + l_partkey % 9 ELSE 60 + l_partkey % 180 END AS width,
       CASE WHEN l_partkey % 7 = 0 AND l_suppkey % 2 = 0 THEN 9 + l_suppkey % 7 ELSE 50 + l_suppkey % 160 END AS height,
       round(l_discount * 1000 + l_partkey % 97)::BIGINT AS confidence_e3, ['building', 'road', 'removed shed', 'vegetation'][l_partkey % 4 + 1] AS change_type,
       ['deterministic', 'frontier_global', 'frontier_tile', 'deterministic_and_frontier'][(l_partkey + l_suppkey) % 4 + 1] AS source,
-      l_partkey % 7 = 0 AND l_suppkey % 2 = 0 AS small_object, l_returnflag AS flag
-    FROM lineitem WHERE l_orderkey % 4 = 0))
+      l_partkey % 7 = 0 AND l_suppkey % 2 = 0 AS small_object, l_returnflag AS flag,
+      CASE WHEN l_suppkey % 31 = 0 THEN 'old shed' ELSE 'open field' END AS before_text, CASE WHEN l_partkey % 37 = 0 THEN 'shed demolished' ELSE 'field with house' END AS after_text, ((l_partkey + l_suppkey) % 50)::DOUBLE / 100 AS removal
+    FROM lineitem) ORDER BY "left", top, width, height, confidence_e3, change_type, source, small_object, flag, before_text, after_text, removal))
 """

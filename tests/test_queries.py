@@ -16,7 +16,7 @@ def test_rows_equal_those_of_the_sql(spark, name):
 
 
 def _boxes(rows):
-    return pd.DataFrame(rows, columns=["proposal_id", "left", "top", "width", "height", "confidence_e3", "words"]).assign(pair_id=1)
+    return pd.DataFrame(rows, columns=["proposal_id", "left", "top", "width", "height", "confidence_e3", "words"]).assign(pair_id=1, change_type="building")
 
 
 def test_overlapping_boxes_merge_and_adjacent_stay():
