@@ -223,6 +223,21 @@ def align(pairs: DataFrame) -> DataFrame:
     return pairs.select(*columns).mapInPandas(run, _OUT)
 
 
+def promoted(pairs: DataFrame) -> DataFrame:
+    """align() of native images by the homography between shrunk ones (old_scale, current_scale: shrunk / native, alike in x and y)."""
+    h = F.col("homography")
+    a, b = F.col("current_scale"), F.col("old_scale")
+    # a native point shrinks by a, moves by the homography, and grows by 1 / b
+    native = F.array(h[0] * a / b, h[1] * a / b, h[2] / b, h[3] * a / b, h[4] * a / b, h[5] / b, h[6] * a, h[7] * a, h[8])
+    return align(pairs.withColumn("homography", F.when(F.size("homography") == 9, native)))
+
+
+def swapped(pairs: DataFrame) -> DataFrame:
+    """Pairs with their sides exchanged: to register the old image to the current one instead."""
+    names = {f"{a}_{c}": f"{b}_{c}" for a, b in (("old", "current"), ("current", "old")) for c in ("rgb", "width", "height")}
+    return pairs.select(*(F.col(names.get(c, c)).alias(c) for c in pairs.columns))
+
+
 def feature_confidence(inliers: Column, ratio: Column, coverage: Column) -> Column:
     part = lambda v, full: F.least(F.lit(1.0), v / full)
     return part(inliers, 55) * 0.42 + part(ratio, 0.55) * 0.33 + part(coverage, 0.35) * 0.25

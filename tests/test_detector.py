@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import overlays, png
-from parcelflow.operators import crops, detector, evidence as E, registration
+from parcelflow.operators import crops, detector, evidence as E, refine, registration
 from parcelflow.operators.settings import Settings, from_options, minimum_area, scale_parameters
-from parcelflow.sources import annotations, sinks
+from parcelflow.sources import annotations, models, sinks
 
 
 def half(v):
@@ -240,6 +240,54 @@ def test_keypoints_placeholders_and_annotations(spark, tmp_path):
     assert annotations.rasterized(spark.range(1).select("id", ring.alias("ring")), ["id"], 9, 9).count() == 2
 
 
+def test_refinement_takes_the_evidence_near_a_box(spark):
+    h, w = 90, 120
+    rng = np.random.default_rng(9)
+    p = {k: rng.integers(0, 40, (h, w)).astype(np.uint8) for k in ("score", "structure", "color", "edge")}
+    low = np.zeros((h, w), np.uint8)
+    low[30:42, 40:60] = low[50:52, 5:8] = low[33:36, 62:64] = 255
+    for k in p:
+        p[k][30:42, 40:60] = 120
+    p["low"] = low
+    pairs = spark.createDataFrame([(1, w, h, 50.0, *(p[k].tobytes() for k in ("low", "score", "structure", "color", "edge")))], "pair_id long, frame_width int, frame_height int, low_threshold double, low binary, score binary, structure binary, color binary, edge binary")
+    boxed = spark.createDataFrame([(1, 1, 45, 28, 30, 12), (1, 2, 4, 48, 10, 10), (1, 3, 90, 5, 20, 20), (2, 4, 0, 0, 5, 5)], "pair_id long, proposal_id long, left int, top int, width int, height int")
+    got = {r.proposal_id: r for r in refine.refine(boxed, pairs).collect()}
+    assert set(got) == {1, 2, 3}
+    r = got[1]
+    assert (r.geometry, r.left, r.top, r.width, r.height, r.pixels) == ("pixel_mask", 40, 30, 24, 12, 246) and sum(r.support) == 246
+    y, x = np.nonzero(low[:, :70])
+    keep = y < 45
+    assert r.mean_score == pytest.approx((p["score"][y[keep], x[keep]] / 255).mean()) and r.color_support == pytest.approx((p["color"][y[keep], x[keep]] / 64).mean())
+    assert (got[2].geometry, got[2].left, got[2].support, got[2].pixels) == ("frontier_bbox", 4, None, 6) and got[3].pixels == 0 and got[3].mean_score == 0
+
+
+def test_model_calls_become_rows(spark):
+    def call(request):
+        if request["id"] == 2:
+            raise TimeoutError("slow")
+        if request["id"] == 3:
+            raise ValueError("x" * 500)
+        return {"decision": "uncertain", "of": request["name"]}
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    got = {r.id: r for r in models.answers(rows, call).collect()}
+    assert (got["1"].status, json.loads(got["1"].response)["of"], got["1"].attempts) == ("completed", "a", 1)
+    assert (got["2"].status, got["2"].attempts, got["2"].error) == ("timed_out", 3, "slow") and (got["3"].status, got["3"].attempts, len(got["3"].error)) == ("failed", 1, 300)
+
+
+def test_native_promotion_and_swapped_sides(spark):
+    rng = np.random.default_rng(6)
+    a = np.kron(rng.integers(0, 256, (12, 16, 3), dtype=np.uint8), np.ones((8, 8, 1), np.uint8))
+    h, w = a.shape[:2]
+    small = [1.0, 0.0, 4.0, 0.0, 1.0, 2.0, 0.0, 0.0, 1.0]  # between images of half the size
+    kind = "pair_id long, old_rgb binary, old_width int, old_height int, current_rgb binary, current_width int, current_height int, homography array<double>, old_scale double, current_scale double"
+    pairs = spark.createDataFrame([(1, a.tobytes(), w, h, a.tobytes(), w, h, small, 0.5, 0.5)], kind)
+    out = np.frombuffer(registration.promoted(pairs).first().warped, np.uint8).reshape(h, w, 3)
+    assert (out[4:, 8:] == a[:-4, :-8]).all()
+    other = registration.swapped(pairs.withColumn("current_width", F.lit(7)))
+    assert other.first().old_width == 7 and other.first().current_width == w and other.columns == pairs.columns
+
+
 def test_crops(spark):
     a = np.arange(6 * 8 * 3, dtype=np.uint8).reshape(6, 8, 3)
     rows = spark.createDataFrame([(1, "x", 8, 6, 2, 1, 3, 2, a.tobytes()), (1, "y", 8, 6, 9, 1, 3, 2, a.tobytes())], "pair_id long, id string, frame_width int, frame_height int, left int, top int, width int, height int, data binary")
