@@ -5,8 +5,8 @@
    occurs twice or more in the corpus can repeat.
 2. Runs of such windows with one minimiser are segments; they go to the shard of their
    minimiser's number, so all occurrences of a window meet in one shard. Equal segments are
-   sent once a batch and indexed once a shard: later copies are repeats as a whole. Segments
-   of minimisers with more than HOT occurrences go window by window, by the window's number.
+   sent once a batch and indexed once a shard: later copies are repeats as a whole, so they go
+   anywhere, without their words. Segments of minimisers with more than HOT occurrences go window by window, by the window's number.
 3. Each shard builds an FM-index over its segments and streams them through it backwards; a
    match of WINDOW words whose earliest place precedes its own is a repeat.
 4. The covered words are taken out of the documents.
@@ -28,7 +28,7 @@ from parcelflow.llm.fmindex import FMIndex
 from parcelflow.llm.words import _BASE, Words, mix, slices
 
 WINDOW, K = 20, 6
-SHARD_WORDS, HOT = 1_500_000, 40_000
+SHARD_WORDS, HOT = 400_000, 10_000
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENTS = "shard int, g1 long, g2 long, doc_id long, tid long, start long, n int, body binary"
 _RANGES = "doc_id long, tid long, start long, end long"
@@ -137,7 +137,7 @@ def _emit_segments(shards: int, window: int, k: int) -> Callable:
                 body = [None if x else raw[s:e] for x, s, e in zip(later.tolist(), w.start[a].tolist(), w.end[b - 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((mix(by) % np.uint64(shards)).astype(np.int32)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array(ids), pa.array(tids),
+                        pa.array((np.where(later, mix(ids.astype(np.uint64) ^ mix(a.astype(np.uint64))), mix(by)) % np.uint64(shards)).astype(np.int32)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array(ids), pa.array(tids),
                         pa.array(at), pa.array(n.astype(np.int32)), pa.array(body, pa.binary()),
                     ],
                     ["shard", "g1", "g2", "doc_id", "tid", "start", "n", "body"],
@@ -247,8 +247,8 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = K
     (smaller doc_id, or the same and an earlier start). Words are taken as they are; kept words
     are joined by one space. Words are told apart by 64-bit numbers. Defined cases: a null text
     has no words; rows of one doc_id don't repeat each other at equal starts; a null doc_id comes
-    before all others; texts shorter than a window stay whole; an empty table gives
-    no rows; other columns are ignored.
+    before all others; texts shorter than a window stay whole; a very long text is cut into segments as
+    any other; an empty table gives no rows; other columns, also of clashing names, are ignored.
     """
     scratch = store.Scratch(spark, "substrings")
     text = docs.select(store.known_id().alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
