@@ -3,6 +3,11 @@
 Each stage works on all rows its predecessor has written and returns the columns of
 documents (the last: what the token files hold). SQL can't express the stages (bounds,
 alignments, a tokenizer), so ORACLE_SQL is None and tests hold them against brute force.
+
+Defined cases, of all stages: a null text counts as an empty one; nulls in other columns stay;
+repeated rows and rows of one id are told apart; a very long text is one row as any other; an
+empty table gives an empty one; more columns, of any type and also of names that a stage uses
+itself, are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    """Documents that the base rules and the risk-controlled cutoffs keep; without a text they fail the base rules."""
     return quality.keep(spark, docs, store.table(spark, sf_dir, "labels"))
 
 
@@ -36,17 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a test item."""
+    """Documents without a passage of a test item; without test items all stay."""
     return decontamination.clean(spark, docs, store.table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without a word are not taken, rows of one id (or of none) are taken alike."""
     return mixing.apply(spark, docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token-id files, read back: doc_id, start, n_tokens, ids_crc32; in the order of doc_id (null first), then of their ids' bytes."""
     scratch = store.Scratch(spark, "pipeline-corpus")
     token_files.write(spark, docs, scratch.root, encoding.default_path())
     return token_files.read(spark, scratch.root, with_ids=False)

@@ -4,17 +4,19 @@ A document is its set of distinct word n-grams. Equal sets are one node. A node
 its prefix: of its n-gram numbers in ascending order the first size - need + 1, where need is
 the least overlap with any partner; two linked nodes share one of these. Rare n-grams have
 small numbers: all n-grams of the corpus are counted in COUNTERS hashed counters first, whose
-logarithms lead the numbers (any order that holds for all documents is right). Of the nodes that
-share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
+logarithms lead the numbers (any order that holds for all documents is right). A pair counts in
+the group of the first key it shares, so what precedes a key in either set is not in the other,
+and the places of keys bound the overlap as well. Of the nodes that share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
 overlap of a node with a subtree, or another node, is at most the sum of the coordinates'
-minima. Pairs that this bound leaves are held against finer counts (two sets differ in at
-least as many n-grams as their counts do; of shorter sets the counts' lowest bits suffice), and
-what is left is verified on the sets themselves.
+minima. Pairs that this bound leaves are held against lowest bits of finer counts (two sets
+differ in at least as many n-grams as those do) before they leave the task, then against finer
+counts still, and what is left is verified on the sets themselves.
 
 Groups aren't joined pair by pair: a node that no earlier pivot reaches becomes a pivot, and
 pivots are paired with all they reach. Only if nodes of a group lie in different components
-after that, their remaining pairs are taken in a second round, whose rows carry
-the finer counts, so that only pairs these leave are ever written.
+after that, a second round pairs these, with rows that carry the finer counts: first no more
+pairs than would join all components that the counts leave, then, with the components that come
+of those, all that remain.
 
 Pivots find components, not all links. Links are counted afterwards: the sets of a component
 are dealt into blocks, and the overlaps of all sets of two blocks are taken at once.
@@ -22,6 +24,7 @@ are dealt into blocks, and the overlaps of all sets of two blocks are taken at o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from parcelflow.llm.sums import SUMS, emit, summed
 from parcelflow.llm.words import Words, shingles, slices
 
 GROUPS = 32
-COUNTERS = 1 << 17
+COUNTERS = 1 << 18
 #: Groups of up to SMALL nodes are handled side by side, larger ones by an R-tree each.
 SMALL = 32
 #: Ids that are broadcast at most; more are joined by a shuffle.
@@ -46,9 +49,11 @@ _FULL = (1 << 16) - 1
 LEAF, FAN = 32, 16
 #: Finer counts are of FINE groups: a byte each for sets of LONG n-grams or more, else the lowest bit.
 LONG, FINE = 2048, 2048
+#: Rows of groups carry lowest bits of fewer counts: of LITTLE groups for sets below SHORT n-grams, else of FINE.
+SHORT, LITTLE = 600, 512
 #: Sets, and n-grams in them, that a block holds on average at most.
 BLOCK, BLOCK_GRAMS, COLUMNS = 256, 1 << 20, 4096
-_BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, fine binary"
+_BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, bits binary, fine binary"
 
 
 def _grams(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,22 +76,29 @@ def _count(n: int) -> Callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 total += np.bincount((_grams(part, n)[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        yield from emit([total], "<i8")
+        yield from emit([total], "<i4")  # of one task
 
     return run
 
 
 def ranks(text: DataFrame, n: int) -> np.ndarray:
-    """For each counter a byte that grows with the logarithm of how many n-grams of the corpus it counts."""
-    total = summed(text.select("text").mapInArrow(_count(n), SUMS), "<i8")
-    return np.zeros(COUNTERS, np.uint8) if total is None else np.minimum(np.rint(4 * np.log2(total + 1.0)), 255).astype(np.uint8)
+    """For each counter a byte that grows with what it counts beyond the mean of all.
+
+    Most n-grams are rare and fill all counters alike, so that these vary by the mean's square
+    root; one of some times that many occurrences stands out.
+    """
+    total = summed(text.select("text").mapInArrow(_count(n), SUMS), "<i4")
+    if total is None:
+        return np.zeros(COUNTERS, np.uint8)
+    beyond = np.maximum(0.0, total - total.mean()) / max(1.0, math.sqrt(total.mean()))
+    return np.minimum(np.rint(8 * np.log2(1 + beyond)), 255).astype(np.uint8)
 
 
 def _base(n: int, num: int, den: int, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                size, d1, d2, keys, points, fine = [], [], [], [], [], []
+                size, d1, d2, keys, points, bits, fine = [], [], [], [], [], [], []
                 for s in _sets(part, n, rank):
                     digest = xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
                     size.append(len(s))
@@ -95,12 +107,14 @@ def _base(n: int, num: int, den: int, rank: np.ndarray) -> Callable:
                     keys.append(s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s)
                     points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).clip(max=_FULL).astype("<u2").tobytes())
                     counts = np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                    small = np.bincount((s & np.uint64(LITTLE - 1)).astype(np.int64), minlength=LITTLE) if len(s) < SHORT else counts
+                    bits.append(np.packbits((small & 1).astype(np.uint8)).tobytes())
                     fine.append((counts.clip(max=255).astype(np.uint8) if len(s) >= LONG else np.packbits(counts & 1)).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary()), pa.array(fine, pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys", "point", "fine"],
+                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(points, pa.binary()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "keys", "point", "bits", "fine"],
                 )
 
     return run
@@ -167,14 +181,16 @@ class RTree:
 
 
 class Fine:
-    """Finer counts of many sets; rows of one kind (bytes or bits) can be compared."""
+    """Finer counts of many sets; rows of one kind (bytes, or bits of so many groups) can be compared."""
 
     def __init__(self, column: pa.Array | pa.ChunkedArray):
         rows = column.to_pylist()
-        self.long = np.fromiter((len(r) == FINE for r in rows), dtype=bool, count=len(rows))
-        self.at = np.where(self.long, np.cumsum(self.long), np.cumsum(~self.long)) - 1
-        self.counts = np.frombuffer(b"".join(r for r in rows if len(r) == FINE), dtype=np.uint8).reshape(-1, FINE)
-        self.bits = np.frombuffer(b"".join(r for r in rows if len(r) != FINE), dtype=np.uint64).reshape(-1, FINE // 64)
+        self.kind = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        self.at, self.rows = np.zeros(len(rows), dtype=np.int64), {}
+        for k in np.unique(self.kind).tolist():
+            own = self.kind == k
+            self.at[own] = np.arange(own.sum())
+            self.rows[k] = np.frombuffer(b"".join(r for r in rows if len(r) == k), dtype=np.uint8 if k == FINE else np.uint64).reshape(int(own.sum()), -1)
 
     def apart(self, i: np.ndarray, other: Fine, j: np.ndarray) -> np.ndarray:
         """For rows i and other's rows j: n-grams that are in one set only, at least (0 for rows of two kinds).
@@ -182,13 +198,11 @@ class Fine:
         A full byte stands for 255 or more, so its difference to another is a lower bound too.
         """
         out = np.zeros(len(i), dtype=np.int64)
-        x, y = self.long[i], other.long[j]
-        short, long = np.flatnonzero(~x & ~y), np.flatnonzero(x & y)
-        for at in np.array_split(short, len(short) // 16384 + 1):
-            out[at] = np.bitwise_count(self.bits[self.at[i[at]]] ^ other.bits[other.at[j[at]]]).sum(axis=1, dtype=np.int64)
-        for at in np.array_split(long, len(long) // 2048 + 1):
-            a, b = self.counts[self.at[i[at]]], other.counts[other.at[j[at]]]
-            out[at] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+        for k in self.rows.keys() & other.rows.keys():
+            same = np.flatnonzero((self.kind[i] == k) & (other.kind[j] == k))
+            for at in np.array_split(same, len(same) * k // (4 << 20) + 1):
+                a, b = self.rows[k][self.at[i[at]]], other.rows[k][other.at[j[at]]]
+                out[at] = (np.maximum(a, b) - np.minimum(a, b) if k == FINE else np.bitwise_count(a ^ b)).sum(axis=1, dtype=np.int64)
         return out
 
 
@@ -197,7 +211,11 @@ def _near(apart: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray
     return den * (both - apart) >= num * (both + apart)
 
 
-def _large(node: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarray | None, fine: Fine | None, at: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _reach(size_a: np.ndarray, size_b: np.ndarray, overlap: np.ndarray, num: int, den: int) -> np.ndarray:
+    return den * overlap >= num * (size_a + size_b - overlap)
+
+
+def _large(node: np.ndarray, size: np.ndarray, rest: np.ndarray, point: np.ndarray, part: np.ndarray | None, fine: Fine, at: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one group; at: the index of its first row in fine."""
     tree = RTree(point, size, num, den)
     a, b = [], []
@@ -206,21 +224,41 @@ def _large(node: np.ndarray, size: np.ndarray, point: np.ndarray, part: np.ndarr
         if part is None and reached[i]:
             continue
         got = tree.search(point[i], int(size[i]))
+        got = got[_reach(size[i], size[got], np.minimum(rest[i], rest[got]), num, den)]
         if part is not None:
             got = got[part[got] > part[i]]
-            got = got[_near(fine.apart(np.full(len(got), at + i), fine, at + got), size[i] + size[got], num, den)]
+        got = got[_near(fine.apart(np.full(len(got), at + i), fine, at + got), size[i] + size[got], num, den)]
         reached[got] = True
         a.append(np.full(len(got), node[i]))
         b.append(node[got])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _pairs(num: int, den: int, again: bool) -> Callable:
-    """Of rows sorted by (key, block): candidate pairs; again: only those of different components, and all of these."""
+def _forest(a: np.ndarray, b: np.ndarray, part_a: np.ndarray, part_b: np.ndarray) -> np.ndarray:
+    """Which of the pairs, taken in their order, join components that no earlier one has joined."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = np.zeros(len(a), dtype=bool)
+    for k, (x, y) in enumerate(zip(part_a.tolist(), part_b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out[k] = True
+    return out
+
+
+def _pairs(num: int, den: int, again: str = "") -> Callable:
+    """Of rows sorted by (key, block): candidate pairs; again: only those of different components, a forest of them or all."""
 
     def work(key: np.ndarray, t: pa.Table) -> pa.RecordBatch | None:
         node, size = np.asarray(t.column("node")), np.asarray(t.column("n_shingles"))
-        part, fine = (np.asarray(t.column("part")), Fine(t.column("fine"))) if again else (None, None)
+        rest = size - np.asarray(t.column("pos"))  # n-grams from the key on
+        part, fine = np.asarray(t.column("part")) if again else None, Fine(t.column("fine" if again else "bits"))
         point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int64)
         point[point == _FULL] = 1 << 40  # a full counter bounds nothing
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -228,8 +266,8 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            x = np.minimum(point[i], point[j]).sum(axis=1)
-            return den * x >= num * (size[i] + size[j] - x)
+            x = np.minimum(np.minimum(point[i], point[j]).sum(axis=1), np.minimum(rest[i], rest[j]))
+            return _reach(size[i], size[j], x, num, den)
 
         if part is None:
             reached = np.zeros(len(key), dtype=bool)
@@ -239,7 +277,8 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
                 n = end - first
                 member = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 pivot = np.repeat(at, n)
-                hit = (member != pivot) & near(pivot, member)
+                hit = np.flatnonzero((member != pivot) & near(pivot, member))
+                hit = hit[_near(fine.apart(pivot[hit], fine, member[hit]), size[pivot[hit]] + size[member[hit]], num, den)]
                 out_a.append(node[pivot[hit]])
                 out_b.append(node[member[hit]])
                 reached[member[hit]] = reached[at] = True
@@ -258,11 +297,15 @@ def _pairs(num: int, den: int, again: bool) -> Callable:
                 out_b.append(node[i + d])
         for k in np.flatnonzero(count > SMALL):
             s = slice(edge[k], edge[k + 1])
-            a, b = _large(node[s], size[s], point[s], None if part is None else part[s], fine, int(edge[k]), num, den)
+            a, b = _large(node[s], size[s], rest[s], point[s], None if part is None else part[s], fine, int(edge[k]), num, den)
             out_a.append(a)
             out_b.append(b)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        if again == "forest" and pair.shape[1]:
+            ids, first = np.unique(node, return_index=True)
+            of = lambda x: part[first[np.searchsorted(ids, x)]]
+            pair = pair[:, _forest(pair[0], pair[1], of(pair[0]), of(pair[1]))]
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"]) if pair.shape[1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,20 +423,26 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
     sets = scratch.put(sets, "sets")
     on_set = lambda x: (F.col("d1") == F.col(f"{x}1")) & (F.col("d2") == F.col(f"{x}2"))
     named = sets.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "node")
-    nodes = base.where("n_shingles > 0").join(named, on_set("e")).where("doc_id = node").select("node", "n_shingles", "d1", "d2", "keys", "point", "fine")
-    nodes = scratch.put(nodes.dropDuplicates(["node", "d1", "d2"]), "nodes")
-    keys = nodes.select(F.explode("keys").alias("key"), "node", "n_shingles")
+    own = base.where("n_shingles > 0").join(named, on_set("e")).where("doc_id = node").dropDuplicates(["node", "d1", "d2"])
+    nodes = scratch.put(own.select("node", "n_shingles", "keys", "point", "bits"), "nodes")
+    fine = scratch.put(own.select("node", "n_shingles", "fine"), "fine")
+    base = scratch.put(base.select("doc_id", "n_shingles", "d1", "d2"), "documents")
+    scratch.drop("base")
+    keys = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n_shingles")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    routed = keys.join(shared, F.col("key") == F.col("k"), "left_semi").select("key", F.col("node").alias("m"), F.col("n_shingles").alias("size"))
-    points = nodes.select("node", "n_shingles", "point")
-    routed = scratch.put(routed.join(points, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles"))).select(F.col("key").alias("group"), "node", "n_shingles", "point"), "routed")
+    routed = keys.join(shared, F.col("key") == F.col("k"), "left_semi").select("key", "pos", F.col("node").alias("m"), F.col("n_shingles").alias("size"))
+    points = nodes.select("node", "n_shingles", "point", "bits")
+    routed = scratch.put(routed.join(points, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles"))).select(F.col("key").alias("group"), "pos", "node", "n_shingles", "point", "bits"), "routed")
+    scratch.drop("nodes")
     first = scratch.put(_candidates(routed, num, den), "first")
-    fine = nodes.select("node", "n_shingles", "fine")
     links = _verified(scratch, text, _refined(first, fine, num, den), n, num, den, rank, "first")
     parts = connected(spark, links.select("a", "b"), scratch)
-    more = _second(scratch, routed, fine, parts, num, den, first)
-    if not more.isEmpty():
-        links = links.unionByName(_verified(scratch, text, more, n, num, den, rank, "second"))
+    for again in ("forest", "all"):
+        more = _second(scratch, routed, fine, parts, num, den, first, again)
+        if more.isEmpty():
+            break
+        first = first.unionByName(more)
+        links = links.unionByName(_verified(scratch, text, more, n, num, den, rank, again))
         parts = connected(spark, links.select("a", "b"), scratch)
     member = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(named.withColumnRenamed("node", "_node"), on_set("e"), "left")
     out = member.drop("e1", "e2").join(parts.withColumnRenamed("node", "_p"), F.col("_node") == F.col("_p"), "left")
@@ -406,21 +455,23 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
 
 
 def _candidates(routed: DataFrame, num: int, den: int) -> DataFrame:
-    rows = routed.select("group", "node", "n_shingles", "point").repartition("group").sortWithinPartitions("group", "node")
-    return rows.mapInArrow(_pairs(num, den, False), "a long, b long").distinct()
+    rows = routed.select("group", "pos", "node", "n_shingles", "point", "bits").repartition("group").sortWithinPartitions("group", "node")
+    return rows.mapInArrow(_pairs(num, den), "a long, b long").distinct()
 
 
-def _second(scratch: store.Scratch, routed: DataFrame, fine: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame) -> DataFrame:
-    """Pairs of different components in groups where pivots may have hidden some."""
+def _second(scratch: store.Scratch, routed: DataFrame, fine: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame, again: str) -> DataFrame:
+    """Pairs of different components in groups where pivots may have hidden some; a forest of them, or all that aren't tested yet."""
     large = routed.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select(F.col("group").alias("g"))
     rows = routed.join(large, F.col("group") == F.col("g"), "left_semi").join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left")
-    rows = scratch.put(rows.select("group", "node", "n_shingles", "point", F.coalesce("root", "node").alias("part")), "large")
+    rows = scratch.put(rows.select("group", "pos", "node", "n_shingles", "point", F.coalesce("root", "node").alias("part")), f"large-{again}")
     mixed = rows.groupBy("group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select(F.col("group").alias("g"))
     finer = fine.select(F.col("node").alias("m"), F.col("n_shingles").alias("size"), "fine")
     rows = rows.join(mixed, F.col("group") == F.col("g"), "left_semi").join(finer, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles")))
-    rows = rows.select("group", "node", "n_shingles", "point", "part", "fine").repartition("group").sortWithinPartitions("group", "node")
-    pairs = rows.mapInArrow(_pairs(num, den, True), "a long, b long").distinct()
-    return scratch.put(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+    rows = rows.select("group", "pos", "node", "n_shingles", "point", "part", "fine").repartition("group").sortWithinPartitions("group", "node")
+    pairs = rows.mapInArrow(_pairs(num, den, again), "a long, b long").distinct()
+    more = scratch.put(pairs.join(tested, ["a", "b"], "left_anti"), f"more-{again}")
+    scratch.drop(f"large-{again}")
+    return more
 
 
 def _fine(num: int, den: int) -> Callable:
@@ -450,7 +501,10 @@ def _verified(scratch: store.Scratch, text: DataFrame, pairs: DataFrame, n: int,
     sets = scratch.put(text.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_set_rows(n, rank), "node long, s array<long>"), f"sets-{name}")
     one = pairs.join(sets.select(F.col("node").alias("na"), F.col("s").alias("sa")), F.col("a") == F.col("na"))
     two = one.select("a", "b", "sa").join(sets.select(F.col("node").alias("nb"), F.col("s").alias("sb")), F.col("b") == F.col("nb"))
-    return scratch.put(two.where(_reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"), num, den)).select("a", "b").distinct(), f"links-{name}")
+    links = scratch.put(two.where(_reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"), num, den)).select("a", "b").distinct(), f"links-{name}")
+    for x in (f"sets-{name}", f"wanted-{name}", f"pairs-{name}"):
+        scratch.drop(x)
+    return links
 
 
 def _reaches(overlap: Column, both: Column, num: int, den: int) -> Column:

@@ -40,7 +40,7 @@ def _add_up(kind: str) -> Callable:
 
 def summed(rows: DataFrame, kind: str = "<f8") -> np.ndarray | None:
     """The sum of what all tasks emitted, as one flat array; None without tasks. rows: as emit() makes them."""
-    rows = rows.repartition(CHUNKS * SALTS, "chunk", "salt").mapInArrow(_add_up(kind), SUMS)
+    rows = rows.repartition(CHUNKS * 2, "chunk", "salt").mapInArrow(_add_up(kind), SUMS)
     rows = rows.withColumn("salt", F.lit(0)).repartition(CHUNKS, "chunk").mapInArrow(_add_up(kind), SUMS)
     total: dict[int, np.ndarray] = {}
     for r in rows.collect():

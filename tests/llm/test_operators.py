@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parcelflow.llm import chat, components, decontamination, encoding, huffman, jaccard, maxent, mixing, quality, store, substring_dedup, token_counts, token_files, urls
+from parcelflow.llm import chat, components, decontamination, encoding, huffman, jaccard, maxent, mixing, quality, store, substring_dedup, token_counts, token_files, urls, words
 from parcelflow.llm.fmindex import FMIndex, WaveletMatrix
 from parcelflow.llm.queries import oracle_sql, queries
 from tests.same import rows_of, rows_of_sql
@@ -141,10 +141,146 @@ def test_lm_beats_unigrams_on_held_out_documents_and_is_normalised(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.05 * sum(r.n_tokens for r in got)
     m = maxent.Model(np.zeros(maxent.KINDS), np.zeros((maxent.CLASSES, maxent.SLOTS)), np.arange(maxent.HEAD))
     m.kinds += np.random.default_rng(1).normal(size=m.kinds.shape).astype(np.float32)
-    for *_, p, _, _, _, q in m.batches(np.array([5, 1040, 7, 9]), np.array([0, 4])):
+    for *_, p, _, _, _, q in m.batches(np.array([5, 1040, 7, 9]), np.array([8, 9, 8, 7]), np.array([0, 4])):
         assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and np.allclose(q.sum(axis=1), 1, atol=1e-5)
 
 
+def test_lm_score_is_that_of_its_model_token_by_token(spark, monkeypatch):
+    """Of the model that score() trains: classes, slots and rows of weights looked up one token at a time."""
+    seen = {}
+    for name in ("_score", "_encode"):
+        real = getattr(maxent, name)
+        monkeypatch.setattr(maxent, name, lambda shared, name=name, real=real: seen.setdefault(name, shared.value) is None or real(shared))
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "of", "a", "cat", "dog", "ran", f"zz{rng.randrange(30)}"]) for _ in range(rng.randrange(12)))) for i in range(60)]
+    got = {r.doc_id: r for r in maxent.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    (known, count, head), (model, tail_log) = seen["_encode"], seen["_score"]
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        return int(maxent.mix(np.array([x & mask], dtype=np.uint64))[0])
+
+    def share(bias, weights, rows, k):
+        s = bias.astype(float) + sum(weights[r].astype(float) for r in rows)
+        e = np.exp(s - s.max())
+        return math.log10(e[k] / e.sum())
+
+    place = {int(h): (int(c), int(k)) for h, c, k in zip(known, count, head, strict=True)}
+    for i, t in rows:
+        h, kind, _ = maxent.tokens(pa.array([t]))
+        total, codes = 0.0, []
+        for x, tail in zip(h.tolist(), kind.tolist(), strict=True):
+            c, k = place.get(x, (0, -1))
+            before = [codes[-1] if codes else (maxent.PAD, 0), codes[-2] if len(codes) > 1 else (maxent.PAD, 0)]
+            feats = [mixed(before[0][0] * 8 + 1), mixed(before[1][0] * 8 + 2), mixed((mixed(before[0][1]) + before[1][1]) * 8 + 3)]
+            cls = int(model.place[k]) // maxent.SLOTS if k >= 0 else maxent.CLASSES + tail
+            total += share(model.kind_bias, model.kinds, [f % len(model.kinds) for f in feats], cls)
+            if k >= 0:
+                wide = [mixed(f + cls * 0x9E3779B97F4A7C15) % len(model.words) for f in feats]
+                total += share(model.word_bias[cls], model.words, wide, int(model.place[k]) % maxent.SLOTS)
+            else:
+                total += math.log10(c + 0.5) - tail_log[tail]
+            codes.append((k if k >= 0 else maxent.HEAD + tail, (x >> 32) + 1))
+        assert got[i].score == pytest.approx(total, abs=1e-3 * max(1, len(h)))
+
+
+def test_lm_tables_grow_with_the_vocabulary():
+    assert [maxent.table_rows(v) for v in (0, 10**3, 10**6, 10**8, 10**12)] == [4096, 4096, 4096, 65536, 131072]
+
+
+def twins(n, seed=0):
+    """Two different words of 2**n letters that share all sums of letters times powers modulo 2**64 from some length on."""
+    a = b"a"
+    for _ in range(n):
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    return a.decode(), a.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_repetitive_words_have_numbers_and_ids_of_their_own(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(encoding.default_path())
+    texts = [w for n in (3, 5, 6, 7, 10, 12) for w in twins(n)]
+    assert len(set(words.Words(pa.array(texts)).hashes().tolist())) == len(texts)
+    ids, at = encoding.encoder(encoding.default_path()).encode(pa.array(texts))
+    assert all(tokenizer.encode(t, add_special_tokens=False).ids == ids[a:b].tolist() for t, a, b in zip(texts, at[:-1], at[1:], strict=True))
+    x, y = twins(11)
+    fill = " ".join(f"f{i}" for i in range(25))
+    rows = [(1, f"{x} {fill}"), (2, f"{y} {fill}"), (3, f"{x} {fill}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(spark, df).collect()} == {1: 0, 2: 25, 3: 26}
+    assert {r.doc_id: r.component_id for r in jaccard.join(spark, df, 3, 98, 100, count_links=False).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_pieces_with_one_number_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(words.Words, "hashes", lambda self: (self.end - self.start).astype(np.uint64))  # all words of a length collide
+    e, tokenizer = encoding.Encoder(encoding.default_path()), Tokenizer.from_file(encoding.default_path())
+    for texts in (["ab cd ab xyz", "zz cd"], ["xyz uvw, ab", "Cd."], [None, ""]):
+        ids, at = e.encode(pa.array(texts, pa.string()))
+        assert all(tokenizer.encode(t or "", add_special_tokens=False).ids == ids[a:b].tolist() for t, a, b in zip(texts, at[:-1], at[1:], strict=True))
+
+
+def test_very_long_texts(spark):
+    """One text of 3 MB, and one of a single word of 1 MB, through the operators that take texts."""
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(40000)}" for _ in range(480_000))
+    rows = [(1, long, "en", "s"), (2, "q" * 1_000_000, "en", "s"), (3, long, "en", "t"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(spark, df, with_text=False).collect()} == {1: 0, 2: 0, 3: 480_000, 4: 0}
+    assert {r.doc_id: r.component_id for r in jaccard.join(spark, df, 5, 80, 100, count_links=False).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert {r.doc_id: r.n_words for r in quality.judge(spark, df, labels).collect()} == {1: 480_000, 2: 1, 3: 480_000, 4: 0}
+    assert {r.doc_id: r.n_tokens for r in maxent.score(spark, df).collect()} == {1: 480_001, 2: 2, 3: 480_001, 4: 1}
+    item = spark.createDataFrame([(7, " ".join(long.split(" ")[300_000:300_040]))], "item_id long, text string")
+    assert {(r.doc_id, r.score) for r in decontamination.contaminated(spark, df, item).collect()} == {(1, 1.0), (3, 1.0)}
+
+
+def test_decontamination_cuts_long_stretches_without_loss(spark):
+    item = [f"i{k}" for k in range(30)]
+    text = (item[:16] + ["x"]) * 400 + item
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontamination.contaminated(spark, spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), bench).collect()
+    assert len(got) == 1 and got[0].score == 1.0
+    items = decontamination.Items(np.array([1]), [words.Words(pa.array([" ".join(item)])).hashes()], 5, 0.5)
+    w = words.Words(pa.array([" ".join(text)]))
+    _, _, first, last = items.stretches(w.hashes(), w.at)
+    assert len(first) > 30 and (last - first).max() <= 4 * items.span[0] and (first[1:] <= last[:-1] - items.span[0]).all()
+
+
+def test_urls_on_generated_graphs_equal_union_find(spark):
+    rng = random.Random(11)
+    hosts = ["a.org", "b.org", "q.com", "x.net", "www.example.com", "m.example.com"]
+    paths = ["/", "/en/1", "/es/2", "/fr/3", "/p", "/q"]
+    pages = []
+    for i in range(400):
+        host, path = ("hub.org", "/") if 100 <= i < 200 else (rng.choice(hosts), f"{rng.choice(paths)}x{rng.randrange(80)}")
+        to = f"http://{rng.choice(hosts)}{rng.choice(paths)}x{rng.randrange(80)}" if i % 100 < 50 else f"http://chain.org/{i + 1}"
+        pages.append((i, f"http://{host}{path}" if i % 3 else f"http://chain.org/{i}", f'<link rel="canonical" href="{to}">' if rng.random() < 0.7 else None))
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def rule(url):
+        host, _, path = url.partition("://")[2].partition("/")
+        fits = [(len(h) + len(p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    for _, url, page in pages:
+        find(url)
+        if page:
+            target = re.search('href="([^"]*)"', page)[1]
+            up[find(url)] = find(target)
+    blocked = {find(u) for u in list(up) if rule(u) == "block"}
+    want = {i: rule(u) or ("block" if find(u) in blocked else "allow") for i, u, _ in pages}
+    got = {r.page_id: r.verdict for r in urls.judge(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and set(want.values()) == {"allow", "block"}
+
+
 def test_urls(spark):
     canonical, refresh = '<html><LINK href="/b" rel=canonical>', "<meta http-equiv='refresh' content='0; url=http://x.net/es/1'>"
     pages = [
@@ -491,5 +627,113 @@ def test_finer_counts_never_exceed_the_difference():
     true = np.array([len(sets[a] ^ sets[b]) for a, b in zip(i, j, strict=True)])
     apart = fine.apart(i, fine, j)
     assert (apart <= true).all() and (apart[i == j] == 0).all()
-    same = fine.long[i] == fine.long[j]
+    same = fine.kind[i] == fine.kind[j]
     assert (apart[same & (true > 0) & (true < 100)] > 0).mean() > 0.9
+    bits = jaccard.Fine(pa.chunked_array([b.column("bits") for b in jaccard._base(3, 90, 100, rank)([batch])]))
+    assert (bits.apart(i, bits, j) <= true).all()
+
+
+def test_a_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(7)
+    part = rng.integers(0, 60, (2, 300))
+    keep = jaccard._forest(part[0], part[1], part[0], part[1])
+    up = {x: x for x in range(60)}
+
+    def joined(pairs):
+        root = dict(up)
+        for x, y in pairs:
+            a, b = root[x], root[y]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+        return root
+
+    assert joined(part.T.tolist()) == joined(part.T[keep].tolist()) and keep.sum() < 60
+
+
+def brute_mix(rows):
+    """How often each row (id, words, source) is taken, in the order of rows."""
+    size = collections.Counter()
+    for i, n, source in rows:
+        size[source] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    total, target, free = sum(size.values()), {}, set(names)
+    while True:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free) if free else 0
+        over = {s for s in free if weight[s] * level >= 3 * size[s]}
+        if not over:
+            break
+        target |= {s: 3 * size[s] for s in over}
+        free -= over
+    target |= {s: weight[s] * level for s in free}
+    number = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    own, out = collections.Counter(), []
+    for i, n, source in rows:
+        own[source, number(i)] += n
+    upto = {}
+    for s in names:
+        run = 0
+        for k in sorted(k for t, k in own if t == s):
+            run += own[s, k]
+            upto[s, k] = run
+    for i, n, source in rows:
+        whole = int(target[source] // size[source]) if size[source] else 0
+        rest, u, o = target[source] - whole * size[source], upto[source, number(i)], own[source, number(i)]
+        out.append((whole + (u <= rest or (u - o <= rest and u - rest < rest - (u - o)))) if n else 0)
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor has written: nulls in every column, repeated rows and ids, long texts, clashing names, a map."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item = text(40)
+    texts = [text(rng.choice([10, 60, 90, 140])) for _ in range(60)] + [None, "", "x " * 90, text(4000)]
+    texts += [texts[1], texts[1], texts[2] + " more", " ".join(["edit", *texts[3].split()[1:]]), f"{text(30)} {item} {text(30)}", f"{text(25)} {item.upper()} {text(25)}"]
+    rows = [(i if i % 9 else None, t, rng.choice(["en", "de", None]), rng.choice(["a", "hot", "hot", None]), None if i % 5 else len(t or ""), {"k": i}, 1, "c") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (7, text(70), "en", "a", 1, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>, _row int, size string"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 50), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, scratch, d = spark.read.parquet(f"{tmp_path}/documents.parquet"), store.Scratch(spark, "t"), str(tmp_path)
+    plain = lambda df: sorted((tuple(sorted(x.items()) if isinstance(x, dict) else x for x in r) for r in df.collect()), key=str)
+    stage = dict(cp.STAGES)
+    got = {}
+    for name in list(stage)[:-1]:
+        before, docs = docs, scratch.put(stage[name](spark, docs, d), name)
+        assert docs.columns == before.columns
+        got[name] = (plain(before), plain(docs))
+    before, after = got["quality_rules"]
+    good = lambda f: f[0] >= 50 and 100 * f[4] <= 50 * f[0]
+    assert after == [r for r in before if good(brute_features(r[1]))]  # too few labels for a cutoff
+    before, after = got["near_duplicates"]
+    sets = [frozenset(zip(*(lower(r[1]).split()[k:] for k in range(5)))) for r in before]
+    root = list(range(len(before)))
+    for i, j in [(i, j) for i in range(len(before)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]:
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    groups = collections.defaultdict(list)
+    for r, k in zip(before, root, strict=True):
+        groups[k].append(r)
+    kept = {k: [r for r in after if r in g] for k, g in groups.items()}
+    assert len(after) == len(groups) and all(len(v) >= 1 and v[0][0] == min((r[0] for r in groups[k]), key=lambda x: (x is not None, x or 0)) for k, v in kept.items())
+    before, after = got["benchmark_decontamination"]
+    words_of = lambda r: lower(r[1]).split()
+    assert after == [r for r in before if brute_align(words_of((0, lower(item))), words_of(r)) < 40] and len(after) == len(before) - 2
+    before, after = got["source_mix"]
+    copies = brute_mix([(r[0], len(WORD.findall(r[1])), r[3]) for r in before])
+    assert after == sorted((r for r, n in zip(before, copies, strict=True) for _ in range(n)), key=str)
+    t = Tokenizer.from_file(encoding.default_path())
+    want = sorted(((r[0], [*t.encode(r[1], add_special_tokens=False).ids, 2]) for r in after), key=lambda x: (-math.inf if x[0] is None else x[0], np.array(x[1], "<u2").tobytes()))
+    start, told = 0, []
+    for i, ids in want:
+        told.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in stage["token_output"](spark, docs, d).orderBy("start").collect()] == told
+    empty = spark.createDataFrame([], kind)
+    assert all(f(spark, empty, d).count() == 0 for f in stage.values())
