@@ -57,9 +57,11 @@ def targets(sizes: DataFrame, max_times: int = MAX_TIMES, weights: tuple[int, ..
     )
 
 
-def thresholds(docs: DataFrame, want: DataFrame) -> DataFrame:
+def thresholds(docs: DataFrame, want: DataFrame, scratch: store.Scratch) -> DataFrame:
     """Of docs (source, size, num) and want (source, whole, rest): from which number on a document isn't taken.
 
+    Each level's state (a row for each source) is written, as the next level reads it twice.
+
     Of the numbers in a source, the one at which the running size passes rest is taken if that
     comes nearer to rest than leaving it.
     """
@@ -81,7 +83,7 @@ def thresholds(docs: DataFrame, want: DataFrame) -> DataFrame:
             threshold = F.coalesce(F.col("_edge._b") + nearer.cast("long"), end + 1)
         else:
             threshold = F.coalesce("_edge._b", end)
-        state = found.select("source", threshold.alias("_prefix"), (F.col("_rest") - F.col("_below")).alias("_rest"))
+        state = scratch.put(found.select("source", threshold.alias("_prefix"), (F.col("_rest") - F.col("_below")).alias("_rest")), f"level-{level}")
     return state.select("source", F.col("_prefix").alias("threshold"))
 
 
@@ -93,7 +95,7 @@ def plan(spark: SparkSession, docs: DataFrame, max_times: int = MAX_TIMES, weigh
     want = targets(sizes, max_times, weights)
     want = want.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     want = scratch.put(want.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).coalesce(1), "want")
-    edge = scratch.put(thresholds(slim, want).coalesce(1), "thresholds").withColumnRenamed("source", "_e")
+    edge = thresholds(slim, want, scratch).withColumnRenamed("source", "_e")
     told = want.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left").select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold")
     return slim, scratch.put(told.coalesce(1), "plan")
 
