@@ -200,6 +200,7 @@ def manifest(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_g"), "doc_id", hashed(F.col("text")).alias("leaf"),
         F.when(tampered(F.col("doc_id")), hashed(F.translate("text", UPPER, UPPER.lower()))).alias("changed"),
     )
+    rows = scratch.put(rows, "hashed")  # range partitions are cut in a pass of their own: texts are read once
     leaves = numbered(scratch, "leaves", rows, ["doc_id", "leaf"], [F.col("doc_id"), F.col("leaf")], ["doc_id", "leaf", "changed"])
     runs, tops, levels = tree(scratch, "rows", leaves)
     subroots = tops.select(F.lit("").alias("_g"), F.col("_g").alias("name"), F.col("top").alias("leaf"))
@@ -227,26 +228,26 @@ def _sql() -> str:
     field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
     leaf = lambda text: f"sha256({' || '.join(map(field, FIELDS[:-1]))} || {field(text)})"
     grow = "SELECT {g}lvl + 1, idx // 16, sha256(string_agg(d, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER ({p}) AS n FROM {t}) WHERE n > 1 GROUP BY {g}lvl, idx // 16"
-    side = lambda how: f"coalesce(string_agg(t.d, '' ORDER BY t.idx) FILTER (t.idx {how} k.at), '')"
+    side = lambda how: f"coalesce(string_agg(t.d, '' ORDER BY t.idx) FILTER (t.idx {how} k.pos), '')"
     return f"""
 WITH RECURSIVE leaves AS (
-  SELECT doc_id, coalesce('s' || source, '') AS g, leaf, changed, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM (
+  SELECT doc_id, coalesce('s' || source, '') AS g, leaf, changed, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (
     SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} END AS changed FROM documents)),
-t(g, lvl, idx, d) AS (SELECT g, 0, at, leaf FROM leaves UNION ALL {grow.format(g="g, ", p="PARTITION BY g", t="t")}),
-s AS (SELECT g, arg_max(d, lvl) AS subroot, row_number() OVER (ORDER BY g) - 1 AS at FROM t GROUP BY g),
-u(lvl, idx, d) AS (SELECT 0, at, subroot FROM s UNION ALL {grow.format(g="", p="", t="u")}),
+t(g, lvl, idx, d) AS (SELECT g, 0, pos, leaf FROM leaves UNION ALL {grow.format(g="g, ", p="PARTITION BY g", t="t")}),
+s AS (SELECT g, arg_max(d, lvl) AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM t GROUP BY g),
+u(lvl, idx, d) AS (SELECT 0, pos, subroot FROM s UNION ALL {grow.format(g="", p="", t="u")}),
 r AS (SELECT arg_max(d, lvl) AS root FROM u),
 k AS (
-  SELECT l.g, l.at AS leaf_at, l.doc_id, l.leaf, x.lvl, l.at // (16::BIGINT ** x.lvl)::BIGINT AS at FROM leaves l JOIN (SELECT DISTINCT g, lvl FROM t) x USING (g)),
-p AS (SELECT k.g, k.leaf_at, k.lvl, {side("<")} AS l, {side(">")} AS r FROM k JOIN t ON t.g = k.g AND t.lvl = k.lvl AND t.idx // 16 = k.at // 16 GROUP BY ALL),
-q AS (SELECT k.g, k.lvl, {side("<")} AS l, {side(">")} AS r FROM (SELECT s.g, x.lvl, s.at // (16::BIGINT ** x.lvl)::BIGINT AS at FROM s CROSS JOIN (SELECT DISTINCT lvl FROM u) x) k JOIN u t ON t.lvl = k.lvl AND t.idx // 16 = k.at // 16 GROUP BY ALL),
+  SELECT l.g, l.pos AS leaf_at, l.doc_id, l.leaf, x.lvl, l.pos // (16::BIGINT ** x.lvl)::BIGINT AS pos FROM leaves l JOIN (SELECT DISTINCT g, lvl FROM t) x USING (g)),
+p AS (SELECT k.g, k.leaf_at, k.lvl, {side("<")} AS l, {side(">")} AS r FROM k JOIN t ON t.g = k.g AND t.lvl = k.lvl AND t.idx // 16 = k.pos // 16 GROUP BY ALL),
+q AS (SELECT k.g, k.lvl, {side("<")} AS l, {side(">")} AS r FROM (SELECT s.g, x.lvl, s.pos // (16::BIGINT ** x.lvl)::BIGINT AS pos FROM s CROSS JOIN (SELECT DISTINCT lvl FROM u) x) k JOIN u t ON t.lvl = k.lvl AND t.idx // 16 = k.pos // 16 GROUP BY ALL),
 w AS (
   SELECT g, leaf_at, list(l || r ORDER BY tree, lvl) AS flat, list(l || '|' || r ORDER BY tree, lvl) AS steps FROM (
-    SELECT g, leaf_at, 0 AS tree, lvl, l, r FROM p UNION ALL SELECT l.g, l.at, 1, q.lvl, q.l, q.r FROM leaves l JOIN q USING (g)) GROUP BY ALL),
+    SELECT g, leaf_at, 0 AS tree, lvl, l, r FROM p UNION ALL SELECT l.g, l.pos, 1, q.lvl, q.l, q.r FROM leaves l JOIN q USING (g)) GROUP BY ALL),
 f AS (
   SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flat, '')) AS proof_sha256,
     list_reduce(list_prepend(coalesce(changed, leaf), steps), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2))) AS folded_root
-  FROM leaves l JOIN w ON w.g = l.g AND w.leaf_at = l.at JOIN s ON s.g = l.g CROSS JOIN r)
+  FROM leaves l JOIN w ON w.g = l.g AND w.leaf_at = l.pos JOIN s ON s.g = l.g CROSS JOIN r)
 SELECT *, folded_root = root AS verified FROM f
 """
 
