@@ -50,6 +50,7 @@ def propagate(scratch: store.Scratch, linked: DataFrame, links: DataFrame, mean:
         entry = F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")
         most = lambda c: F.slice(F.sort_array(F.collect_list(c), asc=False), 1, LABELS)  # noqa: E731  as many entries as shards at most
         labels = labels.groupBy("hub").agg(F.array_union(most(entry), most(F.when(_of(room, "shard"), entry))).alias("labels"))
+        labels = scratch.put(labels, f"labels-{turn}")  # so that Spark can split a hot hub's side of the join
         votes = links.join(labels, "hub").select("node", F.inline("labels")).groupBy("node", "shard").agg(F.sum("n").alias("n"))
         votes = votes.withColumnRenamed("shard", "to").join(linked, "node").where((F.col("to") == F.col("shard")) | _of(room, "to"))
         best = F.max(F.struct("n", _of(room, "to").alias("room"), F.xxhash64("hub", "to").alias("tie"), "to")).alias("best")
@@ -107,7 +108,7 @@ def balance(scratch: store.Scratch, items: DataFrame, links: DataFrame, shards:
     total = items.agg(F.sum("size")).first()[0] or 0
     mean = total / shards
     hubs = links.join(items.select("node", "size"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1").drop("n")
-    links = scratch.put(links.join(hubs, "hub"), "links")
+    links = scratch.put(links.join(scratch.put(hubs, "hubs"), "hub"), "links")
     known = links.groupBy("node").agg(F.min("hub").alias("hub"), (F.max("bytes") > mean * LARGE).alias("large"))
     state = items.join(known, "node", "left").withColumn("shard", F.pmod(F.col("seed"), F.lit(shards)).cast("int"))
     state = scratch.put(state.withColumn("large", F.coalesce("large", F.lit(False))), "state")
