@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators import evidence as E
-from parcelflow.operators import shapes
+from parcelflow.operators import runs, shapes
 from parcelflow.operators.registration import UI_BOXES, gradient, gray, viewport
 from parcelflow.operators.settings import Settings, minimum_area, scale_parameters
 from parcelflow.plans import decisions
@@ -357,8 +357,13 @@ def detect(pairs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
 
 
 def state_mask(regions: DataFrame, states: tuple[str, ...]) -> DataFrame:
-    """pair_id, y, x of the pixels of regions in one of these states: rebuilt from the supports whenever states have changed."""
-    i = F.explode(F.sequence(F.lit(0), F.length("support") - 1))
-    rows = regions.where(F.col("state").isin(*states)).select("pair_id", "left", "top", "width", "support", i.alias("i"))
-    rows = rows.where(F.expr("substring(hex(support), 2 * i + 1, 2) = '01'"))
-    return rows.select("pair_id", (F.col("top") + F.floor(F.col("i") / F.col("width"))).alias("y"), (F.col("left") + F.col("i") % F.col("width")).alias("x")).distinct()
+    """The mask of regions in one of these states as runs (pair_id, y0, y1, x0, x1), rebuilt from the supports whenever states have changed.
+
+    A support is taken apart row by row, so the cost grows with its bytes.
+    """
+    rows = regions.where(F.col("state").isin(*states) & F.col("support").isNotNull()).select("pair_id", "left", "top", F.col("width").cast("int").alias("w"), "support", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("i"))
+    row = F.hex(F.substring("support", F.col("i") * F.col("w") + 1, F.col("w")))
+    rows = rows.select("pair_id", "left", (F.col("top") + F.col("i")).alias("y"), F.slice(F.split(F.regexp_replace(row, "(..)", "$1,"), ","), F.lit(1), F.col("w")).alias("bits"))
+    lines = runs.of_rows(rows, ["pair_id", "left"], "bits", lambda b: b == "01")
+    lines = lines.select("pair_id", F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), (F.col("x0") + F.col("left")).alias("x0"), (F.col("x1") + F.col("left")).alias("x1"))
+    return runs.union(["pair_id"], lines)

@@ -4,23 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 
-from parcelflow.operators.evidence import label as components
-
 # Limits of duplicate proposals.
 IOU, CONTAINMENT, CENTRE, SIZE, SEMANTIC = 0.42, 0.72, 0.35, 0.45, 0.2
 
 
-def label(pdf: pd.DataFrame) -> pd.DataFrame:
-    """8-connected components of one plane's set pixels, numbered by their first pixel in raster order."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    mask = np.zeros((int(y.max()) + 1, int(x.max()) + 1), dtype=bool)
-    mask[y, x] = True
-    return pd.DataFrame({"pair_id": pdf["pair_id"], "y": y, "x": x, "d": pdf["d"], "component": components(mask)[0][y, x]})
-
-
 def merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy, for some pairs at once: each box, by confidence, joins its pair's first kept one that it duplicates."""
     pdf = pdf.sort_values(["pair_id", "confidence_e3", "proposal_id"], ascending=[True, False, True], kind="stable")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from parcelflow.operators.kernels import label
+from parcelflow.operators.evidence import label
 from parcelflow.sources.shipping import ship
 
 # Limits of splitting, tolerance of outlines.
@@ -41,8 +41,10 @@ def _large(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     """Rows of the 8-connected pieces of at least so many pixels, with their number as piece."""
     if rows.empty:
         return rows.assign(piece=pd.Series(dtype="int64"))
-    moved = pd.DataFrame({"pair_id": rows["pair_id"], "y": rows["y"] - rows["y"].min(), "x": rows["x"] - rows["x"].min(), "d": 0})
-    got = rows.assign(piece=label(moved)["component"].to_numpy())
+    y, x = (rows["y"] - rows["y"].min()).to_numpy(), (rows["x"] - rows["x"].min()).to_numpy()
+    mask = np.zeros((y.max() + 1, x.max() + 1), dtype=bool)
+    mask[y, x] = True
+    got = rows.assign(piece=label(mask)[0][y, x])
     return got[got.groupby("piece")["piece"].transform("size") >= least]
 
 

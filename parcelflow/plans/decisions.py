@@ -163,6 +163,10 @@ t AS (SELECT s.pair_id, s.candidate_id, s.state AS before, m.decision IS NOT NUL
 u AS (SELECT *, CASE WHEN NOT told THEN before WHEN d = 'physical_change' THEN 'accepted' WHEN strong THEN 'needs_review' WHEN d = 'likely_artifact' THEN 'rejected' ELSE 'needs_review' END AS after FROM t)
 SELECT pair_id, candidate_id, before, after, CASE WHEN NOT told THEN NULL WHEN d = 'physical_change' THEN CASE WHEN before <> 'accepted' THEN 'SEMANTIC_PHYSICAL_CHANGE' END WHEN strong THEN 'semantic_pixel_evidence_conflict' WHEN d = 'likely_artifact' THEN 'SEMANTIC_LIKELY_ARTIFACT' WHEN before <> 'needs_review' THEN 'SEMANTIC_UNCERTAIN' END AS reason FROM u""")
 def semantic_transition(spark: SparkSession, d: str) -> DataFrame:
+    return transitions(spark, d)
+
+
+def transitions(spark: SparkSession, d: str) -> DataFrame:
     """A second opinion on what isn't rejected; of several on a candidate the first counts."""
     rows = judged(spark, d).withColumn("geometry", F.when(F.col("area") % 6 > 0, "pixel_mask").otherwise("frontier_bbox"))
     said = T.pick(("physical_change", "likely_artifact", "maybe", "uncertain"), F.col("area") % 4)

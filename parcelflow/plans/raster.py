@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.operators.kernels import label
+from parcelflow.operators import runs as R
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
+from parcelflow.sources.scratch import Scratch
 from parcelflow.sources.shipping import ship
 
 _PX = """
@@ -232,9 +233,25 @@ def morphology(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("pair_id").agg(*(F.sum(c).alias(n) for c, n in (("v", "mask"), ("opened", "opened"), ("closed", "closed"))))
 
 
-def components(rows: DataFrame) -> DataFrame:
-    ship(rows.sparkSession)
-    return rows.groupBy("pair_id").applyInPandas(label, "pair_id long, y long, x long, d long, component long")
+def planes(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id, y and the row's values a, b, d as arrays; planes are square."""
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 240 * v.cast("double")))).cast("long")
+    e = T.read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id"), (F.col("vec_id") % 2).alias("side"), F.transform("embedding", level).alias("p"))
+    both = e.where("side = 0").select("pair_id", F.col("p").alias("pa")).join(e.where("side = 1").select("pair_id", F.col("p").alias("pb")), "pair_id")
+    both = both.withColumn("w", F.sqrt(F.size("pa")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    row = lambda c: F.slice(c, F.col("y") * F.col("w") + 1, F.col("w"))
+    rows = both.select("pair_id", F.col("y").cast("long").alias("y"), row("pa").alias("a"), row("pb").alias("b"))
+    return rows.withColumn("d", F.zip_with("a", "b", lambda u, v: F.abs(u - v)))
+
+
+def components(spark: SparkSession, d: str, cut: int = 60) -> DataFrame:
+    """The 8-connected components of differences of at least cut, as labelled runs with their differences in v."""
+    return R.labelled(Scratch(spark, "components"), R.of_rows(planes(spark, d), ["pair_id"], "d", lambda v: v >= cut), ["pair_id"])
+
+
+def set_pixels(parts: DataFrame) -> DataFrame:
+    """pair_id, y, x, d, component of labelled runs' pixels."""
+    return parts.select("pair_id", "y", "x0", "component", F.posexplode("v").alias("i", "d")).select("pair_id", "y", (F.col("x0") + F.col("i")).alias("x"), "d", "component")
 
 
 _CC = """,
@@ -246,23 +263,20 @@ cc AS (SELECT m.*, dense_rank() OVER (PARTITION BY m.pair_id ORDER BY root) AS c
 
 @query("connected_components", WITH + _CC + " SELECT pair_id, y, x, component FROM cc")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return components(pixels(spark, d).where("d >= 60").select("pair_id", "y", "x", "d")).drop("d")
+    return set_pixels(components(spark, d)).drop("d")
 
 
 @query("zonal_features", WITH + _CC + " SELECT pair_id, component, count(*) AS area, min(x) AS left, min(y) AS top, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, max(d) AS peak FROM cc GROUP BY 1, 2")
 def zonal_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = components(pixels(spark, d).where("d >= 60").select("pair_id", "y", "x", "d"))
-    return rows.groupBy("pair_id", "component").agg(
-        F.count(F.lit(1)).alias("area"), F.min("x").alias("left"), F.min("y").alias("top"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
-        F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"), F.max("d").alias("peak"),
-    )
+    rows = R.shapes(components(spark, d), ["pair_id"], F.max(F.array_max("v")).alias("peak"))
+    return rows.withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
 
 
 @query("hysteresis", WITH + _CC + " SELECT pair_id, y, x FROM (SELECT *, max(d) OVER (PARTITION BY pair_id, component) AS peak FROM cc) WHERE peak >= 110")
 def hysteresis(spark: SparkSession, d: str, high: int = 110) -> DataFrame:
-    """Pixels over the low threshold whose component has one over the high threshold."""
-    rows = components(pixels(spark, d).where("d >= 60").select("pair_id", "y", "x", "d"))
-    return rows.withColumn("peak", F.max("d").over(Window.partitionBy("pair_id", "component"))).where(F.col("peak") >= high).select("pair_id", "y", "x")
+    """Pixels over the low threshold whose component a run of pixels over the high threshold touches."""
+    seeds = R.of_rows(planes(spark, d), ["pair_id"], "d", lambda v: v >= high)
+    return set_pixels(R.seeded(components(spark, d), seeds, ["pair_id"])).select("pair_id", "y", "x")
 
 
 @query("annulus_contrast", WITH + _CC + """,
@@ -272,7 +286,7 @@ FROM bx b LEFT JOIN px p ON p.pair_id = b.pair_id AND p.x BETWEEN x0 - 2 AND x1
 def annulus_contrast(spark: SparkSession, d: str) -> DataFrame:
     """A component's median against that of the unset pixels around its box; the range join keeps to the pair's key."""
     px = pixels(spark, d)
-    box = components(px.where("d >= 60").select("pair_id", "y", "x", "d")).groupBy("pair_id", "component").agg(
+    box = set_pixels(components(spark, d)).groupBy("pair_id", "component").agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.median("d").alias("med")
     )
     near = px.where("d < 60").select(F.col("pair_id").alias("p"), "y", "x", "d")

@@ -1,8 +1,7 @@
-import numpy as np
 import pandas as pd
 import pytest
 
-from parcelflow.operators.kernels import label, match, merge
+from parcelflow.operators.kernels import match, merge
 from parcelflow.plans import catalog
 from tests.same import rows_of, rows_of_sql
 
@@ -36,12 +35,6 @@ def test_a_prediction_is_matched_once():
     assert got.truth_id.tolist() == [1, 2] and got.found_id[0] == 7 and pd.isna(got.found_id[1])
 
 
-def test_components_are_eight_connected_and_numbered_in_raster_order():
-    y, x = np.array([0, 1, 3, 3, 5]), np.array([4, 3, 0, 1, 5])
-    got = label(pd.DataFrame({"pair_id": 1, "y": y, "x": x, "d": 1}))
-    assert got.component.tolist() == [1, 1, 2, 2, 3]
-
-
 def test_confusion_golden(spark):
     from pyspark.sql import functions as F
 
