@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,17 @@ def overlap(a: str, b: str) -> Column:
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
 
 
+#: Side of the grid cells in which boxes meet.
+CELL = 256
+
+
+def in_cells(rows: DataFrame, p: str = "") -> DataFrame:
+    """rows once for each grid cell that their box (columns of prefix p) reaches into, numbered in cell; boxes that overlap share one."""
+    span = lambda low, size: F.sequence(F.floor(F.col(f"{p}{low}") / CELL), F.floor((F.col(f"{p}{low}") + F.greatest(F.col(f"{p}{size}"), F.lit(1)) - 1) / CELL))
+    rows = rows.withColumn("_gx", F.explode(span("left", "width"))).withColumn("_gy", F.explode(span("top", "height")))
+    return rows.withColumn("cell", F.col("_gx") * (1 << 24) + F.col("_gy")).drop("_gx", "_gy")
+
+
 def area(p: str) -> Column:
     return F.col(f"{p}width") * F.col(f"{p}height")
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import boxes as B
-from parcelflow.operators.kernels import match
+from parcelflow.operators.greedy import first_matching
 from parcelflow.plans.registry import query
 from parcelflow.plans.raster import WITH, pixels
 from parcelflow.sources import tables as T
-from parcelflow.sources.shipping import ship
+from parcelflow.sources.scratch import Scratch
 
 
 @query("pixel_confusion", WITH + """,
@@ -50,15 +50,16 @@ t AS (SELECT p.pair_id, p.proposal_id, p.change_type, p.width * p.height * 0.01:
 
 
 def matches(p: DataFrame, flags: tuple[str, ...] = ALL) -> DataFrame:
-    """pair_id, truth_id, found_id (null: nothing is left for it) of truths that any prediction covers: one to one, in the order of ids.
+    """pair_id, truth_id, found_id (null: nothing is left for it) of truths that any prediction covers: one to one, truths in the order of ids.
 
-    Overlaps come by an equi-join on the pair; the choice among them is a pass over each pair.
+    Boxes meet by the grid cells they cover; a truth takes the free prediction that covers most of it, the first of equals.
     """
-    ship(p.sparkSession)
-    side = lambda rows, s, i: rows.select("pair_id", F.col("proposal_id").alias(i), *(F.col(c).alias(f"{s}_{c}") for c in ("left", "top", "width", "height")))
-    rows = side(p.where("flag = 'R'"), "a", "truth_id").join(side(p.where(F.col("flag").isin(*flags)), "b", "found_id"), "pair_id")
-    rows = rows.select("pair_id", "truth_id", "found_id", (B.overlap("a_", "b_") / B.area("a_")).alias("share")).where("share >= 0.01")
-    return rows.groupBy(F.floor(F.col("pair_id") / 256)).applyInPandas(match, "pair_id long, truth_id long, found_id long")
+    side = lambda rows, s, i: B.in_cells(rows.select("pair_id", F.col("proposal_id").alias(i), *(F.col(c).alias(f"{s}_{c}") for c in ("left", "top", "width", "height"))), f"{s}_")
+    rows = side(p.where("flag = 'R'"), "a", "truth_id").join(side(p.where(F.col("flag").isin(*flags)), "b", "found_id"), ["pair_id", "cell"])
+    rows = rows.select("pair_id", F.col("truth_id").alias("left"), F.col("found_id").alias("right"), (B.overlap("a_", "b_") / B.area("a_")).alias("share")).where("share >= 0.01").distinct()
+    rank = F.row_number().over(Window.partitionBy("pair_id", "left").orderBy(F.desc("share"), "right"))
+    out = first_matching(Scratch(p.sparkSession, "matching"), rows.withColumn("rank", rank), ["pair_id"])
+    return out.select("pair_id", F.col("left").alias("truth_id"), F.col("right").alias("found_id"))
 
 
 def truths(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.operators import runs as R
+from parcelflow.operators import trees
 from parcelflow.plans import decisions, evaluation
 from parcelflow.plans.raster import WITH, planes, set_pixels
 from parcelflow.plans.registry import query
@@ -109,14 +110,17 @@ _SCENE = """,
 sp AS (SELECT s AS scene_id, (k // w) * 8 + y AS y, (k % w) * 8 + x AS x, a, b, d FROM (SELECT *, pair_id // 12 AS s, pair_id % 12 AS k, 3 + (pair_id // 12) % 2 AS w FROM px))"""
 
 
-def _parts(name: str, rows: str, four: bool = False) -> str:
-    """Common table expressions: {name} has rows (scene_id, y, x, ...) with root and component."""
+def _parts(name: str, rows: str, four: bool = False, key: str = "scene_id") -> str:
+    """Common table expressions: {name} has rows (key, y, x, i, ...) with component."""
     near = "abs(n.y - p.y) + abs(n.x - p.x) = 1" if four else "abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 AND n.i <> p.i"
+    keys = key.split(", ")
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys)
     return f"""
 {name}_m AS ({rows}),
-{name}_e AS (SELECT p.scene_id, p.i, n.i AS j FROM {name}_m p JOIN {name}_m n ON n.scene_id = p.scene_id AND {near}),
-{name}_r AS (SELECT scene_id, i, i AS l FROM {name}_m UNION SELECT e.scene_id, e.j, r.l FROM {name}_r r JOIN {name}_e e ON e.scene_id = r.scene_id AND e.i = r.i AND r.l < e.j),
-{name} AS (SELECT m.*, dense_rank() OVER (PARTITION BY m.scene_id ORDER BY l) AS component FROM {name}_m m JOIN (SELECT scene_id, i, min(l) AS l FROM {name}_r GROUP BY 1, 2) USING (scene_id, i))"""
+{name}_e AS (SELECT {of("p")}, p.i, n.i AS j FROM {name}_m p JOIN {name}_m n ON {same("n", "p")} AND {near}),
+{name}_r AS (SELECT {key}, i, i AS l FROM {name}_m UNION SELECT {of("e")}, e.j, r.l FROM {name}_r r JOIN {name}_e e ON {same("e", "r")} AND e.i = r.i AND r.l < e.j),
+{name} AS (SELECT m.*, dense_rank() OVER (PARTITION BY {of("m")} ORDER BY l) AS component FROM {name}_m m JOIN (SELECT {key}, i, min(l) AS l FROM {name}_r GROUP BY ALL) USING ({key}, i))"""
 
 
 _LOW = "SELECT *, y * 1000 + x AS i FROM sp WHERE d >= 60"
@@ -161,3 +165,46 @@ def seed_touch(spark: SparkSession, d: str) -> DataFrame:
     met = parts.select("scene_id", "y", "x0", "component").join(met, ["scene_id", "y", "x0"]).groupBy("scene_id", "component").agg(F.sum("n").alias("seeds"))
     kept = R.seeded(parts, seeds, KEY).groupBy("scene_id", "component").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
     return kept.join(met, ["scene_id", "component"])
+
+
+LEVELS = (60, 75, 90, 105, 120)
+_TREE = WITH + _SCENE + "," + _parts("c", f"SELECT sp.*, y * 1000 + x AS i, level FROM sp JOIN (SELECT unnest({list(LEVELS)}) AS level) ON d >= level", key="scene_id, level") + """,
+n AS (SELECT scene_id, level, component, count(*) AS area, min(i) AS i, max(d) AS peak FROM c GROUP BY 1, 2, 3),
+t AS (SELECT n.*, p.component AS parent, b.component AS base FROM n LEFT JOIN c p ON p.scene_id = n.scene_id AND p.level = n.level - 15 AND p.i = n.i JOIN c b ON b.scene_id = n.scene_id AND b.level = 60 AND b.i = n.i)"""
+
+
+def scene_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return trees.component_tree(Scratch(spark, "tree"), scenes(spark, d), KEY, "d", list(LEVELS))
+
+
+@query("component_tree", _TREE + " SELECT scene_id, level, component, parent, base, area, peak, i AS first FROM t")
+def component_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Components of all thresholds of frames of unequal sizes, each with its parent at the threshold below."""
+    nodes, _ = scene_tree(spark, d)
+    return nodes.select("scene_id", "level", "component", "parent", "base", "area", "peak", (F.col("y") * 1000 + F.col("x")).alias("first"))
+
+
+@query("component_splits", _TREE + """,
+k AS (SELECT scene_id, base AS component, level, count(*) AS cores, sum(area)::BIGINT AS core_area FROM t WHERE area >= 3 GROUP BY 1, 2, 3 HAVING count(*) > 1)
+SELECT scene_id, component, level, cores, core_area FROM k QUALIFY level = min(level) OVER (PARTITION BY scene_id, component)""")
+def component_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Weakly joined components: where they fall into several cores of at least three pixels."""
+    return trees.splits(scene_tree(spark, d)[0], KEY, 3)
+
+
+@query("threshold_stability", _TREE + """,
+w AS (SELECT scene_id, base AS component, level, count(*) AS parts, sum(area)::BIGINT AS pixels FROM t GROUP BY 1, 2, 3),
+m AS (SELECT scene_id, component, median(d)::DOUBLE AS med, count(*) AS area, count(*) FILTER (d >= 60 * 1.12::DOUBLE) AS core, count(*) FILTER (d >= 105) AS seeds FROM c WHERE level = 60 GROUP BY 1, 2)
+SELECT m.scene_id, m.component, string_agg(w.level || ':' || w.parts || ':' || w.pixels, ' ' ORDER BY w.level) AS survival,
+  round(least(1.0::DOUBLE, least(1.0::DOUBLE, any_value(core)::DOUBLE / any_value(area) / 0.55::DOUBLE) * 0.42::DOUBLE + least(1.0::DOUBLE, any_value(seeds)::DOUBLE / any_value(area) / 0.12::DOUBLE) * 0.34::DOUBLE + least(1.0::DOUBLE, (any_value(med) - 60) / 45) * 0.24::DOUBLE), 6) AS stability
+FROM m JOIN w USING (scene_id, component) GROUP BY 1, 2""")
+def threshold_stability(spark: SparkSession, d: str, low: int = 60, high: int = 105) -> DataFrame:
+    """What of a component stands at each threshold, and how stable that makes it."""
+    nodes, parts = scene_tree(spark, d)
+    by = trees.survival(nodes, KEY).groupBy("scene_id", "component").agg(F.sort_array(F.collect_list(F.struct("level", "parts", "pixels"))).alias("s"))
+    told = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["level"], x["parts"], x["pixels"])), " ")
+    flat = parts.where(F.col("level") == low).select("scene_id", "component", F.explode("v").alias("d")).groupBy("scene_id", "component").agg(
+        F.median("d").alias("m"), F.avg((F.col("d") >= low * 1.12).cast("int")).alias("core"), F.avg((F.col("d") >= high).cast("int")).alias("seeds")
+    )
+    value = trees.stability(F.col("m"), F.col("core"), F.col("seeds"), F.lit(low), F.lit(high))
+    return by.join(flat, ["scene_id", "component"]).select("scene_id", "component", told.alias("survival"), F.round(value, 6).alias("stability"))

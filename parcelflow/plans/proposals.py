@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.operators.kernels import merge
+from parcelflow.functions import boxes as B
+from parcelflow.operators.greedy import first_independent
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
-from parcelflow.sources.shipping import ship
+from parcelflow.sources.scratch import Scratch
 
 WITH = f"WITH {T.SQL}\n"
 # Reserves of the schedule, categories by priority, words that tell of a removal.
@@ -124,11 +125,57 @@ dd AS (SELECT k.pair_id, k.r, a.proposal_id, a.source, b.proposal_id AS retained
 
 @query("proposal_dedup", _DEDUP + " SELECT pair_id, proposal_id, retained_id FROM dd")
 def proposal_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Order decides who is kept, so it is a pass over each pair's boxes; pairs are independent."""
-    ship(spark)
-    words = F.array_join(tokens(F.concat_ws(" ", "change_type", "before_text", "after_text")), " ").alias("words")
-    rows = T.proposals(spark, d).select("pair_id", "proposal_id", "left", "top", "width", "height", "confidence_e3", "change_type", words)
-    return rows.groupBy(F.floor(F.col("pair_id") / 256)).applyInPandas(merge, "pair_id long, proposal_id long, retained_id long")
+    """Boxes by confidence: each joins its pair's first kept one that it duplicates, else it is kept."""
+    return retained(T.proposals(spark, d))
+
+
+# Limits of duplicate proposals.
+IOU, CONTAINMENT, CENTRE, SIZE, SEMANTIC = 0.42, 0.72, 0.35, 0.45, 0.2
+
+
+def ranked(p: DataFrame) -> DataFrame:
+    """Proposals with their words and r, their place in the pair by confidence."""
+    words = tokens(F.concat_ws(" ", "change_type", "before_text", "after_text"))
+    r = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("confidence_e3"), "proposal_id"))
+    return p.select("pair_id", "proposal_id", "left", "top", "width", "height", "change_type", words.alias("words"), r.alias("r"))
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """pair_id, lo, hi (places) and the metrics of all pairs of boxes of which the later duplicates the earlier; boxes meet by grid cells, as duplicates overlap."""
+    side = lambda s: B.in_cells(rows.select("pair_id", *(F.col(c).alias(f"{s}{c}") for c in ("r", "left", "top", "width", "height", "change_type", "words"))), s)
+    both = side("a_").join(side("b_"), ["pair_id", "cell"]).where("a_r < b_r").drop("cell").dropDuplicates(["pair_id", "a_r", "b_r"])
+    c, one = F.col, F.lit(1.0)
+    middle = lambda s, low, size: c(f"{s}{low}") + c(f"{s}{size}") / 2.0
+    apart = lambda low, size: middle("a_", low, size) - middle("b_", low, size)
+    across = lambda s: F.sqrt((c(f"{s}width") * c(f"{s}width") + c(f"{s}height") * c(f"{s}height")).cast("double"))
+    far = F.sqrt(apart("left", "width") * apart("left", "width") + apart("top", "height") * apart("top", "height")) / F.greatest(one, (across("a_") + across("b_")) / 2)
+    sizes = F.least(B.area("a_"), B.area("b_")) / F.greatest(F.lit(1), B.area("a_"), B.area("b_"))
+    some = (F.size("a_words") > 0) & (F.size("b_words") > 0)
+    alike = F.when(some, F.size(F.array_intersect("a_words", "b_words")) / F.greatest(F.lit(1), F.size(F.array_union("a_words", "b_words")))).otherwise((c("a_change_type") == c("b_change_type")).cast("double"))
+    told = {"iou": B.iou("a_", "b_"), "containment": B.containment("a_", "b_"), "distance": far, "size_ratio": sizes, "similarity": alike}
+    both = both.select("pair_id", c("a_r").alias("lo"), c("b_r").alias("hi"), *(F.round(v, 4).alias(n) for n, v in told.items()))
+    return both.where((c("similarity") >= SEMANTIC) & ((c("iou") >= IOU) | ((c("containment") >= CONTAINMENT) & (c("distance") <= CENTRE) & (c("size_ratio") >= SIZE))))
+
+
+def retained(p: DataFrame) -> DataFrame:
+    """pair_id, proposal_id and retained_id, the kept proposal that stands for it, of proposals."""
+    scratch = Scratch(p.sparkSession, "dedup")
+    rows = scratch.put(ranked(p), "ranked")
+    into = first_independent(scratch, rows, duplicates(rows), ["pair_id"])
+    ids = rows.select("pair_id", "r", "proposal_id")
+    return ids.join(into, ["pair_id", "r"]).join(ids.select("pair_id", F.col("r").alias("into"), F.col("proposal_id").alias("retained_id")), ["pair_id", "into"]).select("pair_id", "proposal_id", "retained_id")
+
+
+@query("duplicate_metrics", _DEDUP + """
+SELECT dd.pair_id, dd.proposal_id, dd.retained_id, round(o / greatest(1, aa + bb - o), 4) AS iou, round(o / greatest(1, least(aa, bb)), 4) AS containment, round(far / greatest(1, scale), 4) AS distance,
+  round(least(aa, bb)::DOUBLE / greatest(1, greatest(aa, bb)), 4) AS size_ratio, round(alike, 4) AS similarity FROM dd JOIN w ON w.pair_id = dd.pair_id AND w.proposal_id = dd.retained_id JOIN o ON o.pair_id = dd.pair_id AND o.r = dd.r AND o.k = w.r""")
+def duplicate_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Each merged proposal with what makes it a duplicate of the one that stands for it."""
+    p = T.proposals(spark, d)
+    rows = ranked(p)
+    at = lambda i, r: rows.select("pair_id", F.col("proposal_id").alias(i), F.col("r").alias(r))
+    gone = retained(p).where("proposal_id != retained_id").join(at("proposal_id", "hi"), ["pair_id", "proposal_id"]).join(at("retained_id", "lo"), ["pair_id", "retained_id"])
+    return gone.join(duplicates(rows), ["pair_id", "lo", "hi"]).drop("lo", "hi")
 
 
 @query("dedup_clusters", _DEDUP + """

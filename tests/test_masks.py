@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.operators import runs as R
+from parcelflow.operators import trees
 from parcelflow.operators.detector import state_mask
 from parcelflow.plans import masks
 from parcelflow.sources.scratch import Scratch
@@ -160,3 +161,25 @@ def test_no_python_and_no_pixel_rows(spark):
     for q in (masks.mask_algebra, masks.mask_confusion, masks.scene_components):
         plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_component_tree_holds_the_components_of_every_threshold(spark):
+    """Two blocks joined by a weak line: one component that splits, as are the frame's others at every level."""
+    rng = np.random.default_rng(6)
+    a = np.zeros((24, 60), int)
+    a[4:20, 4:20] = a[4:20, 40:56] = 230
+    a[12, 20:40] = 90
+    frames = {0: a, 1: rng.integers(0, 256, (15, 300)), 2: rng.integers(0, 256, (40, 9))}
+    rows = spark.createDataFrame([(k, y, [int(v) for v in line]) for k, m in frames.items() for y, line in enumerate(m)], "f long, y long, v array<long>")
+    levels = [80, 120, 200]
+    nodes, _ = trees.component_tree(Scratch(spark, "t"), rows, KEYS, "v", levels)
+    got = {(r.f, r.level, r.component): r for r in nodes.collect()}
+    parts = {(k, t): brute_parts(m >= t, False) for k, m in frames.items() for t in levels}
+    assert set(got) == {(k, t, c) for (k, t), p in parts.items() for c in range(1, p.max() + 1)}
+    for (k, t, c), r in got.items():
+        inside = parts[k, t] == c
+        assert r.area == inside.sum() and r.peak == frames[k][inside].max()
+        assert r.base == parts[k, 80][inside].min() == parts[k, 80][inside].max()
+        assert r.parent == (None if t == 80 else parts[k, levels[levels.index(t) - 1]][r.y, r.x])
+    split = {(r.f, r.component): (r.level, r.cores, r.core_area) for r in trees.splits(nodes, KEYS, 100).collect()}
+    assert split[0, 1] == (120, 2, 512)

@@ -1,8 +1,10 @@
-import pandas as pd
+import random
+
 import pytest
 
-from parcelflow.operators.kernels import match, merge
-from parcelflow.plans import catalog
+from parcelflow.operators.greedy import first_independent, first_matching
+from parcelflow.plans import catalog, proposals
+from parcelflow.sources.scratch import Scratch
 from tests.same import rows_of, rows_of_sql
 
 DATA = "/root/testdata/sf0.001"
@@ -14,13 +16,15 @@ def test_rows_equal_those_of_the_sql(spark, name):
     assert rows_of(df) == rows_of_sql(catalog.SQL[name], DATA, df.columns)
 
 
-def _boxes(rows):
-    return pd.DataFrame(rows, columns=["proposal_id", "left", "top", "width", "height", "confidence_e3", "words"]).assign(pair_id=1, change_type="building")
+def _proposals(spark, rows):
+    names = "pair_id long, proposal_id long, left long, top long, width long, height long, confidence_e3 long, change_type string, before_text string, after_text string"
+    return spark.createDataFrame(rows, names)
 
 
-def test_overlapping_boxes_merge_and_adjacent_stay():
-    got = merge(_boxes([(1, 100, 100, 80, 60, 900, "shed built"), (2, 104, 102, 80, 60, 700, "shed built"), (3, 190, 100, 80, 60, 800, "shed built")]))
-    assert dict(zip(got.proposal_id, got.retained_id, strict=True)) == {1: 1, 3: 3, 2: 1}
+def test_overlapping_boxes_merge_and_adjacent_stay(spark):
+    rows = [(1, 1, 100, 100, 80, 60, 900, "shed built", "", ""), (1, 2, 104, 102, 80, 60, 700, "shed built", "", ""), (1, 3, 190, 100, 80, 60, 800, "shed built", "", ""), (2, 1, 100, 100, 80, 60, 900, "shed built", "", "")]
+    got = {(r.pair_id, r.proposal_id): r.retained_id for r in proposals.retained(_proposals(spark, rows)).collect()}
+    assert got == {(1, 1): 1, (1, 3): 3, (1, 2): 1, (2, 1): 1}
 
 
 def test_dedup_partitions_its_input(spark):
@@ -29,10 +33,31 @@ def test_dedup_partitions_its_input(spark):
     assert set(got.retained_id) == set(kept.proposal_id) and got.proposal_id.notna().all()
 
 
-def test_a_prediction_is_matched_once():
-    rows = pd.DataFrame({"pair_id": 1, "truth_id": [1, 1, 2], "found_id": [7, 8, 7], "share": [0.9, 0.2, 0.5]})
-    got = match(rows)
-    assert got.truth_id.tolist() == [1, 2] and got.found_id[0] == 7 and pd.isna(got.found_id[1])
+def test_greedy_choices_are_those_of_a_pass_in_order(spark):
+    rng = random.Random(2)
+    edges, wishes = set(), []
+    for key in range(12):
+        n = rng.choice([1, 3, 20, 60])
+        edges |= {(key, *sorted(rng.sample(range(n), 2))) for _ in range(3 * n) if n > 1}
+        edges |= {(99, k, k + 1) for k in range(40)}
+        for left in range(n):
+            for rank, right in enumerate(rng.sample(range(n), rng.randrange(1, min(n, 6) + 1))):
+                wishes.append((key, left, right, rank))
+    nodes = {(k, r) for k, a, b in edges for r in (a, b)} | {(7, 1000)}
+    want = {}
+    for k, r in sorted(nodes):
+        want[k, r] = min((a for key, a, b in edges if (key, b) == (k, r) and want[k, a] == a), default=r)
+    df = first_independent(Scratch(spark, "t"), spark.createDataFrame(list(nodes), "k long, r long"), spark.createDataFrame(list(edges), "k long, lo long, hi long"), ["k"])
+    assert {(r.k, r.r): r.into for r in df.collect()} == want
+    taken, hit = set(), {}
+    for key, left, right, _ in sorted(wishes, key=lambda w: (w[0], w[1], w[3])):
+        if hit.setdefault((key, left), None) is None and (key, right) not in taken:
+            hit[key, left] = right
+            taken.add((key, right))
+    df = first_matching(Scratch(spark, "t"), spark.createDataFrame(wishes, "k long, left long, right long, rank long"), ["k"])
+    assert {(r.k, r.left): r.right for r in df.collect()} == hit
+    none = spark.createDataFrame([], "k long, left long, right long, rank long")
+    assert first_matching(Scratch(spark, "t"), none, ["k"]).collect() == []
 
 
 def test_confusion_golden(spark):
