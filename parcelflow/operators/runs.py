@@ -163,3 +163,23 @@ def holes(scratch: Scratch, mask: DataFrame, frames: DataFrame, keys: list[str])
     at_edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width"))
     parts = labelled(scratch, empty.withColumn("_edge", at_edge).drop("width", "height"), keys, four=True)
     return parts.join(parts.where("_edge").select(*keys, "component").distinct(), [*keys, "component"], "left_anti").drop("_edge")
+
+
+def of_rings(rows: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """Runs of pixels (keys, y, x0, x1) whose centres lie in ring (unclosed, of x and y) by the even-odd rule, within a frame.
+
+    Each edge gives its crossing with the rows it passes; along a row crossings open and close runs in turn. The
+    cost grows with the rows that edges pass and not with the box's pixels; rings may be concave and cross
+    themselves; fewer than three points hold nothing. keys name a ring.
+    """
+    n = F.size("ring")
+    edge = F.transform("ring", lambda p, i: F.struct(p["x"].cast("double").alias("px"), p["y"].cast("double").alias("py"), F.get("ring", (i + 1) % n)["x"].cast("double").alias("qx"), F.get("ring", (i + 1) % n)["y"].cast("double").alias("qy")))
+    edges = rows.where(n >= 3).select(*keys, F.inline(edge)).where("py != qy")
+    first = F.greatest(F.lit(0).cast("long"), F.ceil(F.least("py", "qy") - 0.5))
+    past = F.least(F.lit(height).cast("long"), F.ceil(F.greatest("py", "qy") - 0.5))
+    met = edges.withColumn("_a", first).withColumn("_b", past).where("_a < _b").withColumn("y", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)))
+    at = (F.col("qx") - F.col("px")) * (F.col("y") + 0.5 - F.col("py")) / (F.col("qy") - F.col("py")) + F.col("px")
+    met = met.select(*keys, "y", F.least(F.greatest(F.ceil(at - 0.5), F.lit(0).cast("long")), F.lit(width).cast("long")).alias("x0"), at.alias("_x"))
+    line = Window.partitionBy(*keys, "y").orderBy("_x")
+    met = met.withColumn("_k", F.row_number().over(line)).withColumn("x1", F.lead("x0").over(line))
+    return met.where("_k % 2 = 1 and x0 < x1").select(*keys, "y", "x0", "x1")

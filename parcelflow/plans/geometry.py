@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import boxes as B
+from parcelflow.operators.runs import merged, of_rings, sweep
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 
@@ -131,18 +132,6 @@ def homography_project(spark: SparkSession, d: str) -> DataFrame:
     return T.parcels(spark, d).select("parcel_id", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
-@query("frontier_box_map", WITH + """
-SELECT pair_id, proposal_id, nx, nw, CASE WHEN nw < 1 THEN NULL ELSE floor(100 + nx * 0.8::DOUBLE)::BIGINT END AS native_left, CASE WHEN nw < 1 THEN NULL ELSE ceil(100 + (nx + nw) * 0.8::DOUBLE)::BIGINT - floor(100 + nx * 0.8::DOUBLE)::BIGINT END AS native_width
-FROM (SELECT *, least(1000 - nx, w) AS nw FROM (SELECT pair_id, proposal_id, least(1000, greatest(0, "left" * 3 - 200)) AS nx, width - 62 AS w FROM proposals))""")
-def frontier_box_map(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes in thousandths, clamped, then mapped to a frame of 800 pixels from 100 on; empty ones have no place."""
-    x = F.least(F.lit(1000), F.greatest(F.lit(0), F.col("left") * 3 - 200))
-    rows = T.proposals(spark, d).select("pair_id", "proposal_id", x.alias("nx"), (F.col("width") - 62).alias("w")).withColumn("nw", F.least(1000 - F.col("nx"), F.col("w"))).drop("w")
-    low, high = F.floor(100 + F.col("nx") * 0.8), F.ceil(100 + (F.col("nx") + F.col("nw")) * 0.8)
-    some = F.col("nw") >= 1
-    return rows.withColumn("native_left", F.when(some, low)).withColumn("native_width", F.when(some, high - low))
-
-
 @query("tile_layout", """
 WITH f AS (SELECT o_orderkey AS pair_id, 900 + o_orderkey % 1500 AS w, 700 + o_orderkey % 900 AS h FROM orders),
 x AS (SELECT DISTINCT pair_id, least(k * 614, greatest(0, w - 768)) AS tx FROM (SELECT *, unnest(range(0, CASE WHEN w > 768 THEN (w - 768 + 613) // 614 ELSE 0 END + 1)) AS k FROM f)),
@@ -167,13 +156,35 @@ s AS (SELECT parcel_key, 3 + parcel_key % 4 AS r, 10 + parcel_key % 5 AS cx FROM
 g AS (SELECT s.*, x, y FROM s, (SELECT unnest(range(0, 24)) AS x), (SELECT unnest(range(0, 24)) AS y))
 SELECT parcel_key, count(*) AS pixels, min(x) AS x0, max(y) AS y1 FROM g WHERE abs(x + 0.25 - cx) + abs(y + 0.5 - 10) < r GROUP BY 1""")
 def rasterize_polygon(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels whose centres lie in a diamond, by the even-odd rule over its bounding box only."""
+    """Pixels whose centres lie in a diamond, by the even-odd rule, row by row."""
     k = F.col("parcel_key")
     rows = T.parcels(spark, d).select(k, (3 + k % 4).cast("int").alias("r"), (10 + k % 5).cast("int").alias("cx"))
     ring = F.array(*(F.struct((F.col("cx") + a * F.col("r") + 0.25).alias("x"), (10 + b * F.col("r")).cast("double").alias("y")) for a, b in ((-1, 0), (0, -1), (1, 0), (0, 1))))
-    rows = rows.withColumn("ring", ring).withColumn("x", F.explode(F.sequence(F.col("cx") - F.col("r"), F.col("cx") + F.col("r")))).withColumn("y", F.explode(F.sequence(10 - F.col("r"), 10 + F.col("r"))))
-    hit = rows.where(B.inside(F.col("x") + 0.5, F.col("y") + 0.5, F.col("ring")))
-    return hit.groupBy("parcel_key").agg(F.count(F.lit(1)).alias("pixels"), F.min("x").alias("x0"), F.max("y").alias("y1"))
+    lines = of_rings(rows.select(k, ring.alias("ring")), ["parcel_key"], 24, 24)
+    return lines.groupBy("parcel_key").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.min("x0").alias("x0"), F.max("y").alias("y1"))
+
+
+#: Corners of a five-pointed star drawn in one stroke, which crosses itself, and of a concave arrow, in units of a radius.
+STAR, ARROW = ((0.0, -1.0), (0.59, 0.81), (-0.95, -0.31), (0.95, -0.31), (-0.59, 0.81)), ((-1.0, -0.9), (0.9, -1.0), (0.1, 0.2), (1.0, 0.9), (-0.8, 1.0))
+_CORNERS = lambda shape: "[" + ", ".join(f"{{'x': {x}::DOUBLE * r + cx, 'y': {y}::DOUBLE * r + 13.3::DOUBLE}}" for x, y in shape) + "]"
+
+
+@query("polygon_runs", WITH + f""",
+s AS (SELECT parcel_key, (5 + parcel_key % 9)::DOUBLE AS r, 14 + (parcel_key % 7) * 0.37::DOUBLE AS cx FROM parcels),
+g AS (SELECT parcel_key, CASE WHEN parcel_key % 2 = 0 THEN {_CORNERS(STAR)} ELSE {_CORNERS(ARROW)} END AS ring FROM s),
+e AS (SELECT parcel_key, ring[i] AS p, ring[i % 5 + 1] AS q FROM (SELECT *, unnest(range(1, 6)) AS i FROM g)),
+c AS (SELECT parcel_key, y, x, count(*) % 2 = 1 AS inside FROM e JOIN (SELECT unnest(range(28)) AS y) ON (p.y > y + 0.5) <> (q.y > y + 0.5) JOIN (SELECT unnest(range(28)) AS x) ON x + 0.5 < (q.x - p.x) * (y + 0.5 - p.y) / (q.y - p.y) + p.x GROUP BY 1, 2, 3),
+i AS (SELECT *, lag(x) OVER (PARTITION BY parcel_key, y ORDER BY x) AS before FROM c WHERE inside)
+SELECT parcel_key, y, count(*) AS pixels, count(*) FILTER (before IS NULL OR before < x - 1) AS runs, min(x) AS first, max(x) AS last FROM i GROUP BY 1, 2""")
+def polygon_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of concave and self-crossing polygons by the even-odd rule, from crossings of edges and rows."""
+    k = F.col("parcel_key")
+    r, cx = (5 + k % 9).cast("double"), 14 + (k % 7) * F.lit(0.37)
+    ring = lambda shape: F.array(*(F.struct((F.lit(x) * r + cx).alias("x"), (F.lit(y) * r + F.lit(13.3)).alias("y")) for x, y in shape))
+    rows = T.parcels(spark, d).select(k, F.when(k % 2 == 0, ring(STAR)).otherwise(ring(ARROW)).alias("ring"))
+    lines = of_rings(rows, ["parcel_key"], 28, 28).withColumn("y0", F.col("y")).withColumn("y1", F.col("y") + 1).withColumn("mask", F.lit("m"))
+    lines = merged(sweep(lines, ["parcel_key"], ["m"]), ["parcel_key"], F.col("m") > 0)
+    return lines.groupBy("parcel_key", F.col("y0").alias("y")).agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.count(F.lit(1)).alias("runs"), F.min("x0").alias("first"), (F.max("x1") - 1).alias("last"))
 
 
 @query("ranked_limit", WITH + """

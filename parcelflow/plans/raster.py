@@ -1,19 +1,19 @@
-"""Map algebra on planes in long form (pair, y, x, before, after): stencils as windows, zonal statistics, thresholds.
+"""Map algebra on pairs of planes: stencils on tiles, zonal statistics, components, thresholds.
 
-A pair of embeddings gives a pair of 8 x 8 planes; every window is partitioned by pair and row
-or column, so a plane's stencil never leaves its pair.
+A pair of embeddings gives a pair of square planes. Stencils run on tiles with halos and
+components on runs (operators/stencils.py and runs.py), so frames may have any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators import runs as R
+from parcelflow.operators import stencils as S
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 from parcelflow.sources.scratch import Scratch
-from parcelflow.sources.shipping import ship
 
 _PX = """
 e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
@@ -32,27 +32,22 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pair_id", F.floor(i / 8).alias("y"), (i % 8).cast("long").alias("x"), F.col("z.pa").alias("a"), F.col("z.pb").alias("b"), F.abs(F.col("z.pa") - F.col("z.pb")).alias("d"))
 
 
-def along(axis: str, low: int, high: int):
-    other = "y" if axis == "x" else "x"
-    return Window.partitionBy("pair_id", other).orderBy(axis).rowsBetween(low, high)
+KEY = ["pair_id"]
 
 
-def moving(rows: DataFrame, r: int, **wanted) -> DataFrame:
-    """Separable statistics (name=(function, column)) of the square of radius r, clipped at the edges.
+def tiled(spark: SparkSession, d: str, r: int, *planes_: str) -> DataFrame:
+    """Tiles of the named planes (a, b, d) with margins of r pixels."""
+    names = list(planes_)
+    return S.with_halo(S.tiles(planes(spark, d), KEY, names), KEY, names, r)
 
-    All go along rows first and then along columns, so there are two shuffles whatever their number.
-    """
-    rows = rows.withColumns({f"_{out}": how(c).over(along("x", -r, r)) for out, (how, c) in wanted.items()})
-    return rows.withColumns({out: how(f"_{out}").over(along("y", -r, r)) for out, (how, _) in wanted.items()}).drop(*(f"_{out}" for out in wanted))
 
+def dots(cut: DataFrame, **values: Column) -> DataFrame:
+    """A row for each pixel of tiles (pair_id, y, x, values), as results ask for it."""
+    return S.pixels(cut.select("pair_id", "ty", "tx", *(v.alias(n) for n, v in values.items())), KEY, list(values))
 
-def at_edge() -> F.Column:
-    """Whether a pixel lies at its plane's border, whatever the plane's size."""
-    gone = F.lit(False)
-    for axis in "xy":
-        line = Window.partitionBy("pair_id", "y" if axis == "x" else "x").orderBy(axis)
-        gone = gone | F.lag(axis).over(line).isNull() | F.lead(axis).over(line).isNull()
-    return gone
+
+def moving(c: str, r: int, fold, again=None) -> Column:
+    return S.moving(F.col(c), r, F.col("h"), F.col("w"), fold, again)
 
 
 def _square(r: int) -> str:
@@ -61,25 +56,47 @@ def _square(r: int) -> str:
 
 @query("box_mean", WITH + f" SELECT p.pair_id, p.y, p.x, floor(sum(n.d)::DOUBLE / count(*) + 0.5)::BIGINT AS mean {_square(2)}")
 def box_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = moving(pixels(spark, d).withColumn("one", F.lit(1)), 2, s=(F.sum, "d"), n=(F.sum, "one"))
+    rows = dots(tiled(spark, d, 2, "d"), s=moving("d", 2, S.total), n=moving("d", 2, S.present, S.total))
     return rows.select("pair_id", "y", "x", F.floor(F.col("s") / F.col("n") + 0.5).alias("mean"))
 
 
 @query("min_filter", WITH + f" SELECT p.pair_id, p.y, p.x, min(n.d) AS low, max(n.d) AS high {_square(1)}")
 def min_filter(spark: SparkSession, d: str) -> DataFrame:
-    return moving(pixels(spark, d), 1, low=(F.min, "d"), high=(F.max, "d")).select("pair_id", "y", "x", "low", "high")
+    return dots(tiled(spark, d, 1, "d"), low=moving("d", 1, F.array_min), high=moving("d", 1, F.array_max))
 
 
 @query("ssim", WITH + f"""
 SELECT pair_id, y, x, round((2 * sa * sb / n / n + 6.5025) * (2 * (sab / n - sa * sb / n / n) + 58.5225) / ((sa * sa / n / n + sb * sb / n / n + 6.5025) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225)), 5) AS ssim FROM (
   SELECT p.pair_id, p.y, p.x, count(*)::DOUBLE AS n, sum(n.a)::DOUBLE AS sa, sum(n.b)::DOUBLE AS sb, sum(n.a * n.a)::DOUBLE AS saa, sum(n.b * n.b)::DOUBLE AS sbb, sum(n.a * n.b)::DOUBLE AS sab {_square(2)})""")
 def ssim(spark: SparkSession, d: str) -> DataFrame:
-    """Structural similarity from five separable window sums."""
-    rows = pixels(spark, d).withColumn("one", F.lit(1)).withColumn("aa", F.expr("a * a")).withColumn("bb", F.expr("b * b")).withColumn("ab", F.expr("a * b"))
-    rows = moving(rows, 2, **{out: (F.sum, c) for c, out in (("one", "n"), ("a", "sa"), ("b", "sb"), ("aa", "saa"), ("bb", "sbb"), ("ab", "sab"))})
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("n", "sa", "sb", "saa", "sbb", "sab")})
-    value = F.expr("(2 * sa * sb / n / n + 6.5025D) * (2 * (sab / n - sa * sb / n / n) + 58.5225D) / ((sa * sa / n / n + sb * sb / n / n + 6.5025D) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225D))")
-    return rows.select("pair_id", "y", "x", F.round(value, 5).alias("ssim"))
+    """Structural similarity from five separable window sums, clipped at the frame's edge."""
+    cut = tiled(spark, d, 2, "a", "b")
+    product = lambda p, q: F.zip_with(p, q, lambda u, v: F.zip_with(u, v, lambda x, y: x * y))
+    cut = cut.withColumns({"aa": product("a", "a"), "bb": product("b", "b"), "ab": product("a", "b")})
+    rows = dots(cut, n=moving("a", 2, S.present, S.total), **{f"s{c}": moving(c, 2, S.total) for c in ("a", "b", "aa", "bb", "ab")})
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("n", "sa", "sb", "saa", "sbb", "sab")}).select("pair_id", "y", "x", F.round(similarity(), 5).alias("ssim"))
+
+
+def similarity() -> Column:
+    """SSIM of a window from its sums n, sa, sb, saa, sbb, sab."""
+    return F.expr("(2 * sa * sb / n / n + 6.5025D) * (2 * (sab / n - sa * sb / n / n) + 58.5225D) / ((sa * sa / n / n + sb * sb / n / n + 6.5025D) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225D))")
+
+
+@query("masked_ssim", WITH + f"""
+SELECT pair_id, y, x, round((2 * sa * sb / n / n + 6.5025) * (2 * (sab / n - sa * sb / n / n) + 58.5225) / ((sa * sa / n / n + sb * sb / n / n + 6.5025) * (saa / n - sa * sa / n / n + sbb / n - sb * sb / n / n + 58.5225)), 5) AS ssim FROM (
+  SELECT p.pair_id, p.y, p.x, count(*)::DOUBLE AS n, sum(n.a)::DOUBLE AS sa, sum(n.b)::DOUBLE AS sb, sum(n.a * n.a)::DOUBLE AS saa, sum(n.b * n.b)::DOUBLE AS sbb, sum(n.a * n.b)::DOUBLE AS sab
+  FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 2 AND p.y + 2 AND n.x BETWEEN p.x - 2 AND p.x + 2 AND n.a > 96 WHERE p.a > 96 GROUP BY ALL)""")
+def masked_ssim(spark: SparkSession, d: str, valid: int = 96) -> DataFrame:
+    """Structural similarity over valid pixels only (here: bright ones of the earlier plane)."""
+    keep = lambda p: F.zip_with("a", p, lambda u, v: F.zip_with(u, v, lambda x, y: F.when(x > valid, y)))
+    cut = tiled(spark, d, 2, "a", "b")
+    cut = cut.withColumns({"va": keep("a"), "vb": keep("b")})
+    product = lambda p, q: F.zip_with(p, q, lambda u, v: F.zip_with(u, v, lambda x, y: x * y))
+    cut = cut.withColumns({"vaa": product("va", "va"), "vbb": product("vb", "vb"), "vab": product("va", "vb")})
+    own = S.core(F.col("va"), 2, F.col("h"), F.col("w"))
+    rows = dots(cut, own=own, n=moving("va", 2, S.present, S.total), **{f"s{c}": moving(f"v{c}", 2, S.total) for c in ("a", "b", "aa", "bb", "ab")})
+    rows = rows.where("own is not null").withColumns({c: F.col(c).cast("double") for c in ("n", "sa", "sb", "saa", "sbb", "sab")})
+    return rows.select("pair_id", "y", "x", F.round(similarity(), 5).alias("ssim"))
 
 
 _GRAD = """
@@ -88,34 +105,24 @@ g AS (SELECT *, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE least(255, floo
   FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 1 AND p.y + 1 AND n.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY ALL))"""
 
 
-def with_gradient(rows: DataFrame) -> DataFrame:
-    """Sobel magnitude of the earlier plane: smoothed across, differenced along; 0 at the border."""
-    rows = rows.withColumn("_sx", F.sum("a").over(along("x", -1, 1)) + F.col("a")).withColumn("_sy", F.sum("a").over(along("y", -1, 1)) + F.col("a"))
-    at = lambda axis: Window.partitionBy("pair_id", "y" if axis == "x" else "x").orderBy(axis)
-    gx = F.lead("_sy").over(at("x")) - F.lag("_sy").over(at("x"))
-    gy = F.lead("_sx").over(at("y")) - F.lag("_sx").over(at("y"))
-    rows = rows.withColumn("_edge", at_edge()).withColumn("_gx", gx.cast("double")).withColumn("_gy", gy.cast("double"))
-    size = F.floor(F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy")) / 4 + 0.5)
-    return rows.withColumn("grad", F.when(F.col("_edge"), F.lit(0).cast("long")).otherwise(F.least(F.lit(255), size).cast("long"))).drop("_sx", "_sy", "_gx", "_gy", "_edge")
+def with_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels (pair_id, y, x, a, b, d) with grad, the Sobel magnitude of the earlier plane; 0 at the border."""
+    inner = lambda c: S.core(F.col(c), 1, F.col("h"), F.col("w"))
+    return dots(tiled(spark, d, 1, "a", "b", "d"), a=inner("a"), b=inner("b"), d=inner("d"), grad=S.sobel(F.col("a"), F.col("h"), F.col("w")))
 
 
 @query("gray_gradient", WITH + "," + _GRAD + " SELECT pair_id, y, x, grad FROM g")
 def gray_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return with_gradient(pixels(spark, d)).select("pair_id", "y", "x", "grad")
+    return dots(tiled(spark, d, 1, "a"), grad=S.sobel(F.col("a"), F.col("h"), F.col("w")))
 
 
 @query("color_residual", WITH + """,
 m AS (SELECT p.pair_id, p.y, p.x, min(abs(p.a - n.b)) AS ab, min(abs(p.b - n.a)) AS ba FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 1 AND p.y + 1 AND n.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY ALL)
 SELECT pair_id, y, x, floor(0.6::DOUBLE * greatest(ab, ba) + 0.4::DOUBLE * ((ab + ba) / 2.0::DOUBLE) + 0.5)::BIGINT AS residual FROM m""")
 def color_residual(spark: SparkSession, d: str) -> DataFrame:
-    """Least difference within one pixel, both ways: shifted arrays of neighbours by windows, no join."""
-    rows = pixels(spark, d)
-    x, y = Window.partitionBy("pair_id", "y").orderBy("x"), Window.partitionBy("pair_id", "x").orderBy("y")
-    for c in "ab":
-        rows = rows.withColumn(f"_{c}", F.array(F.lag(c).over(x), F.col(c), F.lead(c).over(x)))
-        rows = rows.withColumn(f"_{c}", F.concat(F.coalesce(F.lag(f"_{c}").over(y), F.array().cast("array<long>")), F.col(f"_{c}"), F.coalesce(F.lead(f"_{c}").over(y), F.array().cast("array<long>"))))
-    least = lambda v, n: F.array_min(F.transform(F.array_compact(n), lambda u: F.abs(F.col(v) - u)))
-    rows = rows.withColumn("ab", least("a", "_b")).withColumn("ba", least("b", "_a"))
+    """Least difference within one pixel, both ways."""
+    near = lambda p, q: S.nearest(F.col(p), F.col(q), F.col("h"), F.col("w"))
+    rows = dots(tiled(spark, d, 1, "a", "b"), ab=near("a", "b"), ba=near("b", "a"))
     return rows.select("pair_id", "y", "x", F.floor(0.6 * F.greatest("ab", "ba") + 0.4 * ((F.col("ab") + F.col("ba")) / 2) + 0.5).alias("residual"))
 
 
@@ -126,7 +133,7 @@ v AS (SELECT *, CASE WHEN c < 0.18 AND s < 0.22 THEN p * 0.18 WHEN t > 0.55 AND
 SELECT pair_id, y, x, floor(255 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN m >= 0.28 AND s >= 0.18 THEN greatest(r, m * (0.42 + 0.28) + 0.12 * s + 0.04 * t) ELSE r END)) + 0.5)::BIGINT AS score FROM v""")
 def evidence_score(spark: SparkSession, d: str) -> DataFrame:
     """Colour, structure and edges fused; weak pairs damped, removed structures raised."""
-    rows = with_gradient(pixels(spark, d)).select(
+    rows = with_gradient(spark, d).select(
         "pair_id", "y", "x", F.least(F.lit(1.0), F.col("d") / 64.0).alias("c"), (F.least(F.lit(255), F.col("d") * 2) / 255.0).alias("s"), F.least(F.lit(1.0), F.col("grad") / 96.0).alias("t"), (F.floor(F.col("d") / 2) / 255.0).alias("m")
     )
     c, s, t, m = (F.col(k) for k in "cstm")
@@ -227,10 +234,13 @@ cl AS (SELECT p.pair_id, p.y, p.x, CASE WHEN count(*) = 9 THEN min(n.v) ELSE 0 E
 SELECT m.pair_id, sum(m.v)::BIGINT AS mask, sum(op.v)::BIGINT AS opened, sum(cl.v)::BIGINT AS closed FROM m JOIN op USING (pair_id, y, x) JOIN cl USING (pair_id, y, x) GROUP BY 1""")
 def morphology(spark: SparkSession, d: str) -> DataFrame:
     """Opening and closing with the full 3 x 3 element; what lies outside the image is unset."""
-    rows = pixels(spark, d).withColumn("v", (F.col("d") >= 40).cast("int")).withColumn("inner", (~at_edge()).cast("int"))
-    rows = moving(rows, 1, e=(F.min, "v"), g=(F.max, "v")).withColumn("e", F.col("e") * F.col("inner"))
-    rows = moving(rows, 1, opened=(F.max, "e"), closed=(F.min, "g")).withColumn("closed", F.col("closed") * F.col("inner"))
-    return rows.groupBy("pair_id").agg(*(F.sum(c).alias(n) for c, n in (("v", "mask"), ("opened", "opened"), ("closed", "closed"))))
+    h, w, m = F.col("h"), F.col("w"), F.col("m")
+    bits = F.transform("d", lambda row: F.transform(row, lambda v: (v >= 40).cast("int")))
+    cut = tiled(spark, d, 2, "d").withColumn("m", bits).withColumn("e", S.eroded(m, h + 2, w + 2)).withColumn("g", S.dilated(m, h + 2, w + 2))
+    count = lambda plane: F.aggregate(plane, F.lit(0).cast("long"), lambda s, row: s + S.total(row))
+    inner = S.core(m, 2, h, w)
+    cut = cut.select("pair_id", count(inner).alias("mask"), count(S.dilated(F.col("e"), h, w)).alias("opened"), count(S.eroded(F.col("g"), h, w)).alias("closed"))
+    return cut.groupBy("pair_id").agg(*(F.sum(c).alias(c) for c in ("mask", "opened", "closed")))
 
 
 def planes(spark: SparkSession, d: str) -> DataFrame:
@@ -323,10 +333,11 @@ SELECT p.pair_id, p.y, p.x, floor(sum(n.d)::DOUBLE / greatest(1, count(n.d)) + 0
 FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 2 AND p.y + 2 AND n.x BETWEEN p.x - 2 AND p.x + 2 AND n.a > 110 WHERE p.a > 110 GROUP BY 1, 2, 3""")
 def masked_mean(spark: SparkSession, d: str) -> DataFrame:
     """Means over valid neighbours (here: a > 110) of valid pixels."""
-    valid = F.col("a") > 110
-    rows = pixels(spark, d).withColumn("v", F.when(valid, F.col("d")).otherwise(0)).withColumn("one", valid.cast("int"))
-    rows = moving(rows, 2, s=(F.sum, "v"), n=(F.sum, "one"))
-    return rows.where(valid).select("pair_id", "y", "x", F.floor(F.col("s") / F.greatest(F.lit(1), F.col("n")) + 0.5).alias("mean"))
+    kept = F.zip_with("a", "d", lambda u, v: F.zip_with(u, v, lambda x, y: F.when(x > 110, y)))
+    cut = tiled(spark, d, 2, "a", "d").withColumn("v", kept)
+    own = S.core(F.col("v"), 2, F.col("h"), F.col("w"))
+    rows = dots(cut, own=own, s=moving("v", 2, S.total), n=moving("v", 2, S.present, S.total)).where("own is not null")
+    return rows.select("pair_id", "y", "x", F.floor(F.col("s") / F.greatest(F.lit(1), F.col("n")) + 0.5).alias("mean"))
 
 
 def _lines(axis: str) -> str:
@@ -338,7 +349,7 @@ r AS (SELECT * FROM {_lines('x')} UNION ALL SELECT * FROM {_lines('y')})
 SELECT pair_id, axis, min(i) AS first, max(i) + 1 AS past, count(*) AS n FROM r GROUP BY pair_id, axis, k HAVING count(*) BETWEEN 2 AND 3 AND (min(i) = 0 OR max(i) = 7)""")
 def overlay_bands(spark: SparkSession, d: str) -> DataFrame:
     """Flat changed bands at the border: runs of rows or columns that reach it, of a plausible thickness."""
-    rows = with_gradient(pixels(spark, d))
+    rows = with_gradient(spark, d)
     out = None
     for axis in "xy":
         size = F.max(axis).over(Window.partitionBy("pair_id")) + 1
@@ -362,21 +373,9 @@ def transformed_residual(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT p.pair_id, p.y, p.x, min(abs(p.a - n.b)) AS ab, min(abs(p.b - n.a)) AS ba FROM px p JOIN px n ON n.pair_id = p.pair_id AND n.y BETWEEN p.y - 1 AND p.y + 1 AND n.x BETWEEN p.x - 1 AND p.x + 1 AND n.a > 96 WHERE p.a > 96 GROUP BY ALL)
 SELECT pair_id, y, x, floor(0.6::DOUBLE * greatest(ab, ba) + 0.2::DOUBLE * (ab + ba) + 0.5)::BIGINT AS residual FROM m""")
 def plane_residual(spark: SparkSession, d: str) -> DataFrame:
-    """Symmetric residual of planes by the detector's kernel, a pair's planes as arrays; only valid pixels (a > 96) count."""
-    ship(spark)
-
-    def kernel(pdf):
-        import numpy as np
-        import pandas as pd
-
-        from parcelflow.operators.evidence import symmetric
-
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        a, b = np.zeros((h, w), np.int64), np.zeros((h, w), np.int64)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        a[y, x], b[y, x] = pdf["a"], pdf["b"]
-        valid = a > 96
-        y, x = np.nonzero(valid)
-        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "y": y, "x": x, "residual": symmetric(a, b, valid, 1)[y, x].astype(np.int64)})
-
-    return pixels(spark, d).groupBy("pair_id").applyInPandas(kernel, "pair_id long, y long, x long, residual long")
+    """Symmetric residual of planes; only valid pixels (a > 96) count, on either side."""
+    keep = lambda p: F.zip_with("a", p, lambda u, v: F.zip_with(u, v, lambda x, y: F.when(x > 96, y)))
+    cut = tiled(spark, d, 1, "a", "b").withColumns({"va": keep("a"), "vb": keep("b")})
+    near = lambda p, q: S.nearest(F.col(p), F.col(q), F.col("h"), F.col("w"))
+    rows = dots(cut, ab=near("va", "vb"), ba=near("vb", "va")).where("ab is not null and ba is not null")
+    return rows.select("pair_id", "y", "x", F.floor(0.6 * F.greatest("ab", "ba") + 0.2 * (F.col("ab") + F.col("ba")) + 0.5).alias("residual"))

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.functions.overlays import placeholder
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 
@@ -266,16 +265,6 @@ def json_response(spark: SparkSession, d: str) -> DataFrame:
     return T.alerts(spark, d).where("status = 'NEW'").select("alert_key", F.to_json(F.struct("alert_key", "type", "status")).alias("body"))
 
 
-@query("demo_parcels", """
-SELECT i AS n, printf('BL-%03d', i) AS parcel_id, 120 + i AS lot, 1 + i % 4 AS sheet, 180 + 23 * i AS area_m2, (i % 6 - 3) * 21 AS lat_e4, (i // 6 - 2) * 22 AS lng_e4 FROM (SELECT unnest(range(1, 31)) AS i)""")
-def demo_parcels(spark: SparkSession, d: str) -> DataFrame:
-    """Demo data by modular arithmetic over a range."""
-    i = F.col("n")
-    return spark.range(1, 31).select(F.col("id").alias("n")).select(
-        "n", F.format_string("BL-%03d", i).alias("parcel_id"), (120 + i).alias("lot"), (1 + i % 4).alias("sheet"), (180 + 23 * i).alias("area_m2"), ((i % 6 - 3) * 21).alias("lat_e4"), ((F.floor(i / 6) - 2) * 22).alias("lng_e4")
-    )
-
-
 @query("group_count_map", WITH + "SELECT status, to_json(map_from_entries(list((type, n) ORDER BY type))) AS counts FROM (SELECT status, type, count(*) AS n FROM alerts GROUP BY 1, 2) GROUP BY 1")
 def group_count_map(spark: SparkSession, d: str) -> DataFrame:
     rows = T.alerts(spark, d).groupBy("status", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -310,39 +299,3 @@ def analysis_writeback(spark: SparkSession, d: str) -> DataFrame:
     notes = T.notes(spark, d).select("alert_key").unionByName(fresh.select("alert_key")).groupBy("alert_key").agg(F.count(F.lit(1)).alias("notes"))
     rows = base.join(result, "alert_key", "left").join(fresh, "alert_key", "left").join(notes, "alert_key", "left")
     return rows.select("alert_key", F.when(F.col("regions").isNotNull(), "UNDER_REVIEW").otherwise(F.col("status")).alias("status"), F.coalesce("confidence", "confidence_pct").alias("confidence_pct"), F.coalesce("notes", F.lit(0)).alias("notes"), "note")
-
-
-@query("demo_alerts", """
-SELECT i AS n, ['NEW_BUILDING', 'EXPANDED_BUILDING', 'POSSIBLE_ILLEGAL_CONSTRUCTION', 'LAND_USE_CHANGE', 'ROAD_CHANGE', 'WATER_CANAL_ENCROACHMENT'][i % 6 + 1] AS type, ['NEW', 'UNDER_REVIEW', 'FIELD_INSPECTION', 'RESOLVED'][i % 4 + 1] AS status, 72 + (i % 5) * 5 AS confidence_pct,
-  printf('BL-%03d', 2 * i + 1) AS parcel_id, make_date(2026, (i % 6 + 1)::INT, (5 + i)::INT)::VARCHAR AS detected_on FROM (SELECT unnest(range(10)) AS i)""")
-def demo_alerts(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("n")
-    return spark.range(10).select(F.col("id").alias("n")).select(
-        "n", T.pick(T.ALERT_TYPES, i % 6).alias("type"), T.pick(T.ALERT_STATUSES, i % 4).alias("status"), (72 + (i % 5) * 5).alias("confidence_pct"), F.format_string("BL-%03d", 2 * i + 1).alias("parcel_id"),
-        F.make_date(F.lit(2026), (i % 6 + 1).cast("int"), (5 + i).cast("int")).cast("string").alias("detected_on"),
-    )
-
-
-@query("demo_buildings", "SELECT i AS n, printf('BL-%03d', i + 1) AS parcel_id, 1 + i % 4 AS floors, 55 + 4 * i AS footprint_m2 FROM (SELECT unnest(range(20)) AS i)")
-def demo_buildings(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("n")
-    return spark.range(20).select(F.col("id").alias("n")).select("n", F.format_string("BL-%03d", i + 1).alias("parcel_id"), (1 + i % 4).alias("floors"), (55 + 4 * i).alias("footprint_m2"))
-
-
-@query("demo_images", """
-SELECT i AS alert, kind, make_date(2026, (i % 6 + 1)::INT, CASE kind WHEN 'before' THEN 1 ELSE 12 END)::VARCHAR AS captured_on, true AS drawn FROM (SELECT unnest(range(10)) AS i), (SELECT unnest(['before', 'after']) AS kind)""")
-def demo_images(spark: SparkSession, d: str) -> DataFrame:
-    """Two placeholder drawings for each demo alert."""
-    rows = demo_alerts(spark, d).select(F.col("n").alias("alert"), "type", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("kind"))
-    image = placeholder(F.concat_ws(" ", "type", "kind"), F.col("kind") == "after")
-    day = F.when(F.col("kind") == "before", 1).otherwise(12)
-    return rows.select("alert", "kind", F.make_date(F.lit(2026), (F.col("alert") % 6 + 1).cast("int"), day).cast("string").alias("captured_on"), image.startswith("data:image/svg+xml").alias("drawn"))
-
-
-@query("demo_people", """
-SELECT 'department' AS kind, i AS n, NULL::BIGINT AS department FROM (SELECT unnest(range(4)) AS i) UNION ALL SELECT 'inspector', i, i % 4 FROM (SELECT unnest(range(5)) AS i) UNION ALL SELECT 'user', 0, NULL UNION ALL SELECT 'note', i, NULL FROM (SELECT unnest(range(10)) AS i)""")
-def demo_people(spark: SparkSession, d: str) -> DataFrame:
-    """Departments, inspectors (dealt over the departments), the user, and a note for each alert."""
-    some = lambda kind, n, department: spark.range(n).select(F.lit(kind).alias("kind"), F.col("id").alias("n"), department.cast("long").alias("department"))
-    none = F.lit(None)
-    return some("department", 4, none).unionByName(some("inspector", 5, F.col("id") % 4)).unionByName(some("user", 1, none)).unionByName(some("note", 10, none))

@@ -229,14 +229,6 @@ def newest_alert(spark: SparkSession, d: str) -> DataFrame:
     return T.alerts(spark, d).select("alert_key", "type", "detected_at").orderBy(F.desc("detected_at"), "alert_key").limit(1)
 
 
-@query("closest_matches", """
-SELECT l_orderkey AS pair_id, l_partkey, l_suppkey, l_linenumber, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r <= 700""")
-def closest_matches(spark: SparkSession, d: str, most: int = 700) -> DataFrame:
-    """The matches of least distance (here: price) of each pair, so many at most."""
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber"))
-    return T.read(spark, d, "lineitem").withColumn("place", at).where(F.col("place") <= most).select(F.col("l_orderkey").alias("pair_id"), "l_partkey", "l_suppkey", "l_linenumber", "place")
-
-
 @query("largest_shape", geometry.WITH + """
 SELECT pair_id, proposal_id, area FROM (SELECT pair_id, proposal_id, width * height AS area, row_number() OVER (PARTITION BY pair_id ORDER BY width * height DESC, proposal_id) AS r FROM proposals) WHERE r = 1""")
 def largest_shape(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +260,7 @@ def threshold_exclusions(spark: SparkSession, d: str) -> DataFrame:
         F.when(c("y") == 0, "ui_or_viewport").when(c("a") < 40, "invalid_overlap").when(c("grad") > 38, "strong_gradient").when(c("b") > 200, "registration_residual").when(c("d") >= 90, "provisional_change")
         .when(c("d") >= 70, "structural_change").when(c("d") > 54, "color_change").otherwise("stable")
     )
-    return with_gradient(pixels(spark, d)).groupBy("pair_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return with_gradient(spark, d).groupBy("pair_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("mask_percentages", WITH + "," + _GRAD + """
@@ -278,7 +270,7 @@ def mask_percentages(spark: SparkSession, d: str) -> DataFrame:
     """Shares of seeds and of edges without colour, and how much of a box is set."""
     c = F.col
     box = c("x").between(2, 5) & c("y").between(1, 6)
-    return with_gradient(pixels(spark, d)).groupBy("pair_id").agg(
+    return with_gradient(spark, d).groupBy("pair_id").agg(
         F.round(F.count_if(c("d") >= 110) * 100.0 / F.greatest(F.lit(1), F.count(F.lit(1))), 3).alias("high_seed_pct"), F.round(F.count_if((c("grad") > 0) & (c("d") < 44)) / F.greatest(F.lit(1), F.count(F.lit(1))), 3).alias("edge_only_share"),
         F.round(F.count_if(box & (c("d") > 0)) / 24.0, 3).alias("box_coverage"),
     )
@@ -330,8 +322,8 @@ def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "pages").select("page_id", F.coalesce((F.length(url) > 0) & ~url.startswith("data:image/svg+xml"), F.lit(False)).alias("evidence"))
 
 
-@query("default_month", "SELECT count(*) AS events, count(*) FILTER (strftime(ts, '%Y-%m') = strftime(now()::TIMESTAMP, '%Y-%m')) AS this_month FROM events")
-def default_month(spark: SparkSession, d: str, month: str | None = None) -> DataFrame:
-    """Rows of a month, by default the present one in UTC."""
-    this = F.lit(month) if month else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM")
-    return T.read(spark, d, "events").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.date_format("ts", "yyyy-MM") == this).alias("this_month"))
+@query("default_month", "SELECT count(*) AS alerts, count(*) FILTER (strftime(o_orderdate, '%Y-%m') = '1996-03') AS this_month FROM orders")
+def default_month(spark: SparkSession, d: str, day: str = "1996-03-31") -> DataFrame:
+    """Alerts of the month in which day lies; a caller passes the present day."""
+    same = F.date_format("detected_at", "yyyy-MM") == F.date_format(F.lit(day).cast("date"), "yyyy-MM")
+    return T.alerts(spark, d).agg(F.count(F.lit(1)).alias("alerts"), F.count_if(same).alias("this_month"))

@@ -6,6 +6,8 @@ projection, a join or a fold per pair of images.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +156,8 @@ def adaptive(rows: DataFrame) -> DataFrame:
     """rows (w, h) with the tiles' size, nx and ny: grown by a fifth until there are few enough tiles, or the tile is the frame."""
     side = F.greatest("w", "h")
     grow = lambda a, _: F.concat(a, F.array(F.least(side, F.ceil(F.element_at(a, -1) * GROWTH))))
-    sizes = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.array(F.least(F.greatest(F.lit(TILE).cast("long"), F.lit(LEAST_TILE)), side)), grow)
+    steps = F.greatest(F.lit(1), F.ceil(F.log(side / LEAST_TILE) / math.log(GROWTH)).cast("int") + 1)  # a tile grown so often is the frame
+    sizes = F.aggregate(F.sequence(F.lit(1), steps), F.array(F.least(F.greatest(F.lit(TILE).cast("long"), F.lit(LEAST_TILE)), side)), grow)
     few = lambda s: (on_axis(F.col("w"), s) * on_axis(F.col("h"), s) <= MAX_TILES) | (s >= side)
     rows = rows.withColumn("size", F.element_at(F.filter(sizes, few), 1))
     return rows.withColumn("nx", on_axis(F.col("w"), F.col("size"))).withColumn("ny", on_axis(F.col("h"), F.col("size")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.functions import boxes as B
+from parcelflow.operators.runs import of_rings
 
 _AREA = "id: string, reason: string, polygon: array<array<double>>, maskPath: string"
 SCHEMA = (
@@ -44,9 +44,6 @@ def region_ring(polygon, left, top, width, height):
 
 
 def rasterized(rows: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """keys, y, x of pixels whose centres lie in ring (x, y); over its bounding box only. Fewer than three points hold nothing."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v, size: F.sequence(F.greatest(F.lit(0), F.floor(F.array_min(v)).cast("int")), F.least(F.lit(size - 1), F.ceil(F.array_max(v)).cast("int")))
-    inside = (F.array_min(xs) < width) & (F.array_max(xs) >= 0) & (F.array_min(ys) < height) & (F.array_max(ys) >= 0)
-    some = rows.where((F.size("ring") >= 3) & inside).select(*keys, "ring", F.explode(span(xs, width)).alias("x"), span(ys, height).alias("_y"))
-    return some.select(*keys, "ring", "x", F.explode("_y").alias("y")).where(B.inside(F.col("x") + 0.5, F.col("y") + 0.5, F.col("ring"))).select(*keys, "y", "x")
+    """keys, y, x of pixels whose centres lie in ring (x, y), row by row from its edges; fewer than three points hold nothing. keys name a ring."""
+    lines = of_rings(rows, keys, width, height)
+    return lines.select(*keys, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The entities in the order in which they can be emptied, and half the side of a default parcel in degrees.
@@ -44,17 +44,54 @@ def with_default_polygon(parcels: DataFrame) -> DataFrame:
     return parcels.withColumn("polygon", F.coalesce("polygon", ring))
 
 
-def insert_parcels(parcels: DataFrame, path: str) -> DataFrame:
-    """Appends valid rows (parcel_id, owner_name, area_m2, lat, lng, polygon) that are new by parcel_id; returns those refused, with errors."""
+BUCKETS = 16
+
+
+def write_batch(rows: DataFrame, key: str, path: str, batch: str) -> None:
+    """Writes the rows of one batch below path, in folders by batch and bucket of the key.
+
+    Only this batch's folders are overwritten, so a rerun of a failed or repeated job leaves no row
+    twice, and nothing that other batches have written is touched. Buckets of the batch that no
+    longer have rows are left as they were: a batch's name stands for its input.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+    out = rows.withColumn("batch", F.lit(batch)).withColumn("bucket", bucket)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(path)
+
+
+def winners(rows: DataFrame, key: str, newest: bool) -> DataFrame:
+    """One row of each key: that of the first batch (or the newest), of equals the one whose columns come first in order."""
+    own = [c for c in rows.columns if c not in ("batch", "bucket")]
+    best = F.col("batch").desc() if newest else F.col("batch").asc()
+    told = [F.to_json(F.struct(*own)).asc()]
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(best, *told))).where("_r = 1").select(*own)
+
+
+def stored(spark: SparkSession, path: str, like: str, key: str, newest: bool = False) -> DataFrame:
+    """The stored rows (schema: like), one of each key: the first batch's (inserts) or the newest's (patches, write-backs)."""
+    return winners(stored_table(spark, path, spark.createDataFrame([], f"{like}, batch string, bucket int")), key, newest)
+
+
+def upsert(rows: DataFrame, key: str, path: str, batch: str) -> None:
+    """Rows that replace those of their key from earlier batches (by name) when they are read with newest; of two rows of one key the first in order."""
+    write_batch(winners(rows.withColumn("batch", F.lit(batch)), key, True), key, path, batch)
+
+
+def insert_parcels(parcels: DataFrame, path: str, batch: str = "0") -> DataFrame:
+    """Inserts valid rows (parcel_id, owner_name, area_m2, lat, lng, polygon) that are new by parcel_id; returns those refused, with errors.
+
+    Of several rows of one parcel_id the first in the order of all columns is taken; batches count in the
+    order of their names. Inserting a batch again changes nothing.
+    """
     spark = parcels.sparkSession
     rules = {
         "parcel_id": F.coalesce(F.length(F.trim("parcel_id")), F.lit(0)) > 0, "owner_name": F.coalesce(F.length(F.trim("owner_name")), F.lit(0)) > 0, "area_m2": F.coalesce(F.col("area_m2") > 0, F.lit(False)),
         "lat": F.coalesce(F.col("lat").between(-90, 90), F.lit(False)), "lng": F.coalesce(F.col("lng").between(-180, 180), F.lit(False)),
     }
     rows = with_default_polygon(parcels).withColumn("errors", F.array_compact(F.array(*(F.when(~ok, F.lit(k)) for k, ok in rules.items()))))
-    good = rows.where(F.size("errors") == 0).drop("errors").dropDuplicates(["parcel_id"])
-    stored = stored_table(spark, path, good)
-    good.join(stored.select("parcel_id"), "parcel_id", "left_anti").select(*good.columns).write.mode("append").parquet(path)
+    good = winners(rows.where(F.size("errors") == 0).drop("errors").withColumn("batch", F.lit(batch)), "parcel_id", False)
+    known = stored_table(spark, path, good.withColumn("batch", F.lit("")).withColumn("bucket", F.lit(0)))
+    write_batch(good.join(known.where(F.col("batch") != batch).select("parcel_id").distinct(), "parcel_id", "left_anti").select(*good.columns), "parcel_id", path, batch)
     return rows.where(F.size("errors") > 0)
 
 

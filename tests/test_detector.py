@@ -315,6 +315,16 @@ def test_sinks(spark, tmp_path):
     bad = sinks.insert_parcels(new, f"file://{tmp_path}/parcels")
     assert [(r.parcel_id, r.errors) for r in bad.collect()] == [("p2", ["owner_name", "lng"])]
     sinks.insert_parcels(new, f"file://{tmp_path}/parcels")
-    stored = spark.read.parquet(f"file://{tmp_path}/parcels").collect()
-    assert len(stored) == 1 and stored[0].polygon[0].lat == pytest.approx(10 - 0.00035) and len(stored[0].polygon) == 4
+    assert spark.read.parquet(f"file://{tmp_path}/parcels").count() == 1
+    later = spark.createDataFrame([("p1", "other", 9.0, 1.0, 2.0, None), ("p3", "z", 5.0, 1.0, 2.0, None), ("p3", "a", 7.0, 1.0, 2.0, None)], kind)
+    for _ in range(2):
+        sinks.insert_parcels(later, f"file://{tmp_path}/parcels", "1")
+    stored = sorted(sinks.stored(spark, f"file://{tmp_path}/parcels", kind, "parcel_id").collect())
+    assert [(r.parcel_id, r.owner_name) for r in stored] == [("p1", "o"), ("p3", "a")] and spark.read.parquet(f"file://{tmp_path}/parcels").count() == 2
+    patch = lambda *rows: spark.createDataFrame(list(rows), "id long, status string")
+    for batch, rows in (("a", [(1, "NEW"), (2, "NEW")]), ("b", [(1, "RESOLVED"), (1, "NEW")]), ("b", [(1, "RESOLVED"), (1, "NEW")])):
+        sinks.upsert(patch(*rows), "id", f"file://{tmp_path}/status", batch)
+    got = sinks.stored(spark, f"file://{tmp_path}/status", "id long, status string", "id", newest=True)
+    assert sorted(map(tuple, got.collect())) == [(1, "NEW"), (2, "NEW")] and spark.read.parquet(f"file://{tmp_path}/status").count() == 3
+    assert len(stored) == 2 and stored[0].polygon[0].lat == pytest.approx(10 - 0.00035) and len(stored[0].polygon) == 4
     assert sinks.truncate(spark, f"file://{tmp_path}/db", {"parcels": kind, "alerts": "id long"}) == ["alerts", "parcels"] and spark.read.parquet(f"file://{tmp_path}/db/parcels").count() == 0
