@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.functions import overlays, png
+from parcelflow.operators.runs import area
 from parcelflow.operators import crops, detector, evidence as E, refine, registration
 from parcelflow.operators.settings import Settings, from_options, minimum_area, scale_parameters
 from parcelflow.sources import annotations, models, sinks
@@ -194,7 +195,7 @@ def test_detector_finds_a_new_building_and_nothing_else(spark):
     r = found[0]
     assert abs(r.left - 100) <= 4 and abs(r.top - 80) <= 4 and abs(r.width - 50) <= 8 and abs(r.height - 40) <= 8 and r.area_m2 == r.pixel_area * 0.25 and r.region_id in ("R1", "V1") and len(r.polygon) >= 4
     mask = detector.state_mask(kept, ("accepted", "needs_review"))
-    assert mask.count() == r.pixel_area and mask.agg(F.min("y")).first()[0] == r.top
+    assert mask.agg(area()).first()[0] == r.pixel_area and mask.agg(F.min("y0")).first()[0] == r.top
     shown = kept.select("pair_id", "region_id", "state", F.lit("pixel_mask").alias("geometry_type"), F.col("polygon").alias("ring"), "left", "top", "width", "height")
     drawn = json.loads(overlays.combined(shown).first().geojson)
     line = drawn["features"][0]["geometry"]["coordinates"][0]
