@@ -238,16 +238,16 @@ s AS (SELECT g, arg_max(d, lvl) AS subroot, row_number() OVER (ORDER BY g) - 1 A
 u(lvl, idx, d) AS (SELECT 0, pos, subroot FROM s UNION ALL {grow.format(g="", p="", t="u")}),
 r AS (SELECT arg_max(d, lvl) AS root FROM u),
 k AS (
-  SELECT l.g, l.pos AS leaf_at, l.doc_id, l.leaf, x.lvl, l.pos // (16::BIGINT ** x.lvl)::BIGINT AS pos FROM leaves l JOIN (SELECT DISTINCT g, lvl FROM t) x USING (g)),
+  SELECT l.g, l.pos AS leaf_at, l.doc_id, l.leaf, x.lvl, l.pos // (16::BIGINT ** x.lvl)::BIGINT AS pos FROM leaves l JOIN (SELECT g, lvl FROM t GROUP BY g, lvl HAVING count(*) > 1) x USING (g)),
 p AS (SELECT k.g, k.leaf_at, k.lvl, {side("<")} AS l, {side(">")} AS r FROM k JOIN t ON t.g = k.g AND t.lvl = k.lvl AND t.idx // 16 = k.pos // 16 GROUP BY ALL),
-q AS (SELECT k.g, k.lvl, {side("<")} AS l, {side(">")} AS r FROM (SELECT s.g, x.lvl, s.pos // (16::BIGINT ** x.lvl)::BIGINT AS pos FROM s CROSS JOIN (SELECT DISTINCT lvl FROM u) x) k JOIN u t ON t.lvl = k.lvl AND t.idx // 16 = k.pos // 16 GROUP BY ALL),
+q AS (SELECT k.g, k.lvl, {side("<")} AS l, {side(">")} AS r FROM (SELECT s.g, x.lvl, s.pos // (16::BIGINT ** x.lvl)::BIGINT AS pos FROM s CROSS JOIN (SELECT lvl FROM u GROUP BY lvl HAVING count(*) > 1) x) k JOIN u t ON t.lvl = k.lvl AND t.idx // 16 = k.pos // 16 GROUP BY ALL),
 w AS (
   SELECT g, leaf_at, list(l || r ORDER BY tree, lvl) AS flat, list(l || '|' || r ORDER BY tree, lvl) AS steps FROM (
     SELECT g, leaf_at, 0 AS tree, lvl, l, r FROM p UNION ALL SELECT l.g, l.pos, 1, q.lvl, q.l, q.r FROM leaves l JOIN q USING (g)) GROUP BY ALL),
 f AS (
-  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flat, '')) AS proof_sha256,
-    list_reduce(list_prepend(coalesce(changed, leaf), steps), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2))) AS folded_root
-  FROM leaves l JOIN w ON w.g = l.g AND w.leaf_at = l.pos JOIN s ON s.g = l.g CROSS JOIN r)
+  SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(flat, ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(steps, [])), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2))) AS folded_root
+  FROM leaves l LEFT JOIN w ON w.g = l.g AND w.leaf_at = l.pos JOIN s ON s.g = l.g CROSS JOIN r)
 SELECT *, folded_root = root AS verified FROM f
 """
 
