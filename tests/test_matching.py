@@ -32,6 +32,33 @@ def test_two_nearest_codes_are_those_of_all_pairs(spark):
     assert len(got) > 40
 
 
+def test_wide_radii_write_no_pairs_but_those_near(spark, monkeypatch):
+    rng, put, wrote = random.Random(7), Scratch.put, {}
+
+    def counted(self, df, name="table"):
+        out = put(self, df, name)
+        wrote[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    monkeypatch.setattr(hamming, "SIDE", 200)
+    codes = [rng.getrandbits(64) for _ in range(1200)]
+    df = lambda rows: spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
+    for most in (3, 22):
+        asked = [(k, c ^ (k % 5)) for k, c in enumerate(codes[:700])]
+        train = [(5000 + k, c) for k, c in enumerate(codes[600:] + codes[600:640])]
+        got = {r.id: r for r in hamming.matches(Scratch(spark, "t"), df(asked), df(train), [], most, 0.74).collect()}
+        want = 0
+        for i, c in asked:
+            d = sorted(((c ^ t).bit_count(), j) for j, t in train)[:2]
+            if d[0][0] <= most:
+                want += 1
+                second = d[1] if d[1][0] <= int(most / 0.74) else (None, None)
+                assert (got[i].first_distance, got[i].best, got[i].second_distance, got[i].second) == (*d[0], *second)
+        assert len(got) == want > 50
+    assert wrote["wide"] < 20 * 700  # of 700 x 600 pairs, more than a quarter lies within 29 bits
+
+
 def test_codes_of_signs_and_pairs_once(spark):
     v = [1.0 if (0xF0F0F0F012345678 >> k) & 1 else -0.5 for k in range(64)]
     assert spark.createDataFrame([(v,)], "v array<double>").select(hamming.sign_code(F.col("v"))).first()[0] == signed(0xF0F0F0F012345678)
