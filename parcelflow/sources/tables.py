@@ -19,6 +19,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files, as they lie compressed, for one partition of its shuffle.
+PART_BYTES = 8 << 20
+
+
+def gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, those of equal keys in one partition; larger inputs make more partitions than the session's, so a task's share doesn't grow with them."""
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes()))
+    n = -(-size // PART_BYTES)
+    return rows.repartition(n, *keys) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
@@ -61,8 +73,9 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of a pair in native pixels (frame 1000 x 1000), several a pair; of equal ids the least row."""
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     small = (p % 7 == 0) & (s % 2 == 0)
-    return read(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("pair_id"), (p * 1000000 + s * 100 + n).alias("proposal_id"),
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag")
+    return gathered(rows, "pair_id").select(  # few numbers are sent, and what follows by pair needs no other exchange
+        "pair_id", (p * 1000000 + s * 100 + n).alias("proposal_id"),
         ((p * 37) % 500).alias("left"), ((s * 53 + p) % 500).alias("top"),
         F.when(small, 12 + p % 9).otherwise(60 + p % 180).alias("width"), F.when(small, 9 + s % 7).otherwise(50 + s % 160).alias("height"),
         F.round(F.col("l_discount") * 1000 + p % 97).cast("long").alias("confidence_e3"), pick(("building", "road", "removed shed", "vegetation"), p % 4).alias("change_type"),

@@ -93,3 +93,24 @@ def test_votes_find_the_transform_in_spite_of_outliers(spark):
         assert r.matches == 40 and r.inliers >= 27 and r.median_error < 1e-6
         h = np.array(r.h).reshape(3, 3)
         assert np.allclose(h / h[2, 2], true[k] / true[k][2, 2], atol=1e-6)
+
+
+def test_hypotheses_are_not_written_and_large_pairs_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k, n in enumerate([3, 4, 5, 8, 9, 30, 200]):
+        for place in range(1, n + 1):
+            x, y = rng.uniform(0, 500, 2)
+            wrong = 60.0 if place % 4 == 0 and n > 5 else 0.0
+            rows.append((k, place, float(x), float(y), float(1.1 * x + 5 + wrong + rng.normal()), float(0.9 * y - 3 + rng.normal())))
+    df = spark.createDataFrame(rows, "k long, place long, sx double, sy double, tx double, ty double")
+    put, names = Scratch.put, []
+    monkeypatch.setattr(Scratch, "put", lambda self, d, name="table": names.append(name) or put(self, d, name))
+
+    def voted():
+        return {r.k: (r["sample"], r.matches, r.inliers, round(r.median_error, 9), round(r.p95_error, 9)) for r in homography.vote(Scratch(spark, "t"), df, ["k"]).collect()}
+
+    one = voted()
+    assert set(one) == set(range(1, 7)) and names == ["chunks"]
+    monkeypatch.setattr(homography, "CHUNK", 8)
+    assert voted() == one and "hypotheses" in names
