@@ -42,14 +42,17 @@ SELECT pair_id, sum(size) FILTER (truth OR found)::BIGINT AS either, coalesce(su
   coalesce(sum(y1 - y0) FILTER (found AND NOT coalesce(open AND before = x0, FALSE)), 0)::BIGINT AS found_runs FROM q GROUP BY 1""")
 def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
     """Union, intersection, differences and complement of a pair's masks in a frame of 1,000 x 1,000, and the runs of what is found, row by row."""
-    key, c = ["pair_id"], F.col
-    masks = found_and_true(spark, d)
-    frames = masks.select("pair_id").distinct().select("pair_id", F.lit(FRAME).alias("width"), F.lit(FRAME).alias("height"))
-    stretches = R.sweep(masks.unionByName(R.frame(frames, key).withColumn("mask", F.lit("frame"))), key, ["truth", "accepted", "review", "frame"])
-    truth, found = c("truth") > 0, (c("accepted") > 0) | (c("review") > 0)
-    counts = R.tally(stretches, key, either=truth | found, both=truth & found, only_truth=truth & ~found, only_found=found & ~truth, neither=(c("frame") > 0) & ~truth & ~found)
-    lines = R.merged(stretches, key, found).groupBy("pair_id").agg(F.sum(c("y1") - c("y0")).alias("found_runs"))
-    return counts.join(lines, "pair_id", "left").fillna(0, ["found_runs"])
+    c, names = F.col, ["truth", "accepted", "review"]
+    cells = R.coverage(Scratch(spark, "masks"), found_and_true(spark, d), ["pair_id"], names)
+    found_in = lambda bits: R.has("accepted", names, bits) | R.has("review", names, bits)
+    truth, found = R.has("truth", names), found_in("bits")
+    cells = cells.select("pair_id", "pixels", truth.alias("truth"), found.alias("found"), F.when(found & ~found_in("before"), c("rows")).otherwise(0).alias("starts"))
+    area = lambda w: F.coalesce(F.sum(F.when(w, c("pixels"))), F.lit(0))
+    truth, found = c("truth"), c("found")
+    either = area(truth | found)  # boxes lie within the frame
+    return cells.groupBy("pair_id").agg(
+        either.alias("either"), area(truth & found).alias("both"), area(truth & ~found).alias("only_truth"), area(found & ~truth).alias("only_found"), (FRAME * FRAME - either).alias("neither"), F.sum("starts").alias("found_runs")
+    )
 
 
 @query("mask_confusion", _PIXELS + """,
@@ -58,10 +61,10 @@ k AS (SELECT pair_id, regions, coalesce(sum(size) FILTER (truth AND found), 0)::
 SELECT *, round(tp::DOUBLE / greatest(1, tp + fp), 3) AS precision, round(tp::DOUBLE / greatest(1, tp + fn), 3) AS recall, round(2.0::DOUBLE * tp / greatest(1, 2 * tp + fp + fn), 3) AS f1, round(tp::DOUBLE / greatest(1, tp + fp + fn), 3) AS iou FROM k""")
 def mask_confusion(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of truths that accepted regions, and all regions, find: one sweep over three masks."""
-    c = F.col
-    stretches = R.sweep(found_and_true(spark, d), ["pair_id"], ["truth", "accepted", "review"])
-    truth, own, every = c("truth") > 0, c("accepted") > 0, (c("accepted") > 0) | (c("review") > 0)
-    counts = R.tally(stretches, ["pair_id"], a_tp=truth & own, a_fp=~truth & own, a_fn=truth & ~own, b_tp=truth & every, b_fp=~truth & every, b_fn=truth & ~every)
+    c, names = F.col, ["truth", "accepted", "review"]
+    cells = R.coverage(Scratch(spark, "masks"), found_and_true(spark, d), ["pair_id"], names)
+    truth, own, every = R.has("truth", names), R.has("accepted", names), R.has("accepted", names) | R.has("review", names)
+    counts = R.added(cells, ["pair_id"], a_tp=truth & own, a_fp=~truth & own, a_fn=truth & ~own, b_tp=truth & every, b_fp=~truth & every, b_fn=truth & ~every)
     both = F.array(*(F.struct(F.lit(n).alias("regions"), *(c(f"{s}_{k}").alias(k) for k in ("tp", "fp", "fn"))) for n, s in (("accepted", "a"), ("all", "b"))))
     rows = counts.select("pair_id", F.inline(both))
     return rows.withColumns(evaluation.confusion(c("tp"), c("fp"), c("fn")))
@@ -86,9 +89,9 @@ def state_mask_areas(spark: SparkSession, d: str) -> DataFrame:
     when = [F.concat(F.lit(f"{w}_"), F.col(w)) for w in ("before", "after")]
     rows = rows.withColumn("mask", F.explode(F.array(*when))).drop("before", "after")
     names = [f"{w}_{s}" for w in ("before", "after") for s in _STATES]
-    held = {n: F.col(n) > 0 for n in names}
+    held = {n: R.has(n, names) for n in names}
     shown = {w: held[f"{w}_accepted"] | held[f"{w}_needs_review"] for w in ("before", "after")}
-    return R.tally(R.sweep(rows, ["pair_id"], names), ["pair_id"], **held, before_shown=shown["before"], after_shown=shown["after"], altered=shown["before"] != shown["after"])
+    return R.added(R.coverage(Scratch(spark, "states"), rows, ["pair_id"], names), ["pair_id"], **held, before_shown=shown["before"], after_shown=shown["after"], altered=shown["before"] != shown["after"])
 
 
 TILES = 12

@@ -183,3 +183,30 @@ def test_a_component_tree_holds_the_components_of_every_threshold(spark):
         assert r.parent == (None if t == 80 else parts[k, levels[levels.index(t) - 1]][r.y, r.x])
     split = {(r.f, r.component): (r.level, r.cores, r.core_area) for r in trees.splits(nodes, KEYS, 100).collect()}
     assert split[0, 1] == (120, 2, 512)
+
+
+def test_coverage_is_that_of_pixels_for_small_and_large_frames(spark, monkeypatch):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k, n in enumerate([1, 2, 3, 5, 9, 30]):
+        grid = [[0] * 40 for _ in range(40)]
+        for _ in range(n):
+            y, x, h, w, m = rng.randrange(30), rng.randrange(30), rng.randrange(0, 10), rng.randrange(1, 10), rng.randrange(2)
+            rows.append((k, y, y + h, x, x + w, "ab"[m]))
+            for i in range(y, y + h):
+                for j in range(x, x + w):
+                    grid[i][j] |= 1 << m
+        flat = [(v, line[j - 1] if j else 0) for line in grid for j, v in enumerate(line)]
+        want[k] = (sum(v == 1 for v, _ in flat), sum(v == 2 for v, _ in flat), sum(v == 3 for v, _ in flat), sum(v > 0 and p == 0 for v, p in flat))
+    df = spark.createDataFrame(rows, "k long, y0 long, y1 long, x0 long, x1 long, mask string")
+
+    def told():
+        got = R.coverage(Scratch(spark, "t"), df, ["k"], ["a", "b"]).collect()
+        by = lambda k, f: sum(f(r) for r in got if r.k == k)
+        return {k: (*(by(k, lambda r, v=v: r.pixels * (r.bits == v)) for v in (1, 2, 3)), by(k, lambda r: r.rows * (r.before == 0))) for k in want}
+
+    assert told() == want
+    plan = R.coverage(Scratch(spark, "t"), df, ["k"], ["a", "b"])._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    monkeypatch.setattr(R, "CHUNK", 4)
+    assert told() == want
