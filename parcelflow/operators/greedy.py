@@ -20,11 +20,16 @@ def first_independent(scratch: Scratch, nodes: DataFrame, edges: DataFrame, keys
 
     edges: (keys, lo, hi) with lo < hi, distinct. r is unique within keys.
     """
+    rows = nodes.select(*keys, "r").join(absorbed(scratch, edges, keys), [*keys, "r"], "left")
+    return rows.select(*keys, "r", F.coalesce("into", "r").alias("into"))
+
+
+def absorbed(scratch: Scratch, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Those that first_independent() doesn't keep, with into. Nodes without an edge are never looked at."""
     edges = scratch.put(edges.select(*keys, "lo", "hi"), "edges")
     later = edges.select(*keys, F.col("hi").alias("r")).distinct()
-    kept = nodes.select(*keys, "r").join(later, [*keys, "r"], "left_anti")
-    kept, gone, open_ = [scratch.put(kept, "kept")], [], edges
-    fresh = kept[0]
+    fresh = scratch.put(edges.select(*keys, F.col("lo").alias("r")).distinct().join(later, [*keys, "r"], "left_anti"), "kept")
+    kept, gone, open_ = [fresh], [], edges
     while True:
         out = open_.join(fresh.withColumnRenamed("r", "lo"), [*keys, "lo"], "left_semi").select(*keys, F.col("hi").alias("r")).distinct()
         out = scratch.put(out, "gone")
@@ -39,8 +44,7 @@ def first_independent(scratch: Scratch, nodes: DataFrame, edges: DataFrame, keys
         open_ = rest
     all_kept = reduce(DataFrame.unionByName, kept)
     into = edges.join(all_kept.withColumnRenamed("r", "lo"), [*keys, "lo"], "left_semi").groupBy(*keys, F.col("hi").alias("r")).agg(F.min("lo").alias("into"))
-    out = reduce(DataFrame.unionByName, gone).join(into, [*keys, "r"])
-    return out.select(*keys, "r", "into").unionByName(all_kept.select(*keys, "r", F.col("r").alias("into")))
+    return reduce(DataFrame.unionByName, gone).join(into, [*keys, "r"]).select(*keys, "r", "into")
 
 
 def first_matching(scratch: Scratch, wishes: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,6 +60,26 @@ def test_greedy_choices_are_those_of_a_pass_in_order(spark):
     assert first_matching(Scratch(spark, "t"), none, ["k"]).collect() == []
 
 
+def test_boxes_meet_in_rows_and_rounds_skip_boxes_without_duplicates(spark, monkeypatch):
+    from parcelflow.functions import boxes
+
+    rng = random.Random(4)
+    rows = [(k, i, rng.randrange(600), rng.randrange(600), rng.randrange(40, 300), rng.randrange(40, 300), rng.randrange(90), rng.choice(["shed", "road"]), "", "") for k, n in ((1, 4), (2, 40), (3, 1)) for i in range(n)]
+    put, wrote = Scratch.put, []
+    monkeypatch.setattr(Scratch, "put", lambda self, d, name="table": wrote.append((name, d)) or put(self, d, name))
+
+    def told():
+        return sorted(tuple(r) for r in proposals.retained(_proposals(spark, rows)).collect())
+
+    one = told()
+    names = [n for n, _ in wrote]
+    assert len(one) == len(rows) and "groups" in names and "large" not in names and any(a != b for _, a, b in one)
+    ends = {(r.pair_id, r.r) for n, d in wrote if n == "kept" for r in d.collect()}
+    assert len(ends) < sum(a == b for _, a, b in one)  # kept boxes without duplicates take no part
+    monkeypatch.setattr(boxes, "CHUNK", 8)
+    assert told() == one and "large" in [n for n, _ in wrote]
+
+
 def test_confusion_golden(spark):
     from pyspark.sql import functions as F
 
