@@ -52,13 +52,15 @@ t AS (SELECT p.pair_id, p.proposal_id, p.change_type, p.width * p.height * 0.01:
 def matches(p: DataFrame, flags: tuple[str, ...] = ALL) -> DataFrame:
     """pair_id, truth_id, found_id (null: nothing is left for it) of truths that any prediction covers: one to one, truths in the order of ids.
 
-    Boxes meet by the grid cells they cover; a truth takes the free prediction that covers most of it, the first of equals.
+    A truth takes the free prediction that covers most of it, the first of equals.
     """
-    side = lambda rows, s, i: B.in_cells(rows.select("pair_id", F.col("proposal_id").alias(i), *(F.col(c).alias(f"{s}_{c}") for c in ("left", "top", "width", "height"))), f"{s}_")
-    rows = side(p.where("flag = 'R'"), "a", "truth_id").join(side(p.where(F.col("flag").isin(*flags)), "b", "found_id"), ["pair_id", "cell"])
-    rows = rows.select("pair_id", F.col("truth_id").alias("left"), F.col("found_id").alias("right"), (B.overlap("a_", "b_") / B.area("a_")).alias("share")).where("share >= 0.01").distinct()
+    scratch = Scratch(p.sparkSession, "matching")
+    rows = p.where(F.col("flag").isin("R", *flags)).select("pair_id", "proposal_id", "left", "top", "width", "height", "flag").withColumn("n", F.row_number().over(Window.partitionBy("pair_id").orderBy("proposal_id")))
+    met = B.meeting(scratch, rows, "pair_id", "n", lambda a, b: (a["flag"] == "R") & b["flag"].isin(*flags))
+    met = met.select("pair_id", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("proposal_id", "left", "top", "width", "height")))
+    rows = met.select("pair_id", F.col("a_proposal_id").alias("left"), F.col("b_proposal_id").alias("right"), (B.overlap("a_", "b_") / B.area("a_")).alias("share")).where("share >= 0.01")
     rank = F.row_number().over(Window.partitionBy("pair_id", "left").orderBy(F.desc("share"), "right"))
-    out = first_matching(Scratch(p.sparkSession, "matching"), rows.withColumn("rank", rank), ["pair_id"])
+    out = first_matching(scratch, rows.withColumn("rank", rank), ["pair_id"])
     return out.select("pair_id", F.col("left").alias("truth_id"), F.col("right").alias("found_id"))
 
 
