@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import boxes as B
-from parcelflow.operators.runs import merged, of_rings, sweep
+from parcelflow.operators.runs import of_rings
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 
@@ -120,7 +120,9 @@ def cell_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     a = _cells(rows).select(*(F.col(c).alias(f"a_{c}") for c in keep), "cx", "cy")
     b = _cells(rows).select(*(F.col(c).alias(f"b_{c}") for c in keep), F.col("cx").alias("bx"), F.col("cy").alias("by"))
     met = a.join(b, (F.col("a_pair_id") == F.col("b_pair_id") + 1) & (F.col("cx") == F.col("bx")) & (F.col("cy") == F.col("by"))).where(B.overlap("a_", "b_") > 0)
-    return met.select(F.col("a_pair_id").alias("pair_id"), F.col("a_proposal_id").alias("a_id"), F.col("b_proposal_id").alias("b_id")).distinct()
+    first = lambda low: F.floor(F.greatest(f"a_{low}", f"b_{low}") / CELL)  # noqa: E731  boxes count in the first cell that both reach into
+    met = met.where((F.col("cx") == first("left")) & (F.col("cy") == first("top")))
+    return met.select(F.col("a_pair_id").alias("pair_id"), F.col("a_proposal_id").alias("a_id"), F.col("b_proposal_id").alias("b_id"))
 
 
 @query("homography_project", WITH + """
@@ -181,10 +183,11 @@ def polygon_runs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("parcel_key")
     r, cx = (5 + k % 9).cast("double"), 14 + (k % 7) * F.lit(0.37)
     ring = lambda shape: F.array(*(F.struct((F.lit(x) * r + cx).alias("x"), (F.lit(y) * r + F.lit(13.3)).alias("y")) for x, y in shape))
-    rows = T.parcels(spark, d).select(k, F.when(k % 2 == 0, ring(STAR)).otherwise(ring(ARROW)).alias("ring"))
-    lines = of_rings(rows, ["parcel_key"], 28, 28).withColumn("y0", F.col("y")).withColumn("y1", F.col("y") + 1).withColumn("mask", F.lit("m"))
-    lines = merged(sweep(lines, ["parcel_key"], ["m"]), ["parcel_key"], F.col("m") > 0)
-    return lines.groupBy("parcel_key", F.col("y0").alias("y")).agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.count(F.lit(1)).alias("runs"), F.min("x0").alias("first"), (F.max("x1") - 1).alias("last"))
+    rows = T.gathered(T.parcels(spark, d).select(k), "parcel_key").select(k, F.when(k % 2 == 0, ring(STAR)).otherwise(ring(ARROW)).alias("ring"))
+    lines = of_rings(rows, ["parcel_key"], 28, 28)  # runs of a row are disjoint and may touch
+    begins = F.coalesce(F.lag("x1").over(Window.partitionBy("parcel_key", "y").orderBy("x0")) != F.col("x0"), F.lit(True))
+    lines = lines.withColumn("new", begins)
+    return lines.groupBy("parcel_key", "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.count_if("new").alias("runs"), F.min("x0").alias("first"), (F.max("x1") - 1).alias("last"))
 
 
 @query("ranked_limit", WITH + """
