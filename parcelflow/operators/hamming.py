@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.sources.scratch import Scratch
+from parcelflow.sources.shipping import ship
 
 BITS = 64
 #: Codes of a block at least, and blocks of a side at most: 64 x 64 groups, each code is sent to 64 of them.
@@ -135,6 +136,7 @@ def nearest(queries: DataFrame, codes: DataFrame, keys: list[str], reach: int) -
     def met(rows: DataFrame, n: DataFrame) -> DataFrame:
         return rows.join(n, keys) if keys else rows.crossJoin(n)
 
+    ship(queries.sparkSession)
     nq, nt = blocks(queries, "_nq"), blocks(codes, "_nt")
     n = nq.join(nt, keys) if keys else nq.crossJoin(nt)
     number = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions.boxes import project
 from parcelflow.sources.scratch import Scratch
+from parcelflow.sources.shipping import ship
 
 #: Matches of a pair, the first ones, that samples are drawn from: 70 samples of four.
 FIRST = 8
@@ -161,6 +162,7 @@ def vote(scratch: Scratch, matches: DataFrame, keys: list[str], radius: float =
 
     Pairs without four points that span give no row.
     """
+    ship(matches.sparkSession)
     double = lambda *c: [F.col(x).cast("double").alias(x) for x in c]
     point = F.struct(F.col("place").cast("long").alias("place"), *double("sx", "sy", "tx", "ty"))
     chunks = matches.groupBy(*keys, F.floor((F.col("place") - 1) / CHUNK).alias("_c")).agg(F.collect_list(point).alias("m"))  # CHUNK entries at most
