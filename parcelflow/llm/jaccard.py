@@ -6,17 +6,18 @@ the least overlap with any partner; two linked nodes share one of these. Rare n-
 small numbers: all n-grams of the corpus are counted in COUNTERS hashed counters first, whose
 logarithms lead the numbers (any order that holds for all documents is right). A pair counts in
 the group of the first key it shares, so what precedes a key in either set is not in the other,
-and the places of keys bound the overlap as well. Of the nodes that share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
+and the places of keys bound the overlap as well. A row of a key that no partner of a fitting size shares goes no
+further. Of the nodes that share such a key, the numbers of n-grams in GROUPS hash groups are points of an R-tree; the
 overlap of a node with a subtree, or another node, is at most the sum of the coordinates'
 minima. Pairs that this bound leaves are held against lowest bits of finer counts (two sets
 differ in at least as many n-grams as those do) before they leave the task, then against finer
 counts still, and what is left is verified on the sets themselves.
 
 Groups aren't joined pair by pair: a node that no earlier pivot reaches becomes a pivot, and
-pivots are paired with all they reach. Only if nodes of a group lie in different components
-after that, a second round pairs these, with rows that carry the finer counts: first no more
-pairs than would join all components that the counts leave, then, with the components that come
-of those, all that remain.
+pivots are paired with all they reach. A pair of a group is untested only if pivots reached both of it. Only if
+such nodes of a group lie in different components, a second round pairs these, with rows that carry the
+finer counts: first no more pairs than would join all components that the counts leave, then, with
+the components that come of those, all that remain.
 
 Pivots find components, not all links. Links are counted afterwards: the sets of a component
 are dealt into blocks, and the overlaps of all sets of two blocks are taken at once.
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm import store
@@ -49,8 +50,8 @@ _FULL = (1 << 16) - 1
 LEAF, FAN = 32, 16
 #: Finer counts are of FINE groups: a byte each for sets of LONG n-grams or more, else the lowest bit.
 LONG, FINE = 2048, 2048
-#: Rows of groups carry lowest bits of fewer counts: of LITTLE groups for sets below SHORT n-grams, else of FINE.
-SHORT, LITTLE = 600, 512
+#: Rows of groups carry lowest bits of fewer counts: of LITTLE groups at least.
+LITTLE = 64
 #: Sets, and n-grams in them, that a block holds on average at most.
 BLOCK, BLOCK_GRAMS, COLUMNS = 256, 1 << 20, 4096
 _BASE = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, point binary, bits binary, fine binary"
@@ -94,6 +95,15 @@ def ranks(text: DataFrame, n: int) -> np.ndarray:
     return np.minimum(np.rint(8 * np.log2(1 + beyond)), 255).astype(np.uint8)
 
 
+def _width(size: int, num: int, den: int) -> int:
+    """The least number of groups whose lowest bits tell unrelated sets of size from linked ones by four standard deviations."""
+    most = 2 * size * (den - num) / (den + num)  # that two linked sets may differ in
+    width = LITTLE
+    while width < FINE and width / 2 - 2 * math.sqrt(width) < most:
+        width *= 2
+    return width
+
+
 def _base(n: int, num: int, den: int, rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +115,9 @@ def _base(n: int, num: int, den: int, rank: np.ndarray) -> Callable:
                     d1.append(int.from_bytes(digest[:8], "little", signed=True))
                     d2.append(int.from_bytes(digest[8:], "little", signed=True))
                     keys.append(s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s)
-                    points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).clip(max=_FULL).astype("<u2").tobytes())
+                    points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).clip(max=_FULL).astype("<u2").view(np.uint8).reshape(GROUPS, 2).T.tobytes())  # high bytes, mostly 0, lie together
                     counts = np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
-                    small = np.bincount((s & np.uint64(LITTLE - 1)).astype(np.int64), minlength=LITTLE) if len(s) < SHORT else counts
+                    small = counts.reshape(-1, _width(len(s), num, den)).sum(axis=0)
                     bits.append(np.packbits((small & 1).astype(np.uint8)).tobytes())
                     fine.append((counts.clip(max=255).astype(np.uint8) if len(s) >= LONG else np.packbits(counts & 1)).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -181,7 +191,7 @@ class RTree:
 
 
 class Fine:
-    """Finer counts of many sets; rows of one kind (bytes, or bits of so many groups) can be compared."""
+    """Finer counts of many sets: bytes, or bits of so many groups; bits of more groups are folded to those of fewer."""
 
     def __init__(self, column: pa.Array | pa.ChunkedArray):
         rows = column.to_pylist()
@@ -193,19 +203,34 @@ class Fine:
             self.rows[k] = np.frombuffer(b"".join(r for r in rows if len(r) == k), dtype=np.uint8 if k == FINE else np.uint64).reshape(int(own.sum()), -1)
 
     def apart(self, i: np.ndarray, other: Fine, j: np.ndarray) -> np.ndarray:
-        """For rows i and other's rows j: n-grams that are in one set only, at least (0 for rows of two kinds).
+        """For rows i and other's rows j: n-grams that are in one set only, at least (0 for bytes and bits).
 
         A full byte stands for 255 or more, so its difference to another is a lower bound too.
         """
         out = np.zeros(len(i), dtype=np.int64)
-        for k in self.rows.keys() & other.rows.keys():
-            same = np.flatnonzero((self.kind[i] == k) & (other.kind[j] == k))
-            for at in np.array_split(same, len(same) * k // (4 << 20) + 1):
-                a, b = self.rows[k][self.at[i[at]]], other.rows[k][other.at[j[at]]]
-                out[at] = (np.maximum(a, b) - np.minimum(a, b) if k == FINE else np.bitwise_count(a ^ b)).sum(axis=1, dtype=np.int64)
+        kinds = self.kind[i] * (2 * FINE) + other.kind[j]
+        for both in np.unique(kinds).tolist():
+            k, m = divmod(both, 2 * FINE)
+            if (k == FINE) != (m == FINE):
+                continue
+            same = np.flatnonzero(kinds == both)
+            for at in np.array_split(same, len(same) * max(k, m) // (4 << 20) + 1):
+                a, b = self.rows[k][self.at[i[at]]], other.rows[m][other.at[j[at]]]
+                if k == FINE:
+                    out[at] = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+                else:
+                    least = min(a.shape[1], b.shape[1])
+                    out[at] = np.bitwise_count(_folded(a, least) ^ _folded(b, least)).sum(axis=1, dtype=np.int64)
         return out
 
 
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Lowest bits of counts of groups as those of fewer groups (of width numbers), by halves."""
+    while bits.shape[1] > width:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
 def _near(apart: np.ndarray, both: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sets with both n-grams in all can reach the ratio if so many are in one of them only."""
     return den * (both - apart) >= num * (both + apart)
@@ -253,17 +278,18 @@ def _forest(a: np.ndarray, b: np.ndarray, part_a: np.ndarray, part_b: np.ndarray
 
 
 def _pairs(num: int, den: int, again: str = "") -> Callable:
-    """Of rows sorted by (key, block): candidate pairs; again: only those of different components, a forest of them or all."""
+    """Of rows sorted by (group, node): candidate pairs a (the pivot), b and their group; again: only those of different components, a forest of them or all."""
 
     def work(key: np.ndarray, t: pa.Table) -> pa.RecordBatch | None:
         node, size = np.asarray(t.column("node")), np.asarray(t.column("n_shingles"))
         rest = size - np.asarray(t.column("pos"))  # n-grams from the key on
         part, fine = np.asarray(t.column("part")) if again else None, Fine(t.column("fine" if again else "bits"))
-        point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int64)
+        point = np.frombuffer(b"".join(t.column("point").to_pylist()), dtype=np.uint8).reshape(-1, 2, GROUPS).astype(np.int64)
+        point = point[:, 0] | point[:, 1] << 8
         point[point == _FULL] = 1 << 40  # a full counter bounds nothing
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         count = np.diff(edge)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out_a, out_b, out_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             x = np.minimum(np.minimum(point[i], point[j]).sum(axis=1), np.minimum(rest[i], rest[j]))
@@ -281,6 +307,7 @@ def _pairs(num: int, den: int, again: str = "") -> Callable:
                 hit = hit[_near(fine.apart(pivot[hit], fine, member[hit]), size[pivot[hit]] + size[member[hit]], num, den)]
                 out_a.append(node[pivot[hit]])
                 out_b.append(node[member[hit]])
+                out_of.append(key[pivot[hit]])
                 reached[member[hit]] = reached[at] = True
                 at = at + 1
                 while (skip := (at < end) & reached[np.minimum(at, len(key) - 1)]).any():
@@ -300,7 +327,11 @@ def _pairs(num: int, den: int, again: str = "") -> Callable:
             a, b = _large(node[s], size[s], rest[s], point[s], None if part is None else part[s], fine, int(edge[k]), num, den)
             out_a.append(a)
             out_b.append(b)
+            out_of.append(np.full(len(a), key[edge[k]]))
         a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if not again:
+            kept = np.flatnonzero(a != b)
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (a, b, np.concatenate(out_of))], ["a", "b", "group"]) if len(kept) else None
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
         if again == "forest" and pair.shape[1]:
             ids, first = np.unique(node, return_index=True)
@@ -428,17 +459,15 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
     fine = scratch.put(own.select("node", "n_shingles", "fine"), "fine")
     base = scratch.put(base.select("doc_id", "n_shingles", "d1", "d2"), "documents")
     scratch.drop("base")
-    keys = nodes.select(F.posexplode("keys").alias("pos", "key"), "node", "n_shingles")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    routed = keys.join(shared, F.col("key") == F.col("k"), "left_semi").select("key", "pos", F.col("node").alias("m"), F.col("n_shingles").alias("size"))
-    points = nodes.select("node", "n_shingles", "point", "bits")
-    routed = scratch.put(routed.join(points, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles"))).select(F.col("key").alias("group"), "pos", "node", "n_shingles", "point", "bits"), "routed")
-    scratch.drop("nodes")
-    first = scratch.put(_candidates(routed, num, den), "first")
+    routed = scratch.put(_met(nodes.select(F.posexplode("keys").alias("pos", "group"), "node", "n_shingles"), num, den), "routed")
+    pivoted = scratch.put(_candidates(routed, nodes, num, den), "pivoted")
+    first = scratch.put(pivoted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
+    reached = scratch.put(pivoted.select("group", F.col("b").alias("node")).distinct(), "reached")
+    scratch.drop("pivoted")
     links = _verified(scratch, text, _refined(first, fine, num, den), n, num, den, rank, "first")
     parts = connected(spark, links.select("a", "b"), scratch)
     for again in ("forest", "all"):
-        more = _second(scratch, routed, fine, parts, num, den, first, again)
+        more = _second(scratch, routed, reached, nodes, fine, parts, num, den, first, again)
         if more.isEmpty():
             break
         first = first.unionByName(more)
@@ -454,23 +483,44 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, count
     return out.join(counted, on_set("e"), "left").select(*columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _candidates(routed: DataFrame, num: int, den: int) -> DataFrame:
-    rows = routed.select("group", "pos", "node", "n_shingles", "point", "bits").repartition("group").sortWithinPartitions("group", "node")
-    return rows.mapInArrow(_pairs(num, den), "a long, b long").distinct()
+def _met(keys: DataFrame, num: int, den: int) -> DataFrame:
+    """Of keys (group, pos, node, n_shingles) the rows that can have a partner in their group, by the next smaller and the next larger size.
+
+    No partner is larger than what the n-grams from the key on, all shared, allow.
+    """
+    size, line = F.col("n_shingles"), Window.partitionBy("group").orderBy("n_shingles")
+    low, high, rest = F.lag("n_shingles").over(line), F.lead("n_shingles").over(line), size - F.col("pos")
+    rows = keys.withColumn("_low", low).withColumn("_high", high)
+    smaller = den * F.col("_low") >= num * size
+    larger = (den * size >= num * F.col("_high")) & _reaches(rest, size + F.col("_high"), num, den)
+    return rows.where(F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))).select("group", "pos", "node", "n_shingles")
+
+
+def _with(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """rows with columns of their nodes' sets."""
+    more = nodes.select(F.col("node").alias("_m"), F.col("n_shingles").alias("_size"), *columns)
+    return rows.join(more, (F.col("node") == F.col("_m")) & (F.col("n_shingles") == F.col("_size"))).drop("_m", "_size")
+
+
+def _candidates(routed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a pivot a and a node b that it reaches, with their group."""
+    rows = _with(routed, nodes, "point", "bits").select("group", "pos", "node", "n_shingles", "point", "bits").repartition("group").sortWithinPartitions("group", "node")
+    return rows.mapInArrow(_pairs(num, den), "a long, b long, group long")
 
 
-def _second(scratch: store.Scratch, routed: DataFrame, fine: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame, again: str) -> DataFrame:
-    """Pairs of different components in groups where pivots may have hidden some; a forest of them, or all that aren't tested yet."""
-    large = routed.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select(F.col("group").alias("g"))
-    rows = routed.join(large, F.col("group") == F.col("g"), "left_semi").join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left")
-    rows = scratch.put(rows.select("group", "pos", "node", "n_shingles", "point", F.coalesce("root", "node").alias("part")), f"large-{again}")
+def _second(scratch: store.Scratch, routed: DataFrame, reached: DataFrame, nodes: DataFrame, fine: DataFrame, parts: DataFrame, num: int, den: int, tested: DataFrame, again: str) -> DataFrame:
+    """Pairs of different components that pivots of their group have reached both; a forest of them, or all that aren't tested yet."""
+    rows = reached.join(parts.select(F.col("node").alias("p"), "root"), F.col("node") == F.col("p"), "left")
+    rows = scratch.put(rows.select("group", "node", F.coalesce("root", "node").alias("part")), f"parts-{again}")
     mixed = rows.groupBy("group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select(F.col("group").alias("g"))
-    finer = fine.select(F.col("node").alias("m"), F.col("n_shingles").alias("size"), "fine")
-    rows = rows.join(mixed, F.col("group") == F.col("g"), "left_semi").join(finer, (F.col("m") == F.col("node")) & (F.col("size") == F.col("n_shingles")))
+    hidden = scratch.put(rows.join(mixed, F.col("group") == F.col("g"), "left_semi").select(F.col("group").alias("g"), F.col("node").alias("h"), "part"), f"hidden-{again}")
+    rows = routed.join(hidden, (F.col("group") == F.col("g")) & (F.col("node") == F.col("h")))
+    rows = _with(_with(rows, nodes, "point"), fine, "fine")
     rows = rows.select("group", "pos", "node", "n_shingles", "point", "part", "fine").repartition("group").sortWithinPartitions("group", "node")
     pairs = rows.mapInArrow(_pairs(num, den, again), "a long, b long").distinct()
     more = scratch.put(pairs.join(tested, ["a", "b"], "left_anti"), f"more-{again}")
-    scratch.drop(f"large-{again}")
+    scratch.drop(f"parts-{again}")
+    scratch.drop(f"hidden-{again}")
     return more
 
 

@@ -633,6 +633,35 @@ def test_finer_counts_never_exceed_the_difference():
     assert (bits.apart(i, bits, j) <= true).all()
 
 
+def test_only_rows_that_can_have_a_partner_are_sent_and_without_counts(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(40):  # near copies of one text, and texts of other sizes that share its words
+        w = list(base)
+        for _ in range(k % 12):
+            w[rng.randrange(200)] = f"v{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join([*base[:20], *(f"x{k}y{i}" for i in range(3 * 2**k))])) for k in range(9)]
+    wrote, put = {}, store.Scratch.put
+    monkeypatch.setattr(store.Scratch, "put", lambda self, df, name, by=None: wrote.setdefault(name, put(self, df, name, by)))
+    monkeypatch.setattr(store.Scratch, "drop", lambda self, name: None)
+    got = jaccard.join(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, count_links=False).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: brute_components(rows, 3, 90, 100).get(i, i) for i, _ in rows}
+    assert not {"point", "bits", "fine"} & set(wrote["routed"].columns)
+    assert all(r.node < 100 for r in wrote["routed"].collect())
+    assert {(r.group, r.node) for r in wrote["hidden-forest"].collect()} <= {(r.group, r.node) for r in wrote["reached"].collect()}
+
+
+def test_lowest_bits_fold():
+    rng = np.random.default_rng(3)
+    few, many = (np.packbits(rng.integers(0, 2, (5, n)).astype(np.uint8), axis=1) for n in (64, 512))
+    fold = np.bitwise_xor.reduce(np.unpackbits(many, axis=1).reshape(5, 8, 64), axis=1)
+    want = (fold != np.unpackbits(few, axis=1)).sum(axis=1)
+    a, b = (jaccard.Fine(pa.array([r.tobytes() for r in x], pa.binary())) for x in (few, many))
+    assert a.apart(np.arange(5), b, np.arange(5)).tolist() == b.apart(np.arange(5), a, np.arange(5)).tolist() == want.tolist()
+
+
 def test_a_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(7)
     part = rng.integers(0, 60, (2, 300))
