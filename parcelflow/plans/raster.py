@@ -22,12 +22,28 @@ px AS (SELECT a.pair_id, a.y, a.x, a.p AS a, b.p AS b, abs(a.p - b.p) AS d FROM
 WITH = "WITH RECURSIVE" + _PX
 
 
-def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """pair_id, y, x, a (before), b (after), d (absolute difference); planes are joined before they are taken apart."""
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id and the values a (before), b (after), d (absolute difference) of all its pixels as arrays: a row for a pair, so no task holds a row for a pixel.
+
+    Equal ids, which the table doesn't hold, pool their pixels as the SQL does.
+    """
+    rows = _met(spark, d).select("pair_id", F.col("pa").alias("a"), F.col("pb").alias("b"), F.zip_with("pa", "pb", lambda u, v: F.abs(u - v)).alias("d"))
+    return rows.groupBy("pair_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in "abd")).where(F.size("d") > 0)
+
+
+def _met(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id, pa, pb: planes are joined before they are taken apart, as far as both go; larger tables make more partitions."""
     level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 240 * v.cast("double")))).cast("long")
-    e = T.read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id"), (F.col("vec_id") % 2).alias("side"), F.transform("embedding", level).alias("p"))
+    e = T.gathered(T.read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair_id"), (F.col("vec_id") % 2).alias("side"), "embedding"), "pair_id")
+    e = e.where("embedding is not null").select("pair_id", "side", F.transform("embedding", level).alias("p"))
     both = e.where("side = 0").select("pair_id", F.col("p").alias("pa")).join(e.where("side = 1").select("pair_id", F.col("p").alias("pb")), "pair_id")
-    rows = both.select("pair_id", F.posexplode(F.arrays_zip("pa", "pb")).alias("i", "z"))
+    n = F.least(F.size("pa"), F.size("pb"))
+    return both.select("pair_id", F.slice("pa", F.lit(1), n).alias("pa"), F.slice("pb", F.lit(1), n).alias("pb"))
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id, y, x, a (before), b (after), d (absolute difference)."""
+    rows = _met(spark, d).select("pair_id", F.posexplode(F.arrays_zip("pa", "pb")).alias("i", "z"))
     i = F.col("i")
     return rows.select("pair_id", F.floor(i / 8).alias("y"), (i % 8).cast("long").alias("x"), F.col("z.pa").alias("a"), F.col("z.pb").alias("b"), F.abs(F.col("z.pa") - F.col("z.pb")).alias("d"))
 
@@ -146,20 +162,23 @@ def evidence_score(spark: SparkSession, d: str) -> DataFrame:
 RANKS = ((0.05, "p05"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.988, "p988"), (0.99, "p99"))
 
 
+def middle(c: str) -> Column:
+    """The median of a sorted array."""
+    at = lambda i: F.get(c, F.floor(i).cast("int"))
+    return (at((F.size(c) - 1) / 2) + at(F.size(c) / 2)) / 2
+
+
+def spread(rows: DataFrame, c: str) -> DataFrame:
+    """rows with the median and the MAD of a sorted array."""
+    rows = rows.withColumn("median", middle(c))
+    return rows.withColumn("_v", F.sort_array(F.transform(c, lambda v: F.abs(v - F.col("median"))))).withColumn("mad", middle("_v")).drop("_v")
+
+
 def robust(rows: DataFrame, keys: list[str], c: str = "d") -> DataFrame:
-    """Median, MAD and nearest-rank percentiles of a byte plane from its histogram: exact, mergeable, 256 rows a key at most."""
-    hist = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*keys).orderBy(c)
-    hist = hist.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(c)))
-    rank = lambda p: F.floor((F.col("total") - 1) * p + 0.5)
-    middle = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
-    got = hist.groupBy(*keys).agg(F.max("total").alias("n"), middle.alias("median"), *(at(rank(p)).alias(name) for p, name in RANKS))
-    dev = hist.join(got.select(*keys, "median"), keys).withColumn("dev", F.abs(F.col(c) - F.col("median"))).groupBy(*keys, "dev").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-    dev = dev.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("dev")))
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("dev")))
-    mad = (at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2
-    return got.join(dev.groupBy(*keys).agg(mad.alias("mad")), keys)
+    """n, median, MAD and nearest-rank percentiles of the values in array c of each row: keys name a row."""
+    rows = spread(rows.select(*keys, F.sort_array(c).alias("_s")), "_s").withColumn("n", F.size("_s").cast("long"))
+    at = lambda p: F.get("_s", F.floor((F.col("n") - 1) * p + 0.5).cast("int"))
+    return rows.select(*keys, "n", "median", *(at(p).alias(name) for p, name in RANKS), "mad")
 
 
 def _stats(key: str, frm: str) -> str:
@@ -172,7 +191,7 @@ st AS (SELECT m.{key}, any_value(m.n) AS n, any_value(med) AS median, median(abs
 
 @query("robust_stats", WITH + "," + _stats("pair_id", "px") + " SELECT pair_id, n, median, mad, " + ", ".join(n for _, n in RANKS) + " FROM st")
 def robust_stats(spark: SparkSession, d: str) -> DataFrame:
-    return robust(pixels(spark, d), ["pair_id"]).select("pair_id", "n", "median", "mad", *(n for _, n in RANKS))
+    return robust(frames(spark, d), ["pair_id"]).select("pair_id", "n", "median", "mad", *(n for _, n in RANKS))
 
 
 _THRESHOLDS = """
@@ -190,14 +209,18 @@ def thresholds(stats: DataFrame) -> DataFrame:
 
 @query("noise_thresholds", WITH + "," + _stats("pair_id", "px") + "," + _THRESHOLDS + " SELECT pair_id, round(high, 6) AS high, round(low, 6) AS low FROM lo")
 def noise_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return thresholds(robust(pixels(spark, d), ["pair_id"])).select("pair_id", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
+    return thresholds(robust(frames(spark, d), ["pair_id"])).select("pair_id", F.round("high", 6).alias("high"), F.round("low", 6).alias("low"))
 
 
 @query("local_thresholds", WITH + ", cells AS (SELECT (pair_id * 4 + (y // 4) * 2 + x // 4) AS cell, d FROM px)," + _stats("cell", "cells") + "," + _THRESHOLDS + " SELECT cell, floor(high + 0.5)::BIGINT AS high, floor(low + 0.5)::BIGINT AS low FROM lo")
 def local_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """The same statistics for each quarter of a plane."""
-    cell = F.col("pair_id") * 4 + F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)
-    rows = thresholds(robust(pixels(spark, d).withColumn("cell", cell), ["cell"]))
+    quarter = lambda i: (F.floor(i / 32) * 2 + F.floor(i % 8 / 4)).cast("long")  # noqa: E731  of pixel i: y is i / 8, x is i % 8
+    rows = _met(spark, d).select("pair_id", F.zip_with("pa", "pb", lambda u, v: F.abs(u - v)).alias("d")).where(F.size("d") > 0)
+    rows = rows.withColumn("q", F.explode(F.array_distinct(F.transform("d", lambda v, i: quarter(i)))))
+    rows = rows.select((F.col("pair_id") * 4 + F.col("q")).alias("cell"), F.filter("d", lambda v, i: quarter(i) == F.col("q")).alias("d"))
+    cells = T.gathered(rows, "cell").groupBy("cell").agg(F.flatten(F.collect_list("d")).alias("d"))
+    rows = thresholds(robust(cells, ["cell"]))
     return rows.select("cell", F.floor(F.col("high") + 0.5).alias("high"), F.floor(F.col("low") + 0.5).alias("low"))
 
 
@@ -207,11 +230,11 @@ md AS (SELECT pair_id, any_value(am) AS am, any_value(bm) AS bm, greatest(1, 1.4
 SELECT pair_id, round(gain, 6) AS gain, round(am - bm * gain, 6) AS bias FROM (SELECT *, least(1.55::DOUBLE, greatest(0.65::DOUBLE, ad / greatest(1, bd))) AS gain FROM md)""")
 def radiometric_gain(spark: SparkSession, d: str) -> DataFrame:
     """Scale and offset that bring the later plane's median and MAD to the earlier one's."""
-    px = pixels(spark, d)
-    one = robust(px, ["pair_id"], "a").select("pair_id", F.col("median").alias("am"), F.greatest(F.lit(1.0), 1.4826 * F.col("mad")).alias("ad"))
-    two = robust(px, ["pair_id"], "b").select("pair_id", F.col("median").alias("bm"), F.greatest(F.lit(1.0), 1.4826 * F.col("mad")).alias("bd"))
+    rows = frames(spark, d).select("pair_id", F.sort_array("a").alias("a"), F.sort_array("b").alias("b"))
+    for c in "ab":
+        rows = spread(rows, c).withColumnRenamed("median", f"{c}m").withColumn(f"{c}d", F.greatest(F.lit(1.0), 1.4826 * F.col("mad"))).drop("mad")
     gain = F.least(F.lit(1.55), F.greatest(F.lit(0.65), F.col("ad") / F.greatest(F.lit(1.0), F.col("bd"))))
-    return one.join(two, "pair_id").withColumn("g", gain).select("pair_id", F.round("g", 6).alias("gain"), F.round(F.col("am") - F.col("bm") * F.col("g"), 6).alias("bias"))
+    return rows.withColumn("g", gain).select("pair_id", F.round("g", 6).alias("gain"), F.round(F.col("am") - F.col("bm") * F.col("g"), 6).alias("bias"))
 
 
 _RUNS = """(SELECT pair_id, x, x - row_number() OVER (PARTITION BY pair_id ORDER BY x) AS k FROM (SELECT pair_id, x, avg((d >= 40)::INT) AS c FROM px GROUP BY 1, 2) WHERE c >= 0.35)"""

@@ -1,13 +1,17 @@
 """Stencils by tiles against whole frames, for tiles that cut through everything."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.operators import levels as L
 from parcelflow.operators import stencils as S
 from parcelflow.operators.settings import Settings
+from parcelflow.plans import catalog
 from parcelflow.sources.scratch import Scratch
+from tests.same import rows_of, rows_of_sql
 
 SIZES = [(7, 13), (11, 4), (1, 9), (16, 16), (3, 3)]
 KEYS = ["f"]
@@ -137,3 +141,15 @@ def test_planes_do_not_depend_on_the_tiles(spark):
 
     rows = {side: sorted(tuple(r) for r in thresholds.scene_pixels(spark, "/root/testdata/sf0.001", side).where("scene_id < 3").collect()) for side in (7, 256)}
     assert rows[7] == rows[256] and len(rows[7]) > 2000
+
+
+@pytest.mark.parametrize("name", ["noise_thresholds", "robust_stats", "local_thresholds", "radiometric_gain"])
+def test_statistics_of_frames_make_no_row_for_a_pixel(spark, name, tmp_path):
+    rows = [(k, [((k * 7 + i * i) % 97 / 97 - 0.5) for i in range(n)], 0) for k, n in ((0, 64), (1, 64), (2, 64), (3, 61), (4, 64), (6, 64), (7, 0), (8, 64), (8, 64), (9, 64))]
+    ids, values, labels = zip(*rows, (11, None, 0), strict=True)
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(values, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert rows_of(df) == rows_of_sql(catalog.SQL[name], str(tmp_path), df.columns)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Join") == 1
