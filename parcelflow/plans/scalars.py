@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import boxes as B
 from parcelflow.plans import decisions, geometry
-from parcelflow.plans.raster import WITH, pixels, with_gradient, _GRAD
+from parcelflow.plans.raster import WITH, frames, pixels, spread, with_gradient, _GRAD
 from parcelflow.plans.registry import query
 from parcelflow.sources import tables as T
 
@@ -284,22 +284,12 @@ md AS (SELECT pair_id, median(d)::DOUBLE AS med FROM k GROUP BY 1)"""
 
 @query("clipped_stats", WITH + "," + _CLIP + " SELECT pair_id, any_value(med) AS median, round(greatest(1.0::DOUBLE, median(abs(d - med))::DOUBLE * 1.4826::DOUBLE), 6) AS mad FROM k JOIN md USING (pair_id) GROUP BY 1")
 def clipped_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Median and MAD without two percent at either end, from a histogram: 256 rows a pair at most."""
-    hist = pixels(spark, d).groupBy("pair_id", "d").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("pair_id")
-    hist = hist.withColumn("n", F.sum("c").over(w)).withColumn("end", F.sum("c").over(w.orderBy("d")))
-    low = F.floor(F.col("n") * 0.02)
-    high = F.greatest(low + 1, F.ceil(F.col("n") * (1 - 0.02)))
-    kept = hist.withColumn("c", F.greatest(F.lit(0), F.least(F.col("end"), high) - F.greatest(F.col("end") - F.col("c"), low))).where("c > 0").select("pair_id", "d", "c")
-
-    def middle(rows: DataFrame, v: str) -> DataFrame:
-        rows = rows.withColumn("n", F.sum("c").over(w)).withColumn("end", F.sum("c").over(w.orderBy(v)))
-        at = lambda i: F.min(F.when(F.col("end") > i, F.col(v)))
-        return rows.groupBy("pair_id").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).cast("double").alias("m"))
-
-    med = middle(kept, "d").withColumnRenamed("m", "median")
-    dev = kept.join(med, "pair_id").groupBy("pair_id", F.abs(F.col("d") - F.col("median")).alias("dev")).agg(F.sum("c").alias("c"))
-    return med.join(middle(dev, "dev"), "pair_id").select("pair_id", "median", F.round(F.greatest(F.lit(1.0), F.col("m") * 1.4826), 6).alias("mad"))
+    """Median and MAD without two percent at either end, of a pair's sorted array: no row for a pixel."""
+    rows, n = frames(spark, d).select("pair_id", F.sort_array("d").alias("s")), F.size("s")
+    low = F.floor(n * 0.02).cast("int")
+    high = F.greatest(low + 1, F.ceil(n * (1 - 0.02)).cast("int"))
+    rows = spread(rows.select("pair_id", F.slice("s", low + 1, high - low).alias("s")), "s")
+    return rows.select("pair_id", "median", F.round(F.greatest(F.lit(1.0), F.col("mad") * 1.4826), 6).alias("mad"))
 
 
 @query("analysis_regions", """

@@ -143,7 +143,7 @@ def test_planes_do_not_depend_on_the_tiles(spark):
     assert rows[7] == rows[256] and len(rows[7]) > 2000
 
 
-@pytest.mark.parametrize("name", ["noise_thresholds", "robust_stats", "local_thresholds", "radiometric_gain"])
+@pytest.mark.parametrize("name", ["noise_thresholds", "robust_stats", "local_thresholds", "radiometric_gain", "clipped_stats"])
 def test_statistics_of_frames_make_no_row_for_a_pixel(spark, name, tmp_path):
     rows = [(k, [((k * 7 + i * i) % 97 / 97 - 0.5) for i in range(n)], 0) for k, n in ((0, 64), (1, 64), (2, 64), (3, 61), (4, 64), (6, 64), (7, 0), (8, 64), (8, 64), (9, 64))]
     ids, values, labels = zip(*rows, (11, None, 0), strict=True)
