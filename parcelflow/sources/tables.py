@@ -24,11 +24,14 @@ PART_BYTES = 8 << 20
 
 
 def gathered(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows, those of equal keys in one partition; larger inputs make more partitions than the session's, so a task's share doesn't grow with them."""
+    """rows, those of equal keys in one partition; larger inputs make more partitions, so a task's share doesn't grow with them.
+
+    A number given isn't coalesced to that of cores again; more than the cores are given from so many parts on.
+    """
     spark = rows.sparkSession
     size = int(str(rows._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes()))
     n = -(-size // PART_BYTES)
-    return rows.repartition(n, *keys) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+    return rows.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys) if n > spark.sparkContext.defaultParallelism else rows.repartition(*keys)
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:

@@ -105,3 +105,24 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_responses_are_counted_without_a_join(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(1, 40), rng.randrange(1, 30), rng.randrange(1, 3), rng.choice([0.0, 0.05, 0.99]), "A") for k in range(60) for _ in range(rng.randrange(1, 6))]
+    rows += [(None, 3, 4, 1, 0.1, "R"), (None, 5, 4, 1, 0.1, "R"), (70, None, 4, 1, 0.1, "N"), (70, 2, 4, 1, 0.1, "N"), (71, 2, 4, 1, None, "N"), (72, 0, 0, -1, 0.1, "N"), (72, 0, 0, 46, 0.1, "N"), (73, 3, 4, 1, 0.1, None)]
+    names = {"l_orderkey": pa.int64(), "l_partkey": pa.int64(), "l_suppkey": pa.int64(), "l_linenumber": pa.int64(), "l_discount": pa.float64(), "l_returnflag": pa.string()}
+    pq.write_table(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(names.items())}), tmp_path / "lineitem.parquet")
+    df = catalog.QUERIES["semantic_responses"](spark, str(tmp_path))
+    assert rows_of(df) == rows_of_sql(catalog.SQL["semantic_responses"], str(tmp_path), df.columns)
+    assert {r.accepted for r in df.collect()} == {True, False}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.QUERIES["semantic_responses"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
