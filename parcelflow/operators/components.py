@@ -10,6 +10,11 @@ from parcelflow.sources.scratch import Scratch
 MOST = 64
 
 
+def met(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with other by a shuffle: tables that grow with the input would be broadcast up to a size that counts packed bytes, and once a round, all through the driver."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def _least(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.groupBy(*keys, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
 
@@ -17,14 +22,14 @@ def _least(edges: DataFrame, keys: list[str]) -> DataFrame:
 def _large(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Every node's larger neighbours go to the least of the node and all its neighbours."""
     both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = both.join(_least(both, keys), [*keys, "a"]).where("b > a")
+    rows = met(both, _least(both, keys), [*keys, "a"]).where("b > a")
     return rows.select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Every node and its smaller neighbours go to the least of these."""
     least = _least(edges, keys)
-    rows = edges.join(least, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
+    rows = met(edges, least, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
     return rows.unionByName(least.select(*keys, "a", F.col("m").alias("b"))).where("a > b").distinct()
 
 
@@ -39,7 +44,7 @@ def connected(scratch: Scratch, edges: DataFrame, keys: list[str]) -> DataFrame:
     for _ in range(MOST):
         inner = e.select(*keys, F.col("b").alias("a")).distinct()
         many = e.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "a")
-        if e.join(inner.unionByName(many), [*keys, "a"], "left_semi").isEmpty():
+        if met(e, inner.unionByName(many), [*keys, "a"], "left_semi").isEmpty():
             return e.select(*keys, F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(*keys, F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         e = scratch.put(_small(_large(e, keys), keys), "edges")
     raise RuntimeError("components did not settle")

@@ -210,3 +210,24 @@ def test_coverage_is_that_of_pixels_for_small_and_large_frames(spark, monkeypatc
     assert "Window" not in plan and "Generate" not in plan
     monkeypatch.setattr(R, "CHUNK", 4)
     assert told() == want
+
+
+def test_components_and_holes_broadcast_nothing(spark, monkeypatch):
+    from parcelflow.plans import catalog
+    from parcelflow.sources.scratch import Scratch
+
+    plans, put = {}, Scratch.put
+
+    def told(self, df, name="table"):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df, name)
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    monkeypatch.setattr(Scratch, "put", told)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        last = catalog.QUERIES["scene_holes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    rounds = [*plans["edges"], last]
+    assert len(rounds) > 2 and not any("Broadcast" in p for p in rounds)
